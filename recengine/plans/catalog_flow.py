@@ -79,27 +79,27 @@ def i3_apply_mapping(spark, sf):
     return d.select("user_id", "item_id", ids.binarise("rating").alias("label"))
 
 
-@register("E5_strict_lookup_unknown", f"""
+@register("E5_strict_lookup", f"""
 WITH inter AS ({q.INTERACTIONS}),
-  m AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx
-        FROM (SELECT DISTINCT item_id FROM inter WHERE item_id % 2 = 0))
-SELECT user_id, coalesce(m.idx, -1) AS item_idx FROM inter LEFT JOIN m USING (item_id)""")
-def e5_lookup_unknown(spark, sf):
+  m AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM inter))
+SELECT user_id, m.idx AS item_idx FROM inter JOIN m USING (item_id)""")
+def e5_strict_lookup(spark, sf):
     inter = _inter(spark, sf)
-    m = ids.index_by_value(inter.filter(F.col("item_id") % 2 == 0), "item_id", "idx")
-    out = ids.apply_mapping(inter, m, "item_id", "idx", out_col="item_idx", mode="unknown")
+    m = ids.index_by_value(inter, "item_id", "idx")
+    out = ids.apply_mapping(inter, m, "item_id", "idx", out_col="item_idx", mode="error")
     return out.select("user_id", "item_idx")
 
 
 @register("E6_soft_lookup", f"""
-WITH inter AS ({q.INTERACTIONS}),
-  m AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx
-        FROM (SELECT DISTINCT item_id FROM inter WHERE item_id % 2 = 0))
-SELECT user_id, m.idx AS item_idx FROM inter JOIN m USING (item_id)""")
+WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
+  train AS (SELECT * FROM inter i WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.user_id = i.user_id AND l.item_id = i.item_id)),
+  m AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM train))
+SELECT l.user_id, m.idx AS item_idx FROM latest l JOIN m USING (item_id)""")
 def e6_soft_lookup(spark, sf):
-    inter = _inter(spark, sf)
-    m = ids.index_by_value(inter.filter(F.col("item_id") % 2 == 0), "item_id", "idx")
-    return ids.apply_mapping(inter, m, "item_id", "idx", out_col="item_idx", mode="drop").select("user_id", "item_idx")
+    s = splits.leave_one_out(_inter(spark, sf))
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    m = ids.index_by_value(train, "item_id", "idx")
+    return ids.apply_mapping(test, m, "item_id", "idx", out_col="item_idx", mode="drop").select("user_id", "item_idx")
 
 
 @register("I4_field_offsets", f"""

@@ -1,3 +1,245 @@
-"""Checked queries (graph)."""
+"""Checked queries: graph operators."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recengine.functions.arrays import zero_vector  # noqa: F401  (kept for users of the module)
+from recengine.operators import graph as G
+from recengine.operators import stats
+from recengine.plans import fixtures
+from recengine.plans import sqlparts as q
+from recengine.plans.catalog import register
+from recengine.sources.tables import load
+
+WIDTH = 64
+
+
+def copurchase(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Item graph: parts on order lines at most two lines apart in the same
+    order (equi-joins on (order, line + 1) and (order, line + 2) -- never all
+    pairs of an order).  Nodes: every part."""
+    li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])
+    a = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("a"))
+    arcs = None
+    for step in (1, 2):
+        b = li.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - step).alias("ln"),
+                      F.col("l_partkey").alias("b"))
+        j = a.join(b, ["o", "ln"]).select("a", "b")
+        arcs = j if arcs is None else arcs.union(j)
+    nodes = load(spark, sf, "part", ["p_partkey"]).select(F.col("p_partkey").alias("node"))
+    return nodes, G.undirected(arcs, "a", "b")
+
+
+COPURCHASE_SQL = """cp_arcs AS (
+    SELECT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y
+      ON y.l_orderkey = x.l_orderkey AND y.l_linenumber - 1 = x.l_linenumber
+    UNION ALL
+    SELECT x.l_partkey, y.l_partkey FROM lineitem x JOIN lineitem y
+      ON y.l_orderkey = x.l_orderkey AND y.l_linenumber - 2 = x.l_linenumber),
+  edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM cp_arcs WHERE a <> b),
+  nodes AS (SELECT p_partkey AS node FROM part),
+  arcs AS (SELECT src AS node, dst AS nbr FROM edges UNION ALL SELECT dst, src FROM edges),
+  deg AS (SELECT n.node, count(a.nbr) AS degree FROM nodes n LEFT JOIN arcs a USING (node) GROUP BY n.node)"""
+
+BIPARTITE_SQL = f"""inter AS ({q.INTERACTIONS}),
+  off AS (SELECT max(user_id) + 1 AS o FROM inter),
+  edges AS (SELECT DISTINCT least(user_id, item_id + o) AS src, greatest(user_id, item_id + o) AS dst
+            FROM inter, off WHERE rating > 0),
+  nodes AS (SELECT user_id AS node FROM inter UNION SELECT item_id + o FROM inter, off),
+  arcs AS (SELECT src AS node, dst AS nbr FROM edges UNION ALL SELECT dst, src FROM edges),
+  deg AS (SELECT n.node, count(a.nbr) AS degree FROM nodes n LEFT JOIN arcs a USING (node) GROUP BY n.node)"""
+
+
+def bipartite(spark, sf):
+    inter = fixtures.interactions(spark, sf).withColumn("label", (F.col("rating") > 0).cast("int"))
+    return G.bipartite_graph(inter)
+
+
+@register("M1_bipartite_graph", f"WITH {BIPARTITE_SQL} SELECT src, dst FROM edges")
+def m1(spark, sf):
+    return bipartite(spark, sf)[1]
+
+
+@register("M2_graph_counts", f"""WITH {BIPARTITE_SQL}
+SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges""")
+def m2(spark, sf):
+    return G.graph_counts(*bipartite(spark, sf))
+
+
+@register("M3_degree_capped", f"WITH {BIPARTITE_SQL} SELECT node, least(degree, 100) AS degree FROM deg")
+def m3(spark, sf):
+    return G.degrees(*bipartite(spark, sf), cap=100)
+
+
+@register("M3_degree_histogram", f"""WITH {COPURCHASE_SQL},
+  mm AS (SELECT CAST(min(degree) AS DOUBLE) AS lo, CAST(max(degree) AS DOUBLE) AS hi FROM deg),
+  b AS (SELECT CAST(CASE WHEN (hi - lo) / 50 = 0 THEN 0 ELSE least(floor((degree - lo) / ((hi - lo) / 50)), 49) END AS BIGINT) AS bin
+        FROM deg, mm),
+  c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin)
+SELECT r.range AS bin, round(lo + r.range * ((hi - lo) / 50), 6) AS lo, round(lo + (r.range + 1) * ((hi - lo) / 50), 6) AS hi,
+       coalesce(c.count, 0) AS count
+FROM range(50) r CROSS JOIN mm LEFT JOIN c ON c.bin = r.range""")
+def m3_hist(spark, sf):
+    return stats.histogram(G.degrees(*copurchase(spark, sf)), "degree", 50)
+
+
+_TRI_SQL = f"""{COPURCHASE_SQL},
+  tri AS (SELECT e1.src AS a, e1.dst AS b, e2.dst AS c FROM edges e1 JOIN edges e2 ON e2.src = e1.dst
+          JOIN edges e3 ON e3.src = e1.src AND e3.dst = e2.dst)"""
+
+
+@register("E11_triangles", f"WITH {_TRI_SQL} SELECT a, b, c FROM tri")
+def e11(spark, sf):
+    t = G.triangles(*copurchase(spark, sf)).select(F.array_sort(F.array("a", "b", "c")).alias("t"))
+    return t.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+
+
+@register("M4_average_clustering", f"""WITH {_TRI_SQL},
+  per AS (SELECT node, count(*) AS triangles FROM (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri
+          UNION ALL SELECT c FROM tri) GROUP BY node),
+  cl AS (SELECT d.node, d.degree, coalesce(p.triangles, 0) AS triangles,
+                CASE WHEN d.degree < 2 THEN 0.0 ELSE 2.0 * coalesce(p.triangles, 0) / (d.degree * (d.degree - 1)) END AS c
+         FROM deg d LEFT JOIN per p USING (node))
+SELECT round(avg(c), 6) AS average_clustering, CAST(sum(triangles) AS BIGINT) AS triangle_corners FROM cl""")
+def m4(spark, sf):
+    return G.average_clustering(*copurchase(spark, sf))
+
+
+def _features(spark, sf):
+    nodes, edges = copurchase(spark, sf)
+    emb = load(spark, sf, "embeddings", ["vec_id", "embedding"])
+    feats = G.node_features(nodes, emb, "vec_id", "embedding", WIDTH)
+    return nodes, edges, G.to_long(feats, "node", "vec")
+
+
+_LONG_SQL = f"""{COPURCHASE_SQL},
+  feats AS (SELECT n.node, coalesce(e.embedding, list_transform(range({WIDTH}), lambda i: CAST(0.0 AS FLOAT))) AS vec
+            FROM nodes n LEFT JOIN embeddings e ON e.vec_id = n.node),
+  lng AS (SELECT node, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, CAST(unnest(vec) AS DOUBLE) AS value FROM feats),
+  pdeg AS (SELECT node, count(*) AS d FROM arcs GROUP BY node)"""
+
+
+@register("M11_node_features", f"""WITH {_LONG_SQL}
+SELECT node, CAST(len(vec) AS INTEGER) AS width, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 3) AS total
+FROM feats""")
+def m11(spark, sf):
+    nodes, edges = copurchase(spark, sf)
+    f = G.node_features(nodes, load(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding", WIDTH)
+    return f.select("node", F.size("vec").alias("width"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+@register("M6_neu_enhancement", f"""WITH {_LONG_SQL},
+  nrm AS (SELECT node, sqrt(sum(value * value)) AS n FROM lng GROUP BY node),
+  r AS (SELECT l.node, l.dim, CASE WHEN n.n > 0 THEN l.value / n.n ELSE l.value END AS value FROM lng l JOIN nrm n USING (node)),
+  ar AS (SELECT a.node, r.dim, sum(r.value) / any_value(p.d) AS value FROM arcs a JOIN r ON r.node = a.nbr
+         JOIN pdeg p ON p.node = a.node GROUP BY a.node, r.dim),
+  aar AS (SELECT a.node, ar.dim, sum(ar.value) / any_value(p.d) AS value FROM arcs a JOIN ar ON ar.node = a.nbr
+          JOIN pdeg p ON p.node = a.node GROUP BY a.node, ar.dim)
+SELECT r.node, r.dim, round(r.value + 0.5 * coalesce(ar.value, 0.0) + 0.25 * coalesce(aar.value, 0.0), 6) + 0.0 AS value
+FROM r LEFT JOIN ar USING (node, dim) LEFT JOIN aar USING (node, dim)""")
+def m6(spark, sf):
+    nodes, edges, long = _features(spark, sf)
+    out = G.neu(long, edges, 0.5, 0.25, 1)
+    return out.select("node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+def _scores(long):
+    src = long.groupBy("node").agg((F.sum("value") / WIDTH).alias("score"))
+    dst = long.filter(F.col("dim") == 0).select("node", F.col("value").alias("score"))
+    return src, dst
+
+
+_ATT_SQL = f"""{_LONG_SQL},
+  ssrc AS (SELECT node, sum(value) / {WIDTH} AS s FROM lng GROUP BY node),
+  sdst AS (SELECT node, value AS s FROM lng WHERE dim = 0),
+  e AS (SELECT a.nbr AS src, a.node AS dst,
+               CASE WHEN x.s + y.s > 0 THEN x.s + y.s ELSE (x.s + y.s) * 0.2 END AS e
+        FROM arcs a JOIN ssrc x ON x.node = a.nbr JOIN sdst y ON y.node = a.node),
+  ex AS (SELECT src, dst, exp(e - (SELECT max(e) FROM e)) AS x FROM e),
+  att AS (SELECT src, dst, x / (sum(x) OVER (PARTITION BY dst) + 1e-16) AS alpha FROM ex)"""
+
+
+def _attention(spark, sf):
+    nodes, edges, long = _features(spark, sf)
+    arcs = G.both_directions(edges).select(F.col("nbr").alias("src"), F.col("node").alias("dst"))
+    src, dst = _scores(long)
+    return long, G.attention_softmax(arcs, src, dst, 0.2)
+
+
+@register("M7_attention_softmax", f"WITH {_ATT_SQL} SELECT src, dst, round(alpha, 6) AS alpha FROM att")
+def m7(spark, sf):
+    return _attention(spark, sf)[1].select("src", "dst", F.round("alpha", 6).alias("alpha"))
+
+
+@register("M8_attention_aggregate", f"""WITH {_ATT_SQL},
+  m AS (SELECT a.dst AS node, l.dim, sum(a.alpha * l.value) AS m FROM att a JOIN lng l ON l.node = a.src GROUP BY a.dst, l.dim),
+  s AS (SELECT m.node, m.dim, m.m + coalesce(l.value, 0.0) AS v FROM m LEFT JOIN lng l USING (node, dim))
+SELECT node, dim, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 6) + 0.0 AS value FROM s""")
+def m8(spark, sf):
+    long, att = _attention(spark, sf)
+    out = G.attention_aggregate(att, long, skip=True)
+    return out.select("node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@register("M9_gcn_two_layers", f"""WITH {_LONG_SQL},
+  sarcs AS (SELECT node, nbr FROM arcs UNION ALL SELECT node, node FROM nodes),
+  sdeg AS (SELECT node, CAST(count(*) AS DOUBLE) AS d FROM sarcs GROUP BY node),
+  w AS (SELECT a.node, a.nbr, 1.0 / sqrt(x.d * y.d) AS w FROM sarcs a JOIN sdeg x ON x.node = a.node JOIN sdeg y ON y.node = a.nbr),
+  h1 AS (SELECT w.node, l.dim, greatest(sum(w.w * l.value), 0.0) AS value FROM w JOIN lng l ON l.node = w.nbr GROUP BY w.node, l.dim),
+  h2 AS (SELECT w.node, h.dim, sum(w.w * h.value) AS value FROM w JOIN h1 h ON h.node = w.nbr GROUP BY w.node, h.dim)
+SELECT node, dim, round(value, 6) + 0.0 AS value FROM h2""")
+def m9(spark, sf):
+    nodes, edges, long = _features(spark, sf)
+    h1 = G.gcn_layer(long, edges, nodes, "relu")
+    h2 = G.gcn_layer(h1, edges, nodes, None)
+    return h2.select("node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@register("M10_inherited_labels", """
+WITH arcs AS (SELECT DISTINCT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_orderkey AS ord FROM lineitem),
+  lab AS (SELECT 'order:' || o_orderkey AS node, o_orderstatus AS label FROM orders),
+  citers AS (SELECT node, label FROM lab WHERE node IN (SELECT src FROM arcs)),
+  cited AS (SELECT a.dst AS node, arg_min(l.label, a.ord) AS label FROM arcs a JOIN lab l ON l.node = a.src GROUP BY a.dst)
+SELECT node, label, 'citer' AS role FROM citers
+UNION ALL SELECT node, label, 'cited' FROM cited WHERE node NOT IN (SELECT node FROM citers)""")
+def m10(spark, sf):
+    li = load(spark, sf, "lineitem", ["l_orderkey", "l_partkey"])
+    arcs = li.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("src"),
+                     F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"),
+                     F.col("l_orderkey").alias("ord")).distinct()
+    lab = load(spark, sf, "orders", ["o_orderkey", "o_orderstatus"]).select(
+        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node"), F.col("o_orderstatus").alias("label"))
+    return G.inherit_labels(arcs, lab, order="ord")
+
+
+@register("M12_edge_split_labels", f"""
+WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
+  train AS (SELECT * FROM inter i WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.user_id = i.user_id AND l.item_id = i.item_id)),
+  {q.negatives('inter', 4, 42, 'train', 'ntr')},
+  {q.lists('train', 'ntr', 'tr_lists')}
+SELECT 'train' AS split, label, count(*) AS n_edges FROM tr_lists GROUP BY label""")
+def m12(spark, sf):
+    from recengine.operators import negatives, splits
+    inter = fixtures.interactions(spark, sf)
+    train = splits.leave_one_out(inter).filter(F.col("split") == "train")
+    lists = negatives.labelled_lists(train, negatives.sample_negatives(inter, 4, 42, "train"))
+    e = G.edge_split(lists.withColumn("split", F.lit("train")))
+    return e.filter(F.col("split") == "train").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@register("M5_spectral_embedding_check", f"""WITH {COPURCHASE_SQL}
+SELECT count(*) AS n_nodes, CAST(4 AS BIGINT) AS width, true AS orthonormal, true AS eigen_in_range FROM nodes""")
+def m5(spark, sf):
+    nodes, edges = copurchase(spark, sf)
+    emb = G.spectral_embedding(nodes, edges, k=4, iterations=10)
+    basis = emb.select("node", "dim", (F.col("value") / F.sqrt(F.col("eigenvalue"))).alias("value"))
+    err = G.orthonormal_check(basis)
+    lam = emb.groupBy("dim").agg(F.first("eigenvalue").alias("ev"))
+    return spark.range(1).select(
+        emb.select(F.countDistinct("node")).scalar().alias("n_nodes"),
+        emb.select(F.countDistinct("dim")).scalar().alias("width"),
+        (err.select(F.first("max_gram_error")).scalar() < 1e-6).alias("orthonormal"),
+        lam.select(F.min((F.col("ev") >= -1e-9) & (F.col("ev") <= 2 + 1e-9))).scalar().alias("eigen_in_range"))
