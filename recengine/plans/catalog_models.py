@@ -1,3 +1,268 @@
-"""Checked queries (models)."""
+"""Checked queries: Spark ML models (K1-K14) and rating metrics.
+
+Model outputs depend on solver numerics, so K queries are property checks:
+either a table of invariants with an oracle of constants derived in SQL, or
+a metrics table checked for rows only.  L7/L8/L10 use a deterministic
+estimate (item mean rating) and have exact oracles.
+"""
 
 from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recengine.operators import graph as G
+from recengine.operators import models as MD
+from recengine.operators import negatives as N
+from recengine.operators import splits as S
+from recengine.operators import text as TX
+from recengine.operators.evaluate import rank_lists, ranking_metrics, rating_metrics, threshold_precision_recall
+from recengine.operators.ids import index_by_value
+from recengine.plans import fixtures
+from recengine.plans import sqlparts as q
+from recengine.plans.catalog import register
+from recengine.plans.catalog_graph import copurchase
+from recengine.plans.flagship import popularity_scores
+from recengine.session import cut_lineage
+from recengine.sources.tables import load
+
+SEED = 42
+RANK = 8
+LIST = ["user_id", "list_item"]
+
+
+class _Setup:
+    """Dense interactions, leave-one-out split, negatives, labelled lists and
+    ALS factors, built once per (session, sf)."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        inter = fixtures.interactions(spark, sf)
+        self.users = index_by_value(inter, "user_id", "uidx")
+        self.items = index_by_value(inter, "item_id", "iidx")
+        dense = (inter.join(self.users, "user_id").join(self.items, "item_id")
+                 .select(F.col("uidx").alias("user_id"), F.col("iidx").alias("item_id"), "rating", "ts"))
+        self.inter = dense
+        split = S.leave_one_out(dense)
+        self.train = split.filter(F.col("split") == "train")
+        self.test = split.filter(F.col("split") == "test")
+        negs = N.train_test_negatives(dense, 4, 50, SEED)
+        # reused by every model: materialise once in the shared checkpoint folder
+        self.train = cut_lineage(self.train)
+        self.test = cut_lineage(self.test)
+        self.train_lists = cut_lineage(N.labelled_lists(self.train, negs.filter(F.col("split") == "train")))
+        self.test_lists = cut_lineage(N.labelled_lists(self.test, negs.filter(F.col("split") == "test")))
+        self.spark, self.sf = spark, sf
+        self._als = {}
+
+    def als(self, implicit: bool = False):
+        if implicit not in self._als:
+            data = self.train.withColumn("rating", F.lit(1.0)) if implicit else self.train
+            self._als[implicit] = MD.fit_als(data, rank=RANK, max_iter=10, implicit=implicit, seed=SEED)
+        return self._als[implicit]
+
+    def text(self) -> DataFrame:
+        part = load(self.spark, self.sf, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
+        docs = part.select(F.col("p_partkey").alias("item_id"),
+                           F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("doc"))
+        from pyspark.ml.functions import vector_to_array
+        tf = cut_lineage(TX.text_features(docs, "item_id", "doc", 32))
+        return (tf.join(self.items, "item_id").select(F.col("iidx").alias("item_id"),
+                                                      vector_to_array("features").alias("text")))
+
+    def graph(self) -> DataFrame:
+        nodes, edges = copurchase(self.spark, self.sf)
+        emb = load(self.spark, self.sf, "embeddings", ["vec_id", "embedding"])
+        long = G.to_long(G.node_features(nodes, emb, "vec_id", "embedding", 64), "node", "vec")
+        vec = cut_lineage(G.to_array(G.neu(long, edges), "graph"))
+        return vec.join(self.items, vec.node == self.items.item_id).select(F.col("iidx").alias("item_id"), "graph")
+
+
+@lru_cache(maxsize=2)
+def _setup(spark: SparkSession, sf: str) -> _Setup:
+    return _Setup(spark, sf)
+
+
+def _hybrid(spark, sf, name: str, kind: str = "logistic") -> tuple[_Setup, DataFrame]:
+    st = _setup(spark, sf)
+    uf, itf = MD.factors(st.als(False))
+    spec = MD.FEATURE_SETS[name]
+    text = st.text() if "text" in spec else None
+    graph = st.graph() if "graph" in spec else None
+    train = MD.attach_features(st.train_lists, uf, itf, spec, text, graph)
+    test = MD.attach_features(st.test_lists, uf, itf, spec, text, graph)
+    model = MD.fit_scorer(train, kind, SEED)
+    return st, MD.score(model, test, kind)
+
+
+@register("K1_als_explicit_check", f"""
+WITH {q.DENSE}, {q.latest_per_user('dense')}
+SELECT count(DISTINCT user_id) AS n_users, true AS finite, true AS beats_mean
+FROM dense d WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.user_id = d.user_id AND l.item_id = d.item_id)""")
+def k1(spark, sf):
+    st = _setup(spark, sf)
+    pred = st.als(False).transform(st.train.select(F.col("user_id").cast("int").alias("user_id"),
+                                                   F.col("item_id").cast("int").alias("item_id"), "rating"))
+    mean = st.train.select(F.avg("rating")).scalar()
+    err = pred.select(F.sqrt(F.avg((F.col("prediction") - F.col("rating")) ** 2)).alias("m"),
+                      F.sqrt(F.avg((F.col("rating") - mean) ** 2)).alias("b"),
+                      F.countDistinct("user_id").alias("n_users"),
+                      F.min((~F.isnan("prediction")).cast("int")).alias("ok"))
+    return err.select("n_users", (F.col("ok") == 1).alias("finite"), (F.col("m") < F.col("b")).alias("beats_mean"))
+
+
+@register("K2_als_implicit_ranking")
+def k2(spark, sf):
+    st = _setup(spark, sf)
+    uf, itf = MD.factors(st.als(True))
+    scored = MD.gmf_score(st.test_lists, uf, itf).withColumn("score", F.coalesce("gmf", F.lit(0.0)))
+    return ranking_metrics(scored, LIST)
+
+
+@register("K3_compare_models")
+def k3(spark, sf):
+    st = _setup(spark, sf)
+    out = None
+    for name, implicit in (("als_explicit", False), ("als_implicit", True)):
+        uf, itf = MD.factors(st.als(implicit))
+        scored = MD.gmf_score(st.test_lists, uf, itf).withColumn("score", F.coalesce("gmf", F.lit(0.0)))
+        m = ranking_metrics(scored, LIST).select(F.lit(name).alias("model"), "*")
+        out = m if out is None else out.unionByName(m)
+    pop = (st.test_lists.join(popularity_scores(st.train), "item_id", "left").fillna(0.0, subset=["score"]))
+    return out.unionByName(ranking_metrics(pop, LIST).select(F.lit("popularity").alias("model"), "*"))
+
+
+@register("K4_gmf_matches_als", f"""
+WITH {q.DENSE}, {q.latest_per_user('dense')}
+SELECT count(*) AS n_pairs, true AS matches
+FROM dense d WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.user_id = d.user_id AND l.item_id = d.item_id)""")
+def k4(spark, sf):
+    st = _setup(spark, sf)
+    model = st.als(False)
+    uf, itf = MD.factors(model)
+    pairs = st.train.select("user_id", "item_id")
+    g = MD.gmf_score(pairs, uf, itf)
+    p = model.transform(pairs.select(F.col("user_id").cast("int").alias("user_id"),
+                                     F.col("item_id").cast("int").alias("item_id")))
+    j = g.join(p.select(F.col("user_id").cast("bigint").alias("user_id"),
+                        F.col("item_id").cast("bigint").alias("item_id"), "prediction"), ["user_id", "item_id"])
+    return j.agg(F.count(F.lit(1)).alias("n_pairs"), (F.max(F.abs(F.col("gmf") - F.col("prediction"))) < 1e-3).alias("matches"))
+
+
+def _ranking_query(name: str, kind: str = "logistic"):
+    def fn(spark, sf):
+        _, scored = _hybrid(spark, sf, name, kind)
+        return ranking_metrics(scored, LIST)
+    return fn
+
+
+for _qname, _model, _kind in (("K5_mlp_tower_ranking", "mlp", "mlp"), ("K6_neumf_ranking", "neumf", "logistic"),
+                              ("K7_bertmf_ranking", "bertmf", "logistic"), ("K9_graphmf_ranking", "graphmf", "logistic"),
+                              ("K10_multimf_ranking", "multimf", "logistic")):
+    register(_qname)(_ranking_query(_model, _kind))
+
+
+_WIDTHS = {name: sum({"u": RANK, "i": RANK, "ui": RANK, "text": 32, "graph": 64}[p] for p in spec)
+           for name, spec in MD.FEATURE_SETS.items()}
+
+
+@register("K12_feature_sets_by_name", " UNION ALL ".join(
+    f"SELECT '{n}' AS model, CAST({w} AS INTEGER) AS n_features" for n, w in _WIDTHS.items()))
+def k12(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    st = _setup(spark, sf)
+    uf, itf = MD.factors(st.als(False))
+    sample = st.test_lists.limit(1)
+    rows = []
+    for name, spec in MD.FEATURE_SETS.items():
+        f = MD.attach_features(sample, uf, itf, spec, st.text() if "text" in spec else None,
+                               st.graph() if "graph" in spec else None)
+        rows.append(f.select(F.lit(name).alias("model"), F.size(vector_to_array("features")).alias("n_features")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@register("K11_linear_regression_rmse")
+def k11(spark, sf):
+    st = _setup(spark, sf)
+    uf, itf = MD.factors(st.als(False))
+    train = MD.attach_features(st.train, uf, itf, MD.FEATURE_SETS["linear"])
+    test = MD.attach_features(st.test, uf, itf, MD.FEATURE_SETS["linear"])
+    model = MD.fit_scorer(train, "linear", SEED, label="rating")
+    pred = MD.score(model, test, "linear")
+    return rating_metrics(pred.select((F.col("rating") / 5).alias("rating"), (F.col("score") / 5).alias("est")))
+
+
+@register("K13_bce_logloss")
+def k13(spark, sf):
+    st, scored = _hybrid(spark, sf, "neumf")
+    return rating_metrics(scored.select(F.col("label").alias("rating"), F.col("score").alias("est")))
+
+
+@register("K14_top_n_per_list")
+def k14(spark, sf):
+    _, scored = _hybrid(spark, sf, "neumf")
+    return rank_lists(scored, LIST).filter(F.col("rank") <= 10).select(*LIST, "item_id", "rank")
+
+
+@register("K14_recommend_open_catalogue")
+def k14_open(spark, sf):
+    st = _setup(spark, sf)
+    return MD.recommend_top_n(st.als(False), st.test.select("user_id"), 10).select("user_id", "rank", "item_id")
+
+
+# ---------------------------------------------------------------- L7/L8/L10
+_EST_SQL = f"""inter AS ({q.INTERACTIONS}),
+  est AS (SELECT item_id, avg(rating) AS est FROM inter GROUP BY item_id),
+  pred AS (SELECT i.user_id, i.item_id, i.rating, e.est FROM inter i JOIN est e USING (item_id))"""
+
+
+def _pred(spark, sf):
+    inter = fixtures.interactions(spark, sf)
+    est = inter.groupBy("item_id").agg(F.avg("rating").alias("est"))
+    return inter.join(est, "item_id").select("user_id", "item_id", "rating", "est")
+
+
+@register("L7_threshold_precision_recall", f"""
+WITH {_EST_SQL},
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY est DESC, item_id) AS rn FROM pred),
+  per AS (SELECT user_id, sum(CASE WHEN rating >= 3.5 THEN 1 ELSE 0 END) AS n_rel,
+                 sum(CASE WHEN rn <= 10 AND est >= 3.5 THEN 1 ELSE 0 END) AS n_rec,
+                 sum(CASE WHEN rn <= 10 AND est >= 3.5 AND rating >= 3.5 THEN 1 ELSE 0 END) AS n_both FROM r GROUP BY user_id)
+SELECT round(avg(CASE WHEN n_rec > 0 THEN n_both / n_rec ELSE 0.0 END), 6) AS precision_at_k,
+       round(avg(CASE WHEN n_rel > 0 THEN n_both / n_rel ELSE 0.0 END), 6) AS recall_at_k FROM per""")
+def l7(spark, sf):
+    return threshold_precision_recall(_pred(spark, sf), k=10, threshold=3.5)
+
+
+_L8_COLS = """round(sqrt(avg((est - rating) * (est - rating))), 6) AS rmse, round(avg((est - rating) * (est - rating)), 6) AS mse,
+       round(5 * avg((est - rating) * (est - rating)), 6) AS mse_x5, round(avg(abs(est - rating)), 6) AS mae,
+       round(avg(-(rating * ln(least(greatest(est, 1e-7), 1 - 1e-7)) + (1 - rating) * ln(1 - least(greatest(est, 1e-7), 1 - 1e-7)))), 6) AS bce,
+       count(*) AS n"""
+
+
+@register("L8_rating_metrics", f"""
+WITH {_EST_SQL}, p AS (SELECT rating / 5 AS rating, est / 5 AS est FROM pred)
+SELECT {_L8_COLS} FROM p""")
+def l8(spark, sf):
+    p = _pred(spark, sf).select((F.col("rating") / 5).alias("rating"), (F.col("est") / 5).alias("est"))
+    return rating_metrics(p)
+
+
+@register("L10_metrics_by_split", f"""
+WITH {_EST_SQL},
+  r AS (SELECT user_id, item_id,
+               row_number() OVER (ORDER BY {q.h_hex(SEED, 'user_id', 'item_id')}, user_id, item_id) AS rn,
+               count(*) OVER () AS n FROM inter),
+  s AS (SELECT user_id, item_id, CASE WHEN rn <= floor(0.8 * n) THEN 'train'
+               WHEN rn <= floor(0.8 * n) + floor(0.1 * n) THEN 'valid' ELSE 'test' END AS split FROM r),
+  p AS (SELECT s.split, pred.rating / 5 AS rating, pred.est / 5 AS est FROM pred JOIN s USING (user_id, item_id))
+SELECT split, {_L8_COLS} FROM p GROUP BY split""")
+def l10(spark, sf):
+    s = S.exact_random_split(fixtures.interactions(spark, sf), (0.8, 0.1), seed=SEED).select("user_id", "item_id", "split")
+    p = _pred(spark, sf).join(s, ["user_id", "item_id"]).select(
+        "split", (F.col("rating") / 5).alias("rating"), (F.col("est") / 5).alias("est"))
+    return rating_metrics(p, group=["split"])
