@@ -65,17 +65,18 @@ def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
     per_user = (pairs.select(user).distinct().join(per_user, user, "left")
                 .fillna(0, subset=["_seen"]))
     walk = F.least(F.lit(n) + F.col("_seen") + F.lit(big_p - pool_n), F.lit(big_p)).cast("bigint")
-    chunks = (per_user.withColumn("_walk", walk)
+    # the user's permutation constants: hashed once per user, before the walk is exploded
+    a = (F.lit(1) + F.pmod(hash_int(f"{seed}|{salt}|a", user), F.lit(big_p - 1))) if big_p > 2 else F.lit(1)
+    b = F.pmod(hash_int(f"{seed}|{salt}|b", user), F.lit(big_p))
+    chunks = (per_user.select(user, walk.alias("_walk"), a.cast("bigint").alias("_a"), b.cast("bigint").alias("_b"))
               .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                          F.floor((F.col("_walk") - 1) / CHUNK).cast("bigint"))))
               .repartition(user, "_chunk"))
-    a = (F.lit(1) + F.pmod(hash_int(f"{seed}|{salt}|a", user), F.lit(big_p - 1))) if big_p > 2 else F.lit(1)
-    b = F.pmod(hash_int(f"{seed}|{salt}|b", user), F.lit(big_p))
     slots = (chunks
              .withColumn("slot", F.explode(F.sequence(
                  F.col("_chunk") * CHUNK,
                  F.least((F.col("_chunk") + 1) * CHUNK, F.col("_walk")) - 1)))
-             .withColumn("item_idx", F.pmod(a * F.col("slot") + b, F.lit(big_p)))
+             .withColumn("item_idx", F.pmod(F.col("_a") * F.col("slot") + F.col("_b"), F.lit(big_p)))
              .filter(F.col("item_idx") < pool_n)
              .select(user, "slot", "item_idx"))
     unseen = slots.join(seen_idx, [user, "item_idx"], "left_anti")

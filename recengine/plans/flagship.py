@@ -15,15 +15,21 @@ from recengine.operators.ids import apply_mapping, index_by_value
 from recengine.operators.negatives import labelled_lists, sample_negatives
 from recengine.operators.splits import leave_one_out
 from recengine.plans.fixtures import interactions
+from recengine.session import cut_lineage
 
 
 def dense_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interactions with users and items re-keyed to dense ids by value."""
-    inter = interactions(spark, sf_dir)
+    """Interactions with users and items re-keyed to dense ids by value.
+
+    The interaction table feeds both dictionaries and the re-keyed rows, so
+    it is cut once (written to the shared checkpoint folder) instead of
+    re-joining the raw logs for every consumer; the re-keyed table is cut
+    too, since the split, the sampler and the scores all read it."""
+    inter = cut_lineage(interactions(spark, sf_dir))
     users = index_by_value(inter, "user_id", "uidx")
     items = index_by_value(inter, "item_id", "iidx")
     out = apply_mapping(inter, users, "user_id", "uidx")
-    return apply_mapping(out, items, "item_id", "iidx")
+    return cut_lineage(apply_mapping(out, items, "item_id", "iidx"))
 
 
 def popularity_scores(train: DataFrame, item: str = "item_id") -> DataFrame:

@@ -61,9 +61,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never ``localCheckpoint``):
-    survives executor loss, and keeps iterative plans short."""
+    survives executor loss, and keeps iterative plans short.
+
+    The rows are persisted (memory, spilling to disk) for the duration of
+    the checkpoint: an eager checkpoint runs one job to count and another to
+    write, and without it the whole input plan would be computed twice.
+    """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
