@@ -118,12 +118,19 @@ def node_features(nodes: DataFrame, vectors: DataFrame, key: str, vec: str, widt
 
 
 def mean_of_neighbours(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(D^-1 A) X`` in long form: average of neighbour vectors."""
+    """``(D^-1 A) X`` in long form: average of neighbour vectors.
+
+    Messages travel as whole vectors (one row per arc, not arcs x dims) and
+    are summed per node with ML's ``Summarizer`` (a partial + final
+    aggregate), then expanded back to long form."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     arcs = both_directions(edges)
-    deg = arcs.groupBy("node").agg(F.count(F.lit(1)).alias("__deg"))
-    msgs = (arcs.join(long.select(F.col("node").alias("nbr"), "dim", "value"), "nbr")
-            .groupBy("node", "dim").agg(F.sum("value").alias("__s")))
-    return msgs.join(deg, "node").select("node", "dim", (F.col("__s") / F.col("__deg")).alias("value"))
+    vec = to_array(long, "__v").select(F.col("node").alias("nbr"), array_to_vector("__v").alias("__v"))
+    msgs = (arcs.join(vec, "nbr").groupBy("node")
+            .agg(Summarizer.sum(F.col("__v")).alias("__s"), F.count(F.lit(1)).alias("__deg")))
+    return msgs.select("node", F.posexplode(vector_to_array("__s")).alias("dim", "__x"), "__deg") \
+               .select("node", F.col("dim").cast("int").alias("dim"), (F.col("__x") / F.col("__deg")).alias("value"))
 
 
 def neu(long: DataFrame, edges: DataFrame, l1: float = 0.5, l2: float = 0.25, iterations: int = 1) -> DataFrame:

@@ -22,7 +22,10 @@ UNK_ID = 1
 def inverted_index(df: DataFrame, key: str, text: str, drop_terms: Sequence[str] = ()) -> DataFrame:
     """``(key, index map<term, array<pos>>, length)`` from whole texts split on
     single spaces; ``drop_terms`` are left out of the index (they become gaps).
-    Groups are (document, term) and document: bounded by one row's text."""
+    Groups are (document, term) and document: bounded by one row's text.
+    The documents are hash-partitioned by key once; the exploded words then
+    group by (key, term) and by key without another shuffle."""
+    df = df.repartition(key)
     words = df.select(key, F.posexplode(F.split(text, " ")).alias("pos", "term"))
     if drop_terms:
         words = words.filter(~F.col("term").isin(list(drop_terms)))
@@ -54,6 +57,7 @@ def tokenize(df: DataFrame, key: str, text: str, vocab: DataFrame, width: int) -
     Token ids of the first ``width`` tokens (truncation), padded with 0; mask
     = 1 where the id is not padding; ``n_tokens`` counts the whole text.
     """
+    df = df.repartition(key)        # words stay in their document's partition
     toks = df.select(key, F.posexplode(words(text)).alias("pos", "token"))
     n_tok = df.select(key, F.size(words(text)).alias("n_tokens"))
     head = toks.filter(F.col("pos") < width).join(vocab.select("token", "token_id"), "token", "left")

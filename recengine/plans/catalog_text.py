@@ -186,14 +186,15 @@ def j1(spark, sf):
 
 _EXERCISE_SQL = f"""
   ev AS (SELECT user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS problem, ts FROM events),
-  ex AS (SELECT ev.user_id, p.p_partkey AS exercise, min(ev.ts) AS ts FROM ev JOIN part p ON p.p_size = ev.problem
+  ex AS (SELECT ev.user_id, p.p_partkey AS exercise, min(ev.ts) AS ts FROM ev JOIN part p ON p.p_partkey = ev.problem
          GROUP BY ev.user_id, p.p_partkey)"""
 
 
 def _exercise_rows(spark, sf):
     ev = _t(spark, sf, "events", ["user_id", "props", "ts"]).select("user_id", T.json_int("props", "k").alias("problem"), "ts")
-    emap = _t(spark, sf, "part", ["p_partkey", "p_size"]).select(F.col("p_size").cast("bigint").alias("problem"),
-                                                                 F.col("p_partkey").alias("exercise"))
+    # exercise-problem relation: each part is an exercise holding the problem of the same id
+    emap = _t(spark, sf, "part", ["p_partkey"]).select(F.col("p_partkey").alias("problem"),
+                                                       F.col("p_partkey").alias("exercise"))
     return I.exercise_interactions(ev, emap)
 
 
