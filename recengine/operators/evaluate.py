@@ -76,9 +76,10 @@ def per_list_metrics(ranked: DataFrame, list_cols: Sequence[str], ks: Sequence[i
     exprs = []
     for k in ks:
         h = F.col(f"hits_{k}")
+        has = F.col("n_rel") > 0            # lists without a relevant row: null (left out of means)
         exprs += [(h > 0).cast("double").alias(f"hr_{k}"),
-                  (F.col(f"dcg_{k}") / F.col("idcg")).alias(f"ndcg_{k}"),
-                  (h / F.col("n_rel")).alias(f"recall_{k}"),
+                  F.when(has, F.col(f"dcg_{k}") / F.col("idcg")).alias(f"ndcg_{k}"),
+                  F.when(has, h / F.col("n_rel")).alias(f"recall_{k}"),
                   (h / F.least(F.lit(k), F.col("n_items"))).alias(f"precision_{k}")]
     best = F.col("best_rank")
     mrr = F.when(best.isNull(), 0.0).otherwise(1.0 / best)
