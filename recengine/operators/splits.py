@@ -21,15 +21,14 @@ def recency_rank(df: DataFrame, user: str = "user_id", item: str = "item_id", ts
 
 
 def out_of_order_rows(df: DataFrame, user: str = "user_id", ts: str = "ts",
-                      pos: str = "pos") -> DataFrame:
-    """Rows whose time is older than the previous row of the same list.
-
-    ``pos`` is the list position.  The window holds one user's list; lists
-    are bounded user histories, and ``lag`` streams without buffering.
-    """
-    w = Window.partitionBy(user).orderBy(pos)
-    return (df.withColumn("prev_ts", F.lag(ts).over(w))
-            .filter(F.col("prev_ts") > F.col(ts)))
+                      order: list[str] | tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Rows whose time is older than the previous row of the same user's
+    list (``order`` = list order).  The previous row is found by rank, then an
+    equi-join on (user, rank - 1): no window over a user's whole list, so a
+    user with a third of all rows is still spread over many tasks."""
+    r = ranked(df, [user], [F.col(c) for c in order], rank_col="__r")
+    prev = r.select(user, (F.col("__r") + 1).alias("__r"), F.col(ts).alias("prev_ts"))
+    return r.join(prev, [user, "__r"]).filter(F.col("prev_ts") > F.col(ts)).drop("__r")
 
 
 def _latest_per_user(df: DataFrame, user: str, item: str, ts: str) -> DataFrame:

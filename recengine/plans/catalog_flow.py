@@ -308,3 +308,116 @@ def j6_range(spark, sf):
     r = ranked(_inter(spark, sf), ["user_id"], [F.col("ts").desc(), F.col("item_id").desc()], "rank", "size",
                local_limit=0)
     return r.select("user_id", "item_id", "rank", "size")
+
+
+# ---------------------------------------------------------------- lists, rankings, sorts
+_SCORED_SQL = f"""{q.DENSE},
+  {q.latest_per_user('dense')},
+  train AS (SELECT * FROM dense d WHERE NOT EXISTS
+            (SELECT 1 FROM latest l WHERE l.user_id = d.user_id AND l.item_id = d.item_id)),
+  {q.negatives('dense', 50, SEED, 'test')},
+  {q.lists('latest', 'neg')},
+  pop AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM train GROUP BY item_id),
+  scored AS (SELECT l.*, coalesce(p.score, 0.0) AS score FROM lists l LEFT JOIN pop p USING (item_id)),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, list_item ORDER BY score DESC, item_id) AS rank FROM scored)"""
+
+
+def _scored_lists(spark, sf):
+    inter = dense_interactions(spark, sf)
+    split = splits.leave_one_out(inter)
+    train = split.filter(F.col("split") == "train")
+    test = split.filter(F.col("split") == "test")
+    lists = negatives.labelled_lists(test, negatives.sample_negatives(inter, 50, SEED, "test"))
+    return lists.join(popularity_scores(train), "item_id", "left").fillna(0.0, subset=["score"])
+
+
+@register("E1_positives_join_negatives", f"""
+WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
+  {q.negatives('inter', 50, SEED, 'test')}
+SELECT l.user_id, l.item_id AS list_item, n.item_id, n.neg_rank FROM latest l JOIN neg n USING (user_id)""")
+def e1(spark, sf):
+    inter = _inter(spark, sf)
+    test = splits.leave_one_out(inter).filter(F.col("split") == "test").select("user_id", F.col("item_id").alias("list_item"))
+    negs = negatives.sample_negatives(inter, 50, SEED, "test")
+    return test.join(negs, "user_id").select("user_id", "list_item", "item_id", "neg_rank")
+
+
+@register("G4_full_ranking_per_list", f"WITH {_SCORED_SQL} SELECT user_id, list_item, item_id, rank FROM rk")
+def g4(spark, sf):
+    from recengine.operators.evaluate import rank_lists
+    return rank_lists(_scored_lists(spark, sf), ["user_id", "list_item"]).select(
+        "user_id", "list_item", "item_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("G3_top_k_per_list", f"WITH {_SCORED_SQL} SELECT user_id, list_item, item_id, rank FROM rk WHERE rank <= 10")
+def g3(spark, sf):
+    from recengine.operators.evaluate import top_k
+    return top_k(_scored_lists(spark, sf), ["user_id", "list_item"], 10).select(
+        "user_id", "list_item", "item_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("L1_L5_per_list_metrics", f"""WITH {_SCORED_SQL},
+  agg AS (SELECT user_id, list_item, sum(CASE WHEN label = 1 AND pos_in_list = 0 THEN 1 ELSE 0 END) AS n_rel,
+                 count(*) AS n_items, min(CASE WHEN label = 1 AND pos_in_list = 0 THEN rank END) AS best_rank,
+                 sum(CASE WHEN label = 1 AND pos_in_list = 0 AND rank <= 10 THEN 1 ELSE 0 END) AS hits,
+                 sum(CASE WHEN label = 1 AND pos_in_list = 0 AND rank <= 10 THEN 1.0 / log2(rank + 1) ELSE 0.0 END) AS dcg
+          FROM rk GROUP BY user_id, list_item)
+SELECT user_id, list_item, CAST(CASE WHEN hits > 0 THEN 1 ELSE 0 END AS DOUBLE) AS hr_10,
+       round(dcg / list_sum(list_transform(range(1, CAST(greatest(n_rel, 1) AS BIGINT) + 1), lambda j: 1.0 / log2(j + 1))), 6) AS ndcg_10,
+       round(hits / n_rel, 6) AS recall_10, round(hits / least(10, n_items), 6) AS precision_10,
+       round(CASE WHEN best_rank IS NULL THEN 0.0 ELSE 1.0 / best_rank END, 6) AS mrr
+FROM agg""")
+def l1_l5(spark, sf):
+    from recengine.operators.evaluate import per_list_metrics, rank_lists
+    per = per_list_metrics(rank_lists(_scored_lists(spark, sf), ["user_id", "list_item"]), ["user_id", "list_item"], ks=(10,))
+    return per.select("user_id", "list_item", "hr_10", *[F.round(c, 6).alias(c) for c in
+                                                         ("ndcg_10", "recall_10", "precision_10", "mrr")])
+
+
+@register("F12_mean_of_per_list_metrics", f"""WITH {_SCORED_SQL},
+  agg AS (SELECT user_id, list_item, min(CASE WHEN label = 1 AND pos_in_list = 0 THEN rank END) AS best_rank FROM rk
+          GROUP BY user_id, list_item)
+SELECT round(avg(CASE WHEN best_rank IS NULL THEN 0.0 ELSE 1.0 / best_rank END), 6) AS mean_mrr,
+       round(avg(CASE WHEN best_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS mean_hr_10 FROM agg""")
+def f12(spark, sf):
+    from recengine.operators.evaluate import per_list_metrics, rank_lists
+    per = per_list_metrics(rank_lists(_scored_lists(spark, sf), ["user_id", "list_item"]), ["user_id", "list_item"], ks=(10,))
+    return per.agg(F.round(F.avg("mrr"), 6).alias("mean_mrr"), F.round(F.avg("hr_10"), 6).alias("mean_hr_10"))
+
+
+@register("G2_out_of_order_rows", f"""
+WITH p AS ({q.PURCHASES}),
+  r AS (SELECT user_id, item_id, order_id, line_no, ts,
+               lag(ts) OVER (PARTITION BY user_id ORDER BY order_id, line_no, item_id, quantity) AS prev_ts FROM p)
+SELECT user_id, item_id, order_id, line_no FROM r WHERE prev_ts > ts""")
+def g2(spark, sf):
+    p = fixtures.purchases(spark, sf)
+    rows = splits.out_of_order_rows(p, order=["order_id", "line_no", "item_id", "quantity"])
+    return rows.select("user_id", "item_id", "order_id", "line_no")
+
+
+@register("G5_per_user_sort_by_score", f"""
+WITH inter AS ({q.INTERACTIONS}),
+  est AS (SELECT item_id, count(*) AS est FROM inter GROUP BY item_id)
+SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY e.est DESC, item_id) AS rank
+FROM inter JOIN est e USING (item_id)""")
+def g5(spark, sf):
+    from recengine.operators.ordering import ranked
+    inter = _inter(spark, sf)
+    est = inter.groupBy("item_id").agg(F.count(F.lit(1)).alias("est"))     # the score: item popularity
+    r = ranked(inter.join(est, "item_id"), ["user_id"], [F.col("est").desc(), F.col("item_id").asc()], "rank")
+    return r.select("user_id", "item_id", "rank")
+
+
+@register("G6_global_sort", """
+SELECT event_type, count(*) AS count FROM events GROUP BY event_type ORDER BY count DESC, event_type""")
+def g6(spark, sf):
+    e = load(spark, sf, "events", ["event_type"])
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "event_type")
+
+
+@register("G7_best_row_by_metric", """
+SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id ASC LIMIT 1""")
+def g7(spark, sf):
+    e = load(spark, sf, "events", ["event_id", "user_id", "value"])
+    return e.orderBy(F.col("value").desc(), F.col("event_id").asc()).limit(1)
