@@ -1,0 +1 @@
+"""recengine: recommender-system data pipelines as Spark DataFrame operators."""

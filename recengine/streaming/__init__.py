@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference pipeline has no streaming, watermark, window or stateful code,
+so no streaming operator is built.  Every operator here is a DataFrame ->
+DataFrame function, so it can be applied inside ``foreachBatch`` unchanged.
+"""
