@@ -8,7 +8,10 @@ user's sample is the first ``n`` unseen items along the permutation, which is
 a draw **without replacement**.  Walking ``n + seen + (P - pool)`` slots
 (never more than ``P``, the whole permutation) is guaranteed to meet ``n``
 unseen items when they exist, so no candidate cap is needed and the result
-is exact; cost is ``O(users * n + |seen|)`` rows, not ``users * items``.
+is exact.  The walk is done in two legs: the expected length first
+(``1.25 n / share_unseen + 16``), then -- only for users still short of
+``n`` -- the rest of the exact bound; so the cost is about
+``users * n / share_unseen`` rows, not ``users * items`` nor ``|seen|``.
 
 Slots are produced in chunks spread by a (user, chunk) repartition, so a
 user holding a third of all rows is walked by many tasks; the final
@@ -44,7 +47,8 @@ def item_pool_index(items: DataFrame, seed: int, item: str = "item_id") -> DataF
 
 def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
                      pool: DataFrame | None = None, user: str = "user_id",
-                     item: str = "item_id", pool_index: DataFrame | None = None) -> DataFrame:
+                     item: str = "item_id", pool_index: DataFrame | None = None,
+                     first_leg_scale: float = 1.25, first_leg_margin: int = 16) -> DataFrame:
     """For every user in ``seen``, ``n`` items of the pool it never saw.
 
     ``seen``: (user, item) rows (duplicates allowed).  ``pool``: items to draw
@@ -65,23 +69,41 @@ def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
     per_user = (pairs.select(user).distinct().join(per_user, user, "left")
                 .fillna(0, subset=["_seen"]))
     walk = F.least(F.lit(n) + F.col("_seen") + F.lit(big_p - pool_n), F.lit(big_p)).cast("bigint")
+    # phase 1 walks the expected length (n / share of unseen slots, +25% and a
+    # margin); phase 2 continues the same permutation, only for users still
+    # short of n, up to the exact bound.  Same rows as one full walk.
+    share = F.greatest((F.lit(pool_n) - F.col("_seen")) / F.lit(big_p), F.lit(1e-12))
+    first_leg = F.least(F.ceil(F.lit(first_leg_scale * n) / share) + first_leg_margin,
+                        F.col("_walk")).cast("bigint")
     # the user's permutation constants: hashed once per user, before the walk is exploded
     a = (F.lit(1) + F.pmod(hash_int(f"{seed}|{salt}|a", user), F.lit(big_p - 1))) if big_p > 2 else F.lit(1)
     b = F.pmod(hash_int(f"{seed}|{salt}|b", user), F.lit(big_p))
-    chunks = (per_user.select(user, walk.alias("_walk"), a.cast("bigint").alias("_a"), b.cast("bigint").alias("_b"))
-              .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                         F.floor((F.col("_walk") - 1) / CHUNK).cast("bigint"))))
-              .repartition(user, "_chunk"))
-    slots = (chunks
-             .withColumn("slot", F.explode(F.sequence(
-                 F.col("_chunk") * CHUNK,
-                 F.least((F.col("_chunk") + 1) * CHUNK, F.col("_walk")) - 1)))
-             .withColumn("item_idx", F.pmod(F.col("_a") * F.col("slot") + F.col("_b"), F.lit(big_p)))
-             .filter(F.col("item_idx") < pool_n)
-             .select(user, "slot", "item_idx"))
-    unseen = slots.join(seen_idx, [user, "item_idx"], "left_anti")
+    plan = (per_user.select(user, "_seen", walk.alias("_walk"), a.cast("bigint").alias("_a"), b.cast("bigint").alias("_b"))
+            .withColumn("_leg1", first_leg))
     w = Window.partitionBy(user).orderBy("slot")
-    firsts = unseen.withColumn("neg_rank", F.row_number().over(w)).filter(F.col("neg_rank") <= n)
+
+    def walk_range(users: DataFrame, start: str, stop: str) -> DataFrame:
+        chunks = (users.withColumn("_chunk", F.explode(F.sequence(
+                      F.floor(F.col(start) / CHUNK).cast("bigint"), F.floor((F.col(stop) - 1) / CHUNK).cast("bigint"))))
+                  .repartition(user, "_chunk"))      # a hot user's walk is spread over tasks
+        slots = (chunks
+                 .withColumn("slot", F.explode(F.sequence(
+                     F.greatest(F.col("_chunk") * CHUNK, F.col(start)),
+                     F.least((F.col("_chunk") + 1) * CHUNK, F.col(stop)) - 1)))
+                 .withColumn("item_idx", F.pmod(F.col("_a") * F.col("slot") + F.col("_b"), F.lit(big_p)))
+                 .filter(F.col("item_idx") < pool_n)
+                 .select(user, "slot", "item_idx"))
+        unseen = slots.join(seen_idx, [user, "item_idx"], "left_anti")
+        return unseen.withColumn("neg_rank", F.row_number().over(w)).filter(F.col("neg_rank") <= n)
+
+    leg1 = walk_range(plan.withColumn("_zero", F.lit(0).cast("bigint")), "_zero", "_leg1")
+    found = leg1.groupBy(user).agg(F.count(F.lit(1)).alias("_found"))
+    rest = (plan.join(found, user, "left").fillna(0, subset=["_found"])
+            .filter((F.col("_found") < n) & (F.col("_leg1") < F.col("_walk"))))
+    leg2 = (walk_range(rest, "_leg1", "_walk").join(rest.select(user, "_found"), user)
+            .withColumn("neg_rank", F.col("neg_rank") + F.col("_found"))
+            .filter(F.col("neg_rank") <= n).drop("_found"))
+    firsts = leg1.unionByName(leg2)
     return firsts.join(idx, "item_idx").select(user, item, F.col("neg_rank").cast("bigint"))
 
 

@@ -103,3 +103,13 @@ def test_completion_rating(spark):
     df = spark.createDataFrame([(0.0,), (0.2,), (0.8,), (1.0,), (1.5,)], "p double")
     got = [r.c for r in df.select(completion_rating("p", 0.8).alias("c")).collect()]
     assert got == [0.0, 5 * (0.25 ** 0.5), 5.0, 5.0, 5.0]
+
+
+def test_second_leg_gives_the_same_rows(spark):
+    rows = [(u, (u * 11 + i * 3) % 60) for u in range(25) for i in range(u + 1)]
+    seen = spark.createDataFrame(rows, "user_id long, item_id long")
+    full = sorted(tuple(r) for r in N.sample_negatives(seen, 6, 5, "t").collect())
+    # a one-slot first leg forces nearly every user through the second leg
+    tiny = sorted(tuple(r) for r in N.sample_negatives(seen, 6, 5, "t", first_leg_scale=0.0,
+                                                       first_leg_margin=1).collect())
+    assert full == tiny
