@@ -4,7 +4,9 @@ The reference trains PyTorch networks on one GPU; here the same feature
 sets -- user factors, item factors, their element-wise product, an item text
 vector, graph vectors -- are assembled into one ``features`` column and fed
 to Spark ML estimators, which fit in distributed passes (ALS block updates,
-L-BFGS aggregates).  Scoring is ``model.transform`` over candidate rows.
+L-BFGS aggregates).  Scoring is ``model.transform`` (or a factor join) over candidate rows;
+open-catalogue top-N via ``recommendForUserSubset`` is not offered because
+it is a blocked cartesian product of users and items.
 """
 
 from __future__ import annotations
@@ -121,12 +123,3 @@ def score(model: PipelineModel, candidates: DataFrame, kind: str = "logistic") -
     out = model.transform(candidates)
     s = F.col("prediction") if kind == "linear" else vector_to_array("probability")[1]
     return out.withColumn("score", s.cast("double")).drop("rawPrediction", "probability", "prediction", "features")
-
-
-def recommend_top_n(model: ALSModel, users: DataFrame, n: int = 10, user: str = "user_id") -> DataFrame:
-    """K14 (open catalogue): top-``n`` items per user from ALS factors."""
-    recs = model.recommendForUserSubset(users.select(F.col(user).cast("int").alias(user)).distinct(), n)
-    return recs.select(F.col(user).cast("bigint").alias(user),
-                       F.posexplode("recommendations").alias("pos", "rec")).select(
-        user, (F.col("pos") + 1).alias("rank"), F.col("rec.item_id").cast("bigint").alias("item_id"),
-        F.col("rec.rating").alias("score"))

@@ -208,10 +208,16 @@ def k14(spark, sf):
     return rank_lists(scored, LIST).filter(F.col("rank") <= 10).select(*LIST, "item_id", "rank")
 
 
-@register("K14_recommend_open_catalogue")
-def k14_open(spark, sf):
+@register("K14_als_top_n_candidates")
+def k14_als(spark, sf):
+    """Top-10 per user by ALS score over the user's candidate list (held-out
+    item + sampled unseen items).  Open-catalogue top-N (ALS
+    ``recommendForUserSubset``) is not used: Spark runs it as a blocked
+    cartesian product of all users and items."""
     st = _setup(spark, sf)
-    return MD.recommend_top_n(st.als(False), st.test.select("user_id"), 10).select("user_id", "rank", "item_id")
+    uf, itf = MD.factors(st.als(False))
+    scored = MD.gmf_score(st.test_lists, uf, itf).withColumn("score", F.coalesce("gmf", F.lit(0.0)))
+    return rank_lists(scored, LIST).filter(F.col("rank") <= 10).select(*LIST, "item_id", "rank")
 
 
 # ---------------------------------------------------------------- L7/L8/L10
