@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from recengine.functions.hashing import hash_hex, hash_int
 from recengine.operators.ordering import dense_index
+from recengine.session import cut_lineage
 
 CHUNK = 4096
 
@@ -116,7 +117,8 @@ def train_test_negatives(seen: DataFrame, n_train: int = 4, n_test: int = 50, se
     ``n_train`` go to train and the rest to test (J14), so the sets never
     overlap.
     """
-    pairs = seen.select(user, item).distinct()
+    # both draws (and several branches of each) read the pairs: cut them once
+    pairs = cut_lineage(seen.select(user, item).distinct())
     idx = item_pool_index(pairs, seed, item)
     if disjoint:
         d = sample_negatives(pairs, n_train + n_test, seed, "draw", user=user, item=item, pool_index=idx)
