@@ -37,11 +37,13 @@ def concat_vectors(*cols: str | Column) -> Column:
     return F.concat(*[_c(c) for c in cols])
 
 
-def pad_truncate(col: str | Column, width: int, pad=0) -> Column:
-    """Pad with ``pad`` / truncate to exactly ``width`` elements."""
+def pad_truncate(col: str | Column, width: int | Column, pad=0) -> Column:
+    """Pad with ``pad`` / truncate to exactly ``width`` elements
+    (``width`` may be a column, e.g. the longest list as a scalar subquery)."""
     c = _c(col)
+    w = width if isinstance(width, Column) else F.lit(width)
     return F.slice(F.concat(c, F.array_repeat(F.lit(pad).cast("int") if isinstance(pad, int) else F.lit(pad),
-                                              F.lit(width))), 1, width)
+                                              w)), F.lit(1), w)
 
 
 def struct_names(col: str | Column, field: str = "name", sep: str = "\n") -> Column:

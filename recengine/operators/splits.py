@@ -110,6 +110,29 @@ def exact_random_split(df: DataFrame, fractions: tuple[float, ...] = (0.8, 0.1),
     return r.withColumn("split", expr).drop("_r", "_n")
 
 
+def approximate_random_split(df: DataFrame, weights: tuple[float, ...] = (0.8, 0.1, 0.1),
+                             names: tuple[str, ...] = ("train", "valid", "test"), seed: int = 42) -> DataFrame:
+    """J10 fast mode: Spark's ``randomSplit`` (Bernoulli per row, sizes only
+    approximately proportional; depends on the partitioning)."""
+    parts = df.randomSplit(list(weights), seed)
+    out = None
+    for part, name in zip(parts, names):
+        p = part.withColumn("split", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def approximate_stratified_split(df: DataFrame, frac: float = 0.1, seed: int = 42,
+                                 key: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:
+    """J11 fast mode: every row goes to test with probability ``frac`` by a
+    seeded hash of its key -- each stratum gets about ``frac`` of its rows,
+    with no per-stratum counting, nothing collected, and the same rows under
+    any partitioning (``sampleBy`` would need the strata on the driver)."""
+    from recengine.functions.hashing import hash_int
+    draw = F.pmod(hash_int(f"{seed}|bernoulli", *key), F.lit(1_000_000)) < int(frac * 1_000_000)
+    return df.withColumn("split", F.when(draw, "test").otherwise("train"))
+
+
 def user_sample_split(df: DataFrame, max_users: int = 1000, item_frac: float = 0.2, seed: int = 42,
                       user: str = "user_id", item: str = "item_id") -> DataFrame:
     """The first ``max_users`` users in md5 order hold out

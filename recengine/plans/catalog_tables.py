@@ -508,3 +508,15 @@ def h4(spark, sf):
     inter = fixtures.interactions(spark, sf).select("user_id", "item_id")
     test = splits.leave_one_out(fixtures.interactions(spark, sf)).filter(F.col("split") == "test").select("user_id", "item_id")
     return inter.exceptAll(test)
+
+
+@register("C12_pad_to_longest", """
+WITH s AS (SELECT page_id, string_split(url, '/') AS parts FROM pages),
+  m AS (SELECT max(len(parts)) AS w FROM s)
+SELECT page_id, array_to_string(list_resize(parts, (SELECT w FROM m), '<pad>'), '|') AS padded,
+       CAST((SELECT w FROM m) AS INTEGER) AS width FROM s""")
+def c12_longest(spark, sf):
+    p = _t(spark, sf, "pages", ["page_id", "url"]).select("page_id", F.split("url", "/").alias("parts"))
+    longest = p.select(F.max(F.size("parts"))).scalar()
+    padded = A.pad_truncate("parts", longest, "<pad>")
+    return p.select("page_id", F.array_join(padded, "|").alias("padded"), F.size(padded).alias("width"))

@@ -113,3 +113,13 @@ def test_second_leg_gives_the_same_rows(spark):
     tiny = sorted(tuple(r) for r in N.sample_negatives(seen, 6, 5, "t", first_leg_scale=0.0,
                                                        first_leg_margin=1).collect())
     assert full == tiny
+
+
+def test_approximate_modes(spark):
+    rows = [(u, i, float(i % 5)) for u in range(200) for i in range(20)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    s = S.approximate_stratified_split(df, 0.1, seed=3)
+    share = s.filter("split = 'test'").count() / 4000
+    assert 0.07 < share < 0.13
+    r = S.approximate_random_split(df, (0.8, 0.1, 0.1), seed=3)
+    assert r.count() == 4000 and {x.split for x in r.select("split").distinct().collect()} == {"train", "valid", "test"}
