@@ -58,10 +58,10 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- triangles
-def oriented(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def oriented(nodes: DataFrame, edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
     """Orient every edge from the lower to the higher (degree, id): each
     node then has out-degree <= sqrt(2m), which bounds the 2-path join."""
-    d = degrees(nodes, edges)
+    d = deg if deg is not None else degrees(nodes, edges)
     e = (edges.join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src")
          .join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst"))
     lo_first = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
@@ -69,10 +69,10 @@ def oriented(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     F.when(lo_first, F.col("dst")).otherwise(F.col("src")).alias("v"))
 
 
-def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def triangles(nodes: DataFrame, edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
     """Every triangle once, as ``(a, b, c)``: oriented 2-paths
     ``a->b->c`` closed by an arc ``a->c`` (equi-joins only)."""
-    o = oriented(nodes, edges)
+    o = oriented(nodes, edges, deg)
     paths = (o.select(F.col("u").alias("a"), F.col("v").alias("b"))
              .join(o.select(F.col("u").alias("b"), F.col("v").alias("c")), "b"))
     return paths.join(o.select(F.col("u").alias("a"), F.col("v").alias("c")), ["a", "c"], "left_semi")
@@ -80,10 +80,11 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """M4: local clustering ``2 T(v) / (d (d - 1))``, 0 when ``d < 2``."""
-    t = triangles(nodes, edges)
+    deg = degrees(nodes, edges)
+    t = triangles(nodes, edges, deg)
     per = (t.select(F.explode(F.array("a", "b", "c")).alias("node"))
            .groupBy("node").agg(F.count(F.lit(1)).alias("triangles")))
-    d = degrees(nodes, edges).join(per, "node", "left").fillna(0, subset=["triangles"])
+    d = deg.join(per, "node", "left").fillna(0, subset=["triangles"])
     c = F.when(F.col("degree") < 2, F.lit(0.0)).otherwise(
         2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1)))
     return d.withColumn("clustering", c)

@@ -41,9 +41,10 @@ def next_prime(n: int) -> int:
 
 
 def item_pool_index(items: DataFrame, seed: int, item: str = "item_id") -> DataFrame:
-    """``(item, item_idx)``: pool items densely indexed in md5(seed, item) order."""
+    """``(item, item_idx)``: pool items densely indexed in md5(seed, item) order.
+    Materialised once: the sampler counts it and joins it twice."""
     pool = items.select(item).distinct().withColumn("_h", hash_hex(f"{seed}|pool", item))
-    return dense_index(pool, ["_h", item], "item_idx").select(item, "item_idx")
+    return cut_lineage(dense_index(pool, ["_h", item], "item_idx").select(item, "item_idx"))
 
 
 def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
