@@ -134,37 +134,45 @@ def mean_of_neighbours(long: DataFrame, edges: DataFrame) -> DataFrame:
                .select("node", F.col("dim").cast("int").alias("dim"), (F.col("__x") / F.col("__deg")).alias("value"))
 
 
-def _neighbour_mean_arrays(vec: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+def _neighbour_mean_arrays(vec: DataFrame, arcs: DataFrame, name: str) -> DataFrame:
     """``(node, array)`` -> ``(node, mean of neighbour arrays)``: one row per
     arc carrying a whole vector, summed per node by ``Summarizer``."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    arcs = both_directions(edges)
     v = vec.select(F.col("node").alias("nbr"), array_to_vector("__v").alias("__x"))
     s = arcs.join(v, "nbr").groupBy("node").agg(Summarizer.sum(F.col("__x")).alias("__s"),
                                                  F.count(F.lit(1)).alias("__deg"))
     return s.select("node", F.transform(vector_to_array("__s"), lambda x: x / F.col("__deg")).alias(name))
 
 
-def neu(long: DataFrame, edges: DataFrame, l1: float = 0.5, l2: float = 0.25, iterations: int = 1) -> DataFrame:
-    """M6: Network Embedding Update (published NEU): rows L2-normalised, then
-    ``R + l1 * A R + l2 * A^2 R`` with ``A = D^-1 A``; nodes without
-    neighbours keep ``R``.  Long form in and out; vectors stay whole arrays
-    in between (no per-dimension joins)."""
+def neu_arrays(vec: DataFrame, edges: DataFrame, l1: float = 0.5, l2: float = 0.25,
+               iterations: int = 1, name: str = "vec") -> DataFrame:
+    """M6: Network Embedding Update (published NEU) on ``(node, array)``:
+    rows L2-normalised, then ``R + l1 * A R + l2 * A^2 R`` with
+    ``A = D^-1 A``; nodes without neighbours keep ``R``.  Vectors stay whole
+    arrays (no per-dimension joins); the arcs are materialised once since
+    every step reads them."""
     from recengine.session import cut_lineage
-    r = to_array(long, "__v")
+    arcs = cut_lineage(both_directions(edges))
+    r = vec.select("node", F.col(name).cast("array<double>").alias("__v"))
     for it in range(iterations):
         norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda acc, x: acc + x * x))
         r = r.withColumn("__v", F.transform("__v", lambda x: F.when(norm > 0, x / norm).otherwise(x)))
-        ar = _neighbour_mean_arrays(r, edges, "__a")
-        aar = _neighbour_mean_arrays(ar.withColumnRenamed("__a", "__v"), edges, "__aa")
+        ar = _neighbour_mean_arrays(r, arcs, "__a")
+        aar = _neighbour_mean_arrays(ar.withColumnRenamed("__a", "__v"), arcs, "__aa")
         zero = F.transform("__v", lambda x: F.lit(0.0))
         r = (r.join(ar, "node", "left").join(aar, "node", "left")
              .select("node", F.zip_with(F.zip_with("__v", F.coalesce("__a", zero), lambda x, y: x + l1 * y),
                                         F.coalesce("__aa", zero), lambda x, y: x + l2 * y).alias("__v")))
         if it + 1 < iterations:
             r = cut_lineage(r)      # iterative: keep the plan short, survive executor loss
-    return r.select("node", F.posexplode("__v").alias("dim", "value")).select(
+    return r.withColumnRenamed("__v", name)
+
+
+def neu(long: DataFrame, edges: DataFrame, l1: float = 0.5, l2: float = 0.25, iterations: int = 1) -> DataFrame:
+    """M6 on long form ``(node, dim, value)`` in and out."""
+    out = neu_arrays(to_array(long, "vec"), edges, l1, l2, iterations, "vec")
+    return out.select("node", F.posexplode("vec").alias("dim", "value")).select(
         "node", F.col("dim").cast("int").alias("dim"), "value")
 
 

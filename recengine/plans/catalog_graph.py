@@ -141,9 +141,11 @@ def m11(spark, sf):
 SELECT r.node, r.dim, round(r.value + 0.5 * coalesce(ar.value, 0.0) + 0.25 * coalesce(aar.value, 0.0), 6) + 0.0 AS value
 FROM r LEFT JOIN ar USING (node, dim) LEFT JOIN aar USING (node, dim)""")
 def m6(spark, sf):
-    nodes, edges, long = _features(spark, sf)
-    out = G.neu(long, edges, 0.5, 0.25, 1)
-    return out.select("node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+    nodes, edges = copurchase(spark, sf)
+    feats = G.node_features(nodes, load(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding", WIDTH)
+    out = G.neu_arrays(feats, edges, 0.5, 0.25, 1, "vec")
+    return out.select("node", F.posexplode("vec").alias("dim", "value")).select(
+        "node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 def _scores(long):

@@ -74,8 +74,8 @@ class _Setup:
     def graph(self) -> DataFrame:
         nodes, edges = copurchase(self.spark, self.sf)
         emb = load(self.spark, self.sf, "embeddings", ["vec_id", "embedding"])
-        long = G.to_long(G.node_features(nodes, emb, "vec_id", "embedding", 64), "node", "vec")
-        vec = cut_lineage(G.to_array(G.neu(long, edges), "graph"))
+        feats = G.node_features(nodes, emb, "vec_id", "embedding", 64)
+        vec = cut_lineage(G.neu_arrays(feats, edges, name="vec").withColumnRenamed("vec", "graph"))
         return vec.join(self.items, vec.node == self.items.item_id).select(F.col("iidx").alias("item_id"), "graph")
 
 
