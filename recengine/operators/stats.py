@@ -33,14 +33,32 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def summary(df: DataFrame, col: str, group: Sequence[str] = (), digits: int = 6) -> DataFrame:
-    """mean, sample std, min, max, median (interpolated), smallest mode."""
+    """mean, sample std, min, max, median (interpolated), smallest mode.
+
+    Exact, and without an unbounded buffer in one task: the median is read
+    off the size-checked ``ranked`` order (distributed range path for big
+    groups), the mode from a ``groupBy(value)`` count reduced by
+    ``min_by`` (partial aggregates).  Spark's exact ``median``/``mode``
+    aggregates would keep every distinct value of a group in one buffer."""
+    from recengine.operators.ordering import ranked
     c = F.col(col)
-    g = df.groupBy(*group) if group else df.groupBy()
-    return g.agg(F.round(F.avg(c), digits).alias("mean"),
-                 F.round(F.stddev_samp(c), digits).alias("std"),
-                 F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-                 F.round(F.median(c), digits).alias("median"),
-                 F.mode(c, deterministic=True).cast("double").alias("mode"))
+    g = list(group)
+    vals = df.select(*g, c.alias("__x")).filter(F.col("__x").isNotNull())
+    base = (df.groupBy(*g) if g else df.groupBy()).agg(
+        F.round(F.avg(c), digits).alias("mean"), F.round(F.stddev_samp(c), digits).alias("std"),
+        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+    r = ranked(vals, g, [F.col("__x")], rank_col="__r", size_col="__n")
+    lo, hi = F.floor((F.col("__n") + 1) / 2), F.ceil((F.col("__n") + 1) / 2)
+    med = (r.filter((F.col("__r") == lo) | (F.col("__r") == hi))
+           .groupBy(*g).agg(F.round(F.avg(F.col("__x").cast("double")), digits).alias("median")))
+    counts = vals.groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    mode = (counts.groupBy(*g) if g else counts.groupBy()).agg(
+        F.min_by(F.col("__x"), F.struct((-F.col("__c")).alias("c"), F.col("__x").alias("x")))
+        .cast("double").alias("mode"))
+    if g:
+        return base.join(med, g, "left").join(mode, g, "left")
+    return base.select("*", med.select("median").scalar().alias("median"),
+                       mode.select("mode").scalar().alias("mode"))
 
 
 def fanout_stats(df: DataFrame, a: str, b: str, relation: str = "") -> DataFrame:
