@@ -421,3 +421,22 @@ SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id ASC LI
 def g7(spark, sf):
     e = load(spark, sf, "events", ["event_id", "user_id", "value"])
     return e.orderBy(F.col("value").desc(), F.col("event_id").asc()).limit(1)
+
+
+@register("J8_user_set_check", f"""
+WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
+  train AS (SELECT DISTINCT i.user_id FROM inter i WHERE NOT EXISTS
+            (SELECT 1 FROM latest l WHERE l.user_id = i.user_id AND l.item_id = i.item_id)),
+  test AS (SELECT DISTINCT user_id FROM latest)
+SELECT (SELECT count(*) FROM train) AS train_users, (SELECT count(*) FROM test) AS test_users,
+       (SELECT count(*) FROM test WHERE user_id NOT IN (SELECT user_id FROM train)) AS test_only_users""")
+def j8_user_check(spark, sf):
+    """J8 data-quality check: the leave-one-out user sets (the reference
+    asserts they are equal; users with one interaction are test-only)."""
+    s = splits.leave_one_out(_inter(spark, sf))
+    tr = s.filter(F.col("split") == "train").select("user_id").distinct()
+    te = s.filter(F.col("split") == "test").select("user_id").distinct()
+    return spark.range(1).select(tr.select(F.count(F.lit(1))).scalar().alias("train_users"),
+                                 te.select(F.count(F.lit(1))).scalar().alias("test_users"),
+                                 te.join(tr, "user_id", "left_anti").select(F.count(F.lit(1))).scalar()
+                                 .alias("test_only_users"))

@@ -245,3 +245,9 @@ def m5(spark, sf):
         emb.select(F.countDistinct("dim")).scalar().alias("width"),
         (err.select(F.first("max_gram_error")).scalar() < 1e-6).alias("orthonormal"),
         lam.select(F.min((F.col("ev") >= -1e-9) & (F.col("ev") <= 2 + 1e-9))).scalar().alias("eigen_in_range"))
+
+
+@register("M2_edge_preview", f"WITH {BIPARTITE_SQL} SELECT src, dst FROM edges ORDER BY src, dst LIMIT 5")
+def m2_preview(spark, sf):
+    """M2: the first edges of the graph (a preview: the limit is the feature)."""
+    return bipartite(spark, sf)[1].orderBy("src", "dst").limit(5)

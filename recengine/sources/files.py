@@ -101,10 +101,12 @@ def materialise_samples(df: DataFrame, path: str, overwrite: bool = False) -> Da
     """Write labelled samples partitioned by ``split`` unless they exist
     (explicit ``overwrite`` flag instead of the reference's cache check on
     a file name), then read them back."""
+    from pyspark.errors import AnalysisException
     spark = df.sparkSession
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if overwrite or not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        df.write.mode("overwrite").partitionBy("split").parquet(path)
+    if not overwrite:
+        try:
+            return spark.read.schema(df.schema).parquet(path)
+        except AnalysisException:      # not written yet
+            pass
+    df.write.mode("overwrite").partitionBy("split").parquet(path)
     return spark.read.parquet(path)
