@@ -44,16 +44,15 @@ def leave_one_out(df: DataFrame, user: str = "user_id", item: str = "item_id", t
     (``train='rest'``) or only the second latest (``train='second'``).
     The join back is on (user, item), so no key is hot."""
     test_keys = _latest_per_user(df, user, item, ts).withColumn("_t", F.lit(True))
-    marked = df.join(test_keys, [user, item], "left")
-    test = marked.filter(F.col("_t").isNotNull()).drop("_t")
-    rest = marked.filter(F.col("_t").isNull()).drop("_t")
-    if train == "second":
-        second = _latest_per_user(rest, user, item, ts)
-        rest = rest.join(second, [user, item], "left_semi")
-    elif train != "rest":
+    marked = df.join(test_keys, [user, item], "left").withColumn(
+        "split", F.when(F.col("_t").isNotNull(), "test").otherwise("train")).drop("_t")
+    if train == "rest":
+        return marked                                   # one pass, no union
+    if train != "second":
         raise ValueError(f"train must be 'rest' or 'second', got {train!r}")
-    return (test.withColumn("split", F.lit("test"))
-            .unionByName(rest.withColumn("split", F.lit("train"))))
+    rest = marked.filter(F.col("split") == "train")
+    second = _latest_per_user(rest, user, item, ts)
+    return marked.filter(F.col("split") == "test").unionByName(rest.join(second, [user, item], "left_semi"))
 
 
 def users_with_min_rows(df: DataFrame, user: str = "user_id", min_rows: int = 2) -> DataFrame:
