@@ -151,9 +151,9 @@ def neu_arrays(vec: DataFrame, edges: DataFrame, l1: float = 0.5, l2: float = 0.
     rows L2-normalised, then ``R + l1 * A R + l2 * A^2 R`` with
     ``A = D^-1 A``; nodes without neighbours keep ``R``.  Vectors stay whole
     arrays (no per-dimension joins); the arcs are materialised once since
-    every step reads them."""
-    from recengine.session import cut_lineage
-    arcs = cut_lineage(both_directions(edges))
+    every step reads them (kept with ``reuse``)."""
+    from recengine.session import cut_lineage, reuse
+    arcs = reuse(both_directions(edges))
     r = vec.select("node", F.col(name).cast("array<double>").alias("__v"))
     for it in range(iterations):
         norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda acc, x: acc + x * x))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from recengine.functions.hashing import hash_hex, hash_int
 from recengine.operators.ordering import dense_index
-from recengine.session import cut_lineage
+from recengine.session import cut_lineage, reuse
 
 CHUNK = 4096
 
@@ -99,8 +99,8 @@ def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
         return unseen.withColumn("neg_rank", F.row_number().over(w)).filter(F.col("neg_rank") <= n)
 
     # the first leg (about users * n rows) feeds both the per-user counts and
-    # the result: materialise it once instead of walking it twice
-    leg1 = cut_lineage(walk_range(plan.withColumn("_zero", F.lit(0).cast("bigint")), "_zero", "_leg1"))
+    # the result: keep it (``reuse``) instead of walking it twice
+    leg1 = reuse(walk_range(plan.withColumn("_zero", F.lit(0).cast("bigint")), "_zero", "_leg1"))
     found = leg1.groupBy(user).agg(F.count(F.lit(1)).alias("_found"))
     rest = (plan.join(found, user, "left").fillna(0, subset=["_found"])
             .filter((F.col("_found") < n) & (F.col("_leg1") < F.col("_walk"))))

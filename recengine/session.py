@@ -76,6 +76,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         held.unpersist()
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a result that one plan reads several times (memory, spilling to
+    disk).  Lazy -- no extra job; if an executor is lost its blocks are
+    recomputed from the (short) lineage.  For long or iterative lineage use
+    ``cut_lineage`` instead."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
