@@ -15,3 +15,14 @@ def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (4.0,)], "x double")
     h = {r.bin: r["count"] for r in stats.histogram(df, "x", 4).collect()}
     assert h == {0: 1, 1: 1, 2: 1, 3: 1}
+
+
+def test_summary_median_through_range_path(spark):
+    spark.conf.set("recengine.rank.maxLocalRows", "0")       # force the distributed path
+    try:
+        df = spark.range(0, 1001).selectExpr("cast(id % 97 as double) as x")
+        got = stats.summary(df, "x").first()
+        vals = sorted(float(i % 97) for i in range(1001))
+        assert got.median == vals[500]
+    finally:
+        spark.conf.unset("recengine.rank.maxLocalRows")
