@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recengine.llm import packing, sharding
+from recengine.llm import line_dedup, packing, sharding, unit_dedup
 from recengine.llm.common import table
 from recengine.llm.registry import register
 
@@ -27,3 +27,14 @@ def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_concatenate_and_cut")
 def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+@register("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@register("op6_repeated_units")
+def op6_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
