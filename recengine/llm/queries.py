@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recengine.llm import line_dedup, packing, sharding, unit_dedup
+from recengine.llm import decontam, licences, line_dedup, ordinal, packing, sharding, simhash, toxicity, unit_dedup
 from recengine.llm.common import table
 from recengine.llm.registry import register
 
@@ -38,3 +38,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_repeated_units")
 def op6_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
+@register("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
+@register("op10_licence_scan")
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op3_toxicity_grammar")
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_spaced_seeds")
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_ordinal_quality")
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
