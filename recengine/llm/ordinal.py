@@ -75,7 +75,7 @@ def classify(docs: DataFrame, labels: DataFrame, grade: str = "quality", at_leas
         w, theta = fit(pdf["text"].tolist(), pdf["y"].to_numpy())
         return pd.DataFrame({"w": [w.astype("<f8").tobytes()], "theta": [theta.astype("<f8").tobytes()]})
 
-    got = sample.groupBy(F.lit(1)).applyInPandas(learn, "w binary, theta binary").collect()  # one model of BUCKETS weights
+    got = sample.groupBy().applyInPandas(learn, "w binary, theta binary").collect()  # one model of BUCKETS weights
     w = np.frombuffer(got[0].w, "<f8") if got else np.zeros(BUCKETS)
     theta = np.frombuffer(got[0].theta, "<f8") if got else np.empty(0)
     model = spark.sparkContext.broadcast((w, theta))

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from recengine.llm.common import slices, texts
 from recengine.session import written
 
-CHUNK_CACHE, CHUNK_CHARS = 300_000, 64
+CHUNK_CACHE, CHUNK_CHARS = 600_000, 64
+PUNCTUATION = ".,;:!?*%$#&|()-"
 
 
 class _Chunks(dict):
@@ -38,6 +39,12 @@ class _Chunks(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(PUNCTUATION)
+        if core != chunk and core and core[-1].isalpha() and "<|" not in chunk:
+            # the tokenizer cuts between a letter and punctuation anyway
+            return self[core] + self[chunk[len(core):]]
+        if chunk.isascii() and not chunk.islower() and chunk.isalpha():
+            return self[chunk.lower()]
         ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= CHUNK_CHARS:
             if len(self) >= CHUNK_CACHE:
