@@ -1,0 +1,47 @@
+"""Documents to training sequences: quality classifier, line dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``.  The n-gram Jaccard
+stage is not built yet (see the README).  Rows without a doc_id cannot be judged and go at the first stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recengine.llm import decontam, line_dedup, ordinal, packing
+from recengine.llm.common import table
+from recengine.llm.queries import tokenizer_path
+from recengine.session import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = ordinal.classify(docs, table(spark, sf_dir, "labels")).where("keep").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return out.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path(), with_ids=False)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("decontaminate", decontaminate), ("pack", pack)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
