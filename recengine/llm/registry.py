@@ -23,5 +23,6 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
+    import corpus_pipeline
     from recengine.llm import queries  # noqa: F401  (fills the registry)
-    return dict(QUERIES), dict(ORACLES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}, dict(ORACLES)
