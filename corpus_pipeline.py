@@ -1,7 +1,6 @@
-"""Documents to training sequences: quality classifier, line dedup, benchmark decontamination, packing.
+"""Documents to training sequences: quality classifier, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``.  The n-gram Jaccard
-stage is not built yet (see the README).  Rows without a doc_id cannot be judged and go at the first stage.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``.  Rows without a doc_id cannot be judged and go at the first stage.
 """
 
 from __future__ import annotations
@@ -9,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recengine.llm import decontam, line_dedup, ordinal, packing
+from recengine.llm import decontam, jaccard, line_dedup, ordinal, packing
 from recengine.llm.common import table
 from recengine.llm.queries import tokenizer_path
 from recengine.session import written
@@ -27,6 +26,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = jaccard.join(docs).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti")
@@ -36,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), with_ids=False)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("decontaminate", decontaminate), ("pack", pack)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("pack", pack)]
 ORACLE_SQL = None
 
 
