@@ -29,14 +29,25 @@ LANES = 32
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 
-def terms(text: Column) -> Column:
-    """Array of (h, w): the hash and weight of every term."""
-    words = F.split(F.regexp_replace(F.lower(text), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+")
-    shingles = F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.struct(
-        F.xxhash64(F.slice(words, i, SHINGLE)).alias("h"),
-        F.least(F.length(F.element_at(words, i + 2)), F.lit(MAX_WEIGHT)).cast("bigint").alias("w")))
-    whole = F.array(F.struct(F.xxhash64(words).alias("h"), F.lit(1).cast("bigint").alias("w")))
-    return F.when(F.trim(text) == "", None).when(F.size(words) >= SHINGLE, shingles).otherwise(whole)
+def words_of(text: Column) -> Column:
+    """The lower-cased words; null for a blank text."""
+    found = F.split(F.regexp_replace(F.lower(text), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+")
+    return F.when(F.element_at(found, 1) != "", found)
+
+
+def terms(texts_of: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, h and w: one row for every term of the column ``words`` (a blank text: one of weight 0).
+
+    The terms are exploded by place and hashed from the words' column, so that a text is split once."""
+    long = F.size("words") >= SHINGLE
+    last = F.greatest(F.size("words") - SHINGLE, F.lit(0))
+    each = texts_of.select(*keys, "words", F.explode_outer(F.when(F.col("words").isNotNull(), F.sequence(F.lit(0), last))).alias("i"))
+    return each.select(
+        *keys,
+        F.when(long, F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(SHINGLE)]))
+         .when(F.col("words").isNotNull(), F.xxhash64("words")).otherwise(0).alias("h"),
+        F.when(long, F.least(F.length(F.get("words", F.col("i") + 2)), F.lit(MAX_WEIGHT)))
+         .when(F.col("words").isNotNull(), F.lit(1)).otherwise(0).cast("bigint").alias("w"))
 
 
 def _votes() -> list[Column]:
@@ -99,8 +110,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")),
                                          F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
     keys = ["part", "rn", "doc_id", "n_chars", "edited_sha256"]
-    voted = (both.select(*keys, "x.kind", F.explode_outer(terms(F.col("x.t"))).alias("term"))
-             .select(*keys, "kind", F.coalesce("term.h", F.lit(0)).alias("h"), F.coalesce("term.w", F.lit(0)).alias("w"))
+    split = both.select(*keys, "x.kind", words_of(F.col("x.t")).alias("words"))
+    voted = (terms(split, *keys, "kind")
              .groupBy(*keys, "kind").agg(F.sum("w").alias("total"), *_votes())
              .select(*keys, "kind", _fingerprint().alias("fp"))
              .groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"),
