@@ -32,6 +32,7 @@ TEMPLATES = {
 }
 PHRASES = list(dict.fromkeys([*BASE, *(p for _, p in TEMPLATES.values())]))
 WORDS = sorted({w for t, p in TEMPLATES.values() for w in (t + " " + p).split()} | {w for p in BASE for w in p.split()})
+FIRST = sorted({p.split()[0] for p in PHRASES})
 TOP, MIN_VOTES = 6, 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # runs of what is no word once A-Z is lower-cased
@@ -48,20 +49,25 @@ def hits(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", (F.size("words") - lead - tail).cast("bigint").alias("n_words"), found.alias("hits"))
 
 
-def _places(phrase: str) -> Column:
-    """The word numbers where the phrase's words stand consecutively."""
-    words = phrase.split()
-
+def _runs() -> Column:
+    """(i, two, three): each place where a phrase's first word and another licence word stand together, with the
+    two and three words from there."""
     def here(h: Column, j: Column) -> Column:
-        ok = h["w"] == words[0]
-        for k, w in enumerate(words[1:], 1):
-            at = F.get("hits", j + k)
-            ok = ok & F.coalesce((at["w"] == w) & (at["i"] == h["i"] + k), F.lit(False))
-        return F.when(ok, h["i"])
+        b, c = F.get("hits", j + 1), F.get("hits", j + 2)
+        two = F.concat_ws(" ", h["w"], b["w"])
+        return F.when(h["w"].isin(FIRST) & (b["i"] == h["i"] + 1), F.struct(
+            h["i"].alias("i"), two.alias("two"),
+            F.when(c["i"] == h["i"] + 2, F.concat_ws(" ", two, c["w"])).alias("three")))
 
     return F.filter(F.transform("hits", here), lambda x: x.isNotNull())
 
 
+def _places(phrase: str) -> Column:
+    """The word numbers where the phrase's words (two or three) stand consecutively."""
+    words = {2: "two", 3: "three"}[len(phrase.split())]
+    return F.transform(F.filter("runs", lambda r: r[words] == phrase), lambda r: r["i"])
+
+
 def document_frequencies(found: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows, and rows with each licence word (at most ``len(WORDS)`` numbers reach the driver)."""
     held = F.transform("hits", lambda h: h["w"])
@@ -77,8 +83,8 @@ def scan(docs: DataFrame) -> DataFrame:
     idf_map = F.create_map(*[F.lit(x) for w in WORDS for x in (w, idf[w])])
     own = F.array_distinct(F.transform("hits", lambda h: h["w"]))
     rare = F.transform(F.slice(F.sort_array(F.transform(own, lambda w: F.struct((-idf_map[w]).alias("k"), w.alias("w")))), 1, TOP), lambda s: s["w"])
-    out = found.select("doc_id", "n_words", "hits", rare.alias("rare"),
-                       *[_places(p).alias(f"p{k}") for k, p in enumerate(PHRASES)])
+    out = found.select("doc_id", "n_words", "hits", rare.alias("rare"), _runs().alias("runs"))
+    out = out.select("doc_id", "n_words", "hits", "rare", *[_places(p).alias(f"p{k}") for k, p in enumerate(PHRASES)])
     place = {p: F.col(f"p{k}") for k, p in enumerate(PHRASES)}
     looked = F.filter("hits", lambda h: F.array_contains("rare", h["w"]))
     out = out.withColumn("looked", looked)
