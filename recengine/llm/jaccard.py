@@ -2,12 +2,17 @@
 
 Whole-document pivots cannot cut this space: unrelated documents lie at distance 1 from nearly every
 pivot, so a triangle window of twice the radius replicates them everywhere.  Pivots here are single shingles,
-ordered by hash.  Taking the first i pivots out of a set of n moves it by i/n; a set that avoids them all is
+rarest first.  Taking the first i pivots out of a set of n moves it by i/n; a set that avoids them all is
 therefore farther than the radius 1 - t once i > (1 - t) n, so a document is replicated to the regions of its
 first n - ceil(t n) + 1 pivots and every link has a region in common.
 
-Equal sets are one class first.  In each region every class is compared with the region's smallest; then, recursively, only
-classes that are still in different components are compared.  Overlaps are counted exactly.
+Any order that all documents share keeps the join exact; rare pivots keep the regions small.  Shingles are
+counted over all documents in 2^32 counters, dealt by their first bits; those of the ``HOT`` fullest counters
+come last, and the rest (they too, among themselves) stand in hash order.
+
+Equal sets are one class first.  Each class is compared with the region's smallest that shares most pivots with it; then
+with the smallest of its other regions; then, recursively, only classes that are still in different components
+are compared.  Overlaps are counted exactly.
 
 Defined cases: null, empty and blank texts have no shingles and no links; fewer than five words are one
 shingle; repeated rows keep their rows; rows without doc_id are left out; extra columns are ignored.
@@ -27,6 +32,10 @@ from recengine.llm.common import mix, slices, texts, word_hashes
 from recengine.session import written
 
 WORDS, PERCENT = 5, 75
+# counters: 2^8 ranges of 2^24; hot counters: at most HOT, in a bit array of HOT_BITS
+RANGES, HOT, HOT_BITS = 256, 1 << 20, 26
+# rows of one comparison group, and salts of a hot region
+GROUP, SALTS = 1000, 64
 
 
 def shingles(text: str) -> np.ndarray:
@@ -41,39 +50,138 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(h)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _gaps(low: np.ndarray) -> bytes:
+    """Sorted numbers as 16-bit gaps; 65535 adds that much and is no number."""
+    d = np.diff(low, prepend=0)
+    more, at = d // 65535, np.arange(len(d))
+    out = np.full(len(d) + int(more.sum()), 65535, np.uint16)
+    out[at + np.cumsum(more)] = d % 65535
+    return out.tobytes()
+
+
+def _numbers(gaps: bytes) -> np.ndarray:
+    g = np.frombuffer(gaps, np.uint16)
+    return np.cumsum(g, dtype=np.int64)[g != 65535]
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """One row per document (doc_id, n, digest), and rows (part, gaps) with the shingles of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets])], ["doc_id", "n", "digest"])
-    return docs.mapInArrow(run, "doc_id long, n long, digest string")
-
+            top = np.sort(np.concatenate(sets) >> np.uint64(32)).astype(np.int64) if sets else np.empty(0, np.int64)
+            cut = np.searchsorted(top, np.arange(RANGES + 1) << 24)
+            parts = [k for k in range(RANGES) if cut[k] < cut[k + 1]]
+            gaps = [_gaps(top[cut[k]:cut[k + 1]] - (k << 24)) for k in parts]
+            none, free = [None] * len(sets), [None] * len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column(0).to_pylist() + free, pa.int64()), pa.array([len(s) for s in sets] + free, pa.int64()),
+                 pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets] + free, pa.string()),
+                 pa.array(none + parts, pa.int32()), pa.array(none + gaps, pa.binary())], ["doc_id", "n", "digest", "part", "gaps"])
+    return docs.mapInArrow(run, "doc_id long, n long, digest string, part int, gaps binary")
+
+
+def _hot(gaps: DataFrame) -> np.ndarray:
+    """Bits of the fullest counters (packed; at most ``HOT`` set, whatever the corpus)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts = None, None
+
+        def full() -> pa.RecordBatch:
+            at = np.flatnonzero(counts >= 8)
+            return pa.RecordBatch.from_arrays([pa.array((part << 24) + at), pa.array(np.log2(counts[at]).astype(np.int32))], ["at", "level"])
+        for batch in batches:
+            for k, g in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if k != part:
+                    if part is not None:
+                        yield full()
+                    part, counts = k, np.zeros(1 << 24, np.uint32)
+                at, n = np.unique(_numbers(g.as_py()), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        if part is not None:
+            yield full()
+    full = written(gaps.repartition("part").sortWithinPartitions("part").mapInArrow(run, "at long, level int"), "full")
+    floor, total = 33, 0
+    for level, n in sorted(((r.level, r.n) for r in full.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        total += n
+        if total > HOT:
+            break
+        floor = level
+    bits = np.zeros(1 << HOT_BITS, bool)
+    bits[full.where(F.col("level") >= floor).select("at").toPandas()["at"].to_numpy(np.int64) >> (32 - HOT_BITS)] = True
+    return np.packbits(bits)
+
+
+def _regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(h, salt, id) for each document's pivots; only the regions of hot pivots are salted."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-def _arrays(docs: DataFrame, window: bool) -> DataFrame:
-    """Shingles of each document: its pivots' rows (h, id, n), or one row with all of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
         for batch in slices(batches, 2 << 20):
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            ids = np.asarray(batch.column(0).to_pylist(), np.int64)
-            n = np.array([len(s) for s in sets], np.int64)
-            if window:
-                take = n - -(-n * PERCENT // 100) + 1
-                cut = [s[:k] for s, k in zip(sets, take)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cut).view(np.int64)), pa.array(np.repeat(ids, [len(c) for c in cut]))], ["h", "id"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "s"])
-    return docs.mapInArrow(run, "h long, id long" if window else "id long, s array<long>")
-
-
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_arrays(docs.join(ids, "doc_id", "left_semi"), False), "sets")
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * PERCENT).select("a", "b")
+            hs, salts, ids = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = shingles(t)
+                late = bits[(s >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
+                take = len(s) - -(-len(s) * PERCENT // 100) + 1
+                hs.append(np.concatenate([s[~late], s[late]])[:take].view(np.int64))
+                salts.append(np.sort(late)[:take] * np.int32(1 + i % SALTS))
+                ids.append(np.full(len(hs[-1]), i, np.int64))
+            if hs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(salts).astype(np.int32)),
+                                                  pa.array(np.concatenate(ids))], ["h", "salt", "id"])
+    return docs.mapInArrow(run, "h long, salt int, id long")
+
+
+def _stars(regions: DataFrame) -> DataFrame:
+    """(h, a, b): a region's smallest and each other; of a salted region also (h, a, a) for each salt."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None, None)
+        for batch in batches:
+            h, salt, i = (batch.column(k).to_numpy() for k in range(3))
+            if not len(h):
+                continue
+            new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+            goes_on = last[:2] == (h[0], salt[0])
+            head = i.copy()
+            if goes_on:
+                head[0], new[0] = last[2], False
+            starts = np.flatnonzero(np.r_[True, new[1:]])
+            head = np.repeat(head[starts], np.diff(np.r_[starts, len(h)]))
+            last = (h[-1], salt[-1], head[-1])
+            keep = (~new & (head != i)) | (new & (salt > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(head[keep]), pa.array(i[keep])], ["h", "a", "b"])
+    stars = written(regions.repartition("h", "salt").sortWithinPartitions("h", "salt", "id")
+                    .mapInArrow(run, "h long, a long, b long"), "stars")
+    heads = stars.where("a = b").select("h", "a")
+    tops = heads.groupBy("h").agg(F.min("a").alias("top"))
+    return stars.where("a != b").unionByName(heads.join(tops, "h").where("a != top").select("h", F.col("top").alias("a"), F.col("a").alias("b")))
+
+
+def _linked(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity.  Each text b travels to its a; many b are dealt to several copies of a."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
+    asked = pairs.join(groups, "a").select("a", F.expr("pmod(xxhash64(b), salts)").alias("salt"), F.col("b").alias("id"))
+    firsts = asked.select("a", "salt", F.col("a").alias("id")).distinct()
+    rows = (asked.unionByName(firsts).join(texts_of.withColumnRenamed("doc_id", "id"), "id")
+            .select("a", "salt", "id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.expr("id != a")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, np.empty(0, np.uint64)
+        for batch in slices(batches, 8 << 20):
+            out = []
+            for a, i, t in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                s = shingles(t)
+                if i == a:
+                    own, held = a, s
+                    continue
+                if own != a:
+                    raise ValueError("a comparison group without its first text")
+                if 100 * min(len(s), len(held)) >= PERCENT * max(len(s), len(held)):
+                    common = len(np.intersect1d(s, held, assume_unique=True))
+                    if 100 * common >= PERCENT * (len(s) + len(held) - common):
+                        out.append((a, i))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return written(rows.mapInArrow(run, "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -90,26 +198,44 @@ def components(edges: DataFrame) -> DataFrame:
         at = new.select("id", "comp")
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are still in different components."""
+    ca, cb = (comp.select(F.col("id").alias(x), F.col("comp").alias("c" + x)) for x in ("a", "b"))
+    return written(pairs.join(ca, "a", "left").join(cb, "b", "left")
+                   .where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "apart")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row with a doc_id."""
     docs = texts(docs).where("doc_id is not null")
-    sets = written(_sets(docs), "digests")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    # one row per class, also where a doc_id repeats
-    reps = docs.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    regions = written(_arrays(reps, True), "regions")
-    first = regions.groupBy("h").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    tried = written(regions.join(first, "h").where("id != a").select("a", F.col("id").alias("b")).distinct(), "tried")
-    links = written(_linked(tried, reps), "links")
+    scan = written(_scan(docs), "scan")
+    sets = scan.where("doc_id is not null").select("doc_id", "n", "digest")
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    copies = written(sets.join(classes.where("copies > 1").select("digest", "id"), "digest").where("doc_id != id")
+                     .groupBy("doc_id").agg(F.min("id").alias("id")), "copies")
+    hot = _hot(scan.where("part is not null").select("part", "gaps"))
+    stars = _stars(_regions(docs, hot))
+    for end in ("a", "b"):
+        of = copies.select(F.col("doc_id").alias(end), F.col("id").alias("own"))
+        stars = stars.join(of, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    stars = written(stars.where("a != b").select("h", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "class_stars")
+    pairs = written(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    reps = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select("m.a", "b")
+    links = _linked(best, reps)
+    comp = components(links)
+    links = links.unionByName(_linked(_apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), comp), reps))
     comp = components(links)
-    shared = (regions.join(first.select("h"), "h", "left_semi").join(comp, "id", "left")
-              .select("h", "id", F.coalesce("comp", "id").alias("comp")))
-    mixed = shared.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    open_ = written(shared.join(mixed, "h", "left_semi"), "open")
+    # what is still apart within a region
+    members = (stars.select("h", F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left")
+               .select("h", "id", F.coalesce("comp", "id").alias("comp")))
+    mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    open_ = written(members.join(mixed, "h", "left_semi"), "open")
     x, y = open_.select("h", F.col("id").alias("a"), F.col("comp").alias("ca")), open_.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    rest = (x.join(y, "h").where("a < b and ca != cb").select("a", "b").distinct()
-            .join(tried, ["a", "b"], "left_anti"))
-    comp = components(links.union(_linked(written(rest, "rest"), reps)))
+    rest = written(x.join(y, "h").where("a < b and ca != cb").select("a", "b").distinct()
+                   .join(pairs, ["a", "b"], "left_anti"), "rest")
+    comp = components(links.unionByName(_linked(rest, reps)))
     label = classes.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
     return (sets.join(label, "digest", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
