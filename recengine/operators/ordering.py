@@ -98,8 +98,13 @@ def _range_ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column
             wg.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if size_col:
         slices = slices.withColumn(size_col, F.sum("__cnt").over(wg))
-    keep = [c for c in ["__pid", *by, "__off", "__first", size_col] if c]
-    out = tagged.join(slices.select(*keep), on=[*by, "__pid"], how="inner")
+    # null-safe, so that rows of a null group keep their slice
+    keep = [F.col("__pid").alias("__spid"), *[F.col(c).alias(f"__s{k}") for k, c in enumerate(by)], "__off", "__first"]
+    slices = slices.select(*keep, *([size_col] if size_col else []))
+    same = F.col("__pid") == F.col("__spid")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{k}"))
+    out = tagged.join(slices, same).drop("__spid", *[f"__s{k}" for k in range(len(by))])
     out = out.withColumn(rank_col, (F.col("__off") + F.col("__loc") - F.col("__first") + 1).cast("bigint"))
     return out.drop("__mid", "__pid", "__loc", "__off", "__first")
 

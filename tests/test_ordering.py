@@ -45,3 +45,12 @@ def test_range_path_has_no_single_partition_window(spark):
     plan = ranked(df, ["u"], ["x"], "r", local_limit=0)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "SinglePartition" not in plan or "Window" not in plan.split("SinglePartition")[0][-200:]
+
+
+def test_null_groups_keep_their_rows_on_both_paths(spark):
+    rows = [(1, 10), (1, 11), (None, 12), (None, 13)]
+    df = spark.createDataFrame(rows, "g int, o int")
+    want = [(1, 10, 1, 2), (1, 11, 2, 2), (None, 12, 1, 2), (None, 13, 2, 2)]
+    for limit in (0, 1000):
+        got = ranked(df, ["g"], ["o"], size_col="n", local_limit=limit).select("g", "o", "rank", "n").collect()
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == want
