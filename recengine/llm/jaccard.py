@@ -8,11 +8,13 @@ first n - ceil(t n) + 1 pivots and every link has a region in common.
 
 Any order that all documents share keeps the join exact; rare pivots keep the regions small.  Shingles are
 counted over all documents in 2^32 counters, dealt by their first bits; those of the ``HOT`` fullest counters
-come last, and the rest (they too, among themselves) stand in hash order.
+come last, by quarters of a power of two of their count, and equal ones stand in hash order.
 
 Equal sets are one class first.  Each class is compared with the region's smallest that shares most pivots with it; then
 with the smallest of its other regions; then, recursively, only classes that are still in different components
-are compared.  Overlaps are counted exactly.
+are compared.  The size of a set is its distance from the empty set: sets in reach of each other differ by a
+factor of 4/3 at most, so each region is cut into bands of sizes, and a class meets its own and the next
+bands only.  Overlaps are counted exactly.
 
 Defined cases: null, empty and blank texts have no shingles and no links; fewer than five words are one
 shingle; repeated rows keep their rows; rows without doc_id are left out; extra columns are ignored.
@@ -34,8 +36,10 @@ from recengine.session import written
 WORDS, PERCENT = 5, 75
 # counters: 2^8 ranges of 2^24; hot counters: at most HOT, in a bit array of HOT_BITS
 RANGES, HOT, HOT_BITS = 256, 1 << 20, 26
-# rows of one comparison group, and salts of a hot region
-GROUP, SALTS = 1000, 64
+# rows of one comparison group; salts of a region, and the level (4 log2 of the count) from which it has them
+GROUP, SALTS, SALT_LEVEL = 1000, 64, 52
+# ratio of the size bands: just over 100 / PERCENT, so that rounding moves no set by two bands
+BAND = 1.34
 
 
 def shingles(text: str) -> np.ndarray:
@@ -81,14 +85,14 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest string, part int, gaps binary")
 
 
-def _hot(gaps: DataFrame) -> np.ndarray:
-    """Bits of the fullest counters (packed; at most ``HOT`` set, whatever the corpus)."""
+def _hot(gaps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and levels of the fullest counters (at most ``HOT``, whatever the corpus)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counts = None, None
 
         def full() -> pa.RecordBatch:
             at = np.flatnonzero(counts >= 8)
-            return pa.RecordBatch.from_arrays([pa.array((part << 24) + at), pa.array(np.log2(counts[at]).astype(np.int32))], ["at", "level"])
+            return pa.RecordBatch.from_arrays([pa.array((part << 24) + at), pa.array((4 * np.log2(counts[at])).astype(np.int32))], ["at", "level"])
         for batch in batches:
             for k, g in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if k != part:
@@ -100,31 +104,32 @@ def _hot(gaps: DataFrame) -> np.ndarray:
         if part is not None:
             yield full()
     full = written(gaps.repartition("part").sortWithinPartitions("part").mapInArrow(run, "at long, level int"), "full")
-    floor, total = 33, 0
+    floor, total = 129, 0
     for level, n in sorted(((r.level, r.n) for r in full.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
         total += n
         if total > HOT:
             break
         floor = level
-    bits = np.zeros(1 << HOT_BITS, bool)
-    bits[full.where(F.col("level") >= floor).select("at").toPandas()["at"].to_numpy(np.int64) >> (32 - HOT_BITS)] = True
-    return np.packbits(bits)
+    top = full.where(F.col("level") >= floor).toPandas()  # at most HOT rows
+    return (top["at"].to_numpy(np.int64) >> (32 - HOT_BITS)).astype(np.int32), top["level"].to_numpy(np.uint8)
 
 
-def _regions(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(h, salt, id) for each document's pivots; only the regions of hot pivots are salted."""
+def _regions(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, salt, id) for each document's pivots; only the regions of very frequent pivots are salted."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        levels = np.zeros(1 << HOT_BITS, np.uint8)
+        np.maximum.at(levels, *shared.value)
         for batch in slices(batches, 2 << 20):
             hs, salts, ids = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(t)
-                late = bits[(s >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
+                level = levels[(s >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
                 take = len(s) - -(-len(s) * PERCENT // 100) + 1
-                hs.append(np.concatenate([s[~late], s[late]])[:take].view(np.int64))
-                salts.append(np.sort(late)[:take] * np.int32(1 + i % SALTS))
+                first = np.argsort(level, kind="stable")[:take]
+                hs.append(s[first].view(np.int64))
+                salts.append((level[first] >= SALT_LEVEL) * np.int32(1 + i % SALTS))
                 ids.append(np.full(len(hs[-1]), i, np.int64))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(salts).astype(np.int32)),
@@ -221,19 +226,28 @@ def join(docs: DataFrame) -> DataFrame:
     stars = written(stars.where("a != b").select("h", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "class_stars")
     pairs = written(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    reps = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    sizes = sets.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
+    reps = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(sizes, "doc_id"), "candidates")
+    sizes = reps.select(F.col("doc_id").alias("id"), F.col("n").alias("size"))
+    reps = reps.select("doc_id", "text")
+    size_a, size_b = (sizes.select(F.col("id").alias(x), F.col("size").alias("n" + x)) for x in ("a", "b"))
+    alike = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+    pairs = written(pairs.join(size_a, "a").join(size_b, "b").where(alike).select("a", "b", "n"), "alike")
     best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select("m.a", "b")
     links = _linked(best, reps)
     comp = components(links)
     links = links.unionByName(_linked(_apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), comp), reps))
     comp = components(links)
     # what is still apart within a region
-    members = (stars.select("h", F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left")
-               .select("h", "id", F.coalesce("comp", "id").alias("comp")))
+    members = (stars.select("h", F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left").join(sizes, "id")
+               .select("h", "id", "size", F.coalesce("comp", "id").alias("comp")))
     mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
     open_ = written(members.join(mixed, "h", "left_semi"), "open")
-    x, y = open_.select("h", F.col("id").alias("a"), F.col("comp").alias("ca")), open_.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    rest = written(x.join(y, "h").where("a < b and ca != cb").select("a", "b").distinct()
+    band = F.floor(F.log("size") / float(np.log(BAND)))
+    x = open_.select("h", band.alias("band"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
+    y = open_.select("h", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("b"),
+                     F.col("comp").alias("cb"), F.col("size").alias("nb"))
+    rest = written(x.join(y, ["h", "band"]).where(f"a < b and ca != cb and {alike}").select("a", "b").distinct()
                    .join(pairs, ["a", "b"], "left_anti"), "rest")
     comp = components(links.unionByName(_linked(rest, reps)))
     label = classes.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
