@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,47 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+# one random number per byte (A-Z as a-z), the base of the word polynomials, and the bytes cut at a time
+_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SPACE, _CUT = re.compile(rb"[\t-\r ]"), 1 << 18
+
+
+@functools.cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of the base and of its inverse (mod 2^64)."""
+    up, down = (np.full(1 << bits, b % (1 << 64), np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    buf = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_BLANK[buf]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(max(_CUT.bit_length(), len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[buf] * up[:len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_codes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text (cut at ASCII white space, A-Z as a-z): polynomials of their
+    bytes, all words at once.  Long texts go by pieces that end at white space."""
+    out, at = [], 0
+    while at < len(raw):
+        blank = _SPACE.search(raw, at + _CUT)
+        end = blank.start() if blank else len(raw)
+        out.append(_codes(raw[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def mix(h: np.ndarray, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Finaliser of a multiply-xorshift hash on uint64."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(odd)

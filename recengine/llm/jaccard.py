@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recengine.llm.common import mix, slices, texts, word_hashes
+from recengine.llm.common import mix, slices, texts, word_codes
 from recengine.session import written
 
 WORDS, PERCENT = 5, 75
+# odd factors of a shingle's words: powers of one odd number
+FACTORS = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(WORDS)]
 # counters: 2^8 ranges of 2^24; hot counters: at most HOT, in a bit array of HOT_BITS
 RANGES, HOT, HOT_BITS = 256, 1 << 20, 26
 # rows of one comparison group; salts of a region, and the level (4 log2 of the count) from which it has them
@@ -44,14 +46,15 @@ BAND = 1.34
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
-    w = word_hashes().of(text.encode().lower().split())
+    w = word_codes(text.encode())
     if not len(w):
         return w
     n = max(1, len(w) - WORDS + 1)
     h = np.full(n, min(len(w), WORDS), np.uint64)
     for k in range(min(len(w), WORDS)):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[k:k + n])
-    return np.unique(h)
+        h += w[k:k + n] * FACTORS[k]
+    h = np.sort(mix(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _gaps(low: np.ndarray) -> bytes:
