@@ -14,7 +14,9 @@ Equal sets are one class first.  Each class is compared with the region's smalle
 with the smallest of its other regions; then, recursively, only classes that are still in different components
 are compared.  The size of a set is its distance from the empty set: sets in reach of each other differ by a
 factor of 4/3 at most, so each region is cut into bands of sizes, and a class meets its own and the next
-bands only.  Overlaps are counted exactly.
+bands only.  Each set has a sketch, the parities of its shingles over ``SKETCH`` places: two sketches differ in
+no more places than the sets in shingles, so pairs whose sketches differ too much are no links and go
+unread.  Overlaps of the others are counted exactly.
 
 Defined cases: null, empty and blank texts have no shingles and no links; fewer than five words are one
 shingle; repeated rows keep their rows; rows without doc_id are left out; extra columns are ignored.
@@ -40,6 +42,8 @@ FACTORS = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(WOR
 RANGES, HOT, HOT_BITS = 256, 1 << 20, 26
 # rows of one comparison group; salts of a region, and the level (4 log2 of the count) from which it has them
 GROUP, SALTS, SALT_LEVEL = 1000, 64, 52
+# places of a sketch
+SKETCH = 1024
 # ratio of the size bands: just over 100 / PERCENT, so that rounding moves no set by two bands
 BAND = 1.34
 
@@ -71,8 +75,20 @@ def _numbers(gaps: bytes) -> np.ndarray:
     return np.cumsum(g, dtype=np.int64)[g != 65535]
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _reach() -> str:
+    """Condition that sets of sizes na, nb and sketches sa, sb may be links: no link fails it."""
+    differ = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(SKETCH // 64))
+    return (f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+            f" and {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (na + nb)")
+
+
 def _scan(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, n, digest), and rows (part, gaps) with the shingles of a batch."""
+    """One row per document (doc_id, n, digest, sketch), and rows (part, gaps) with the shingles of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
@@ -84,8 +100,9 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch.column(0).to_pylist() + free, pa.int64()), pa.array([len(s) for s in sets] + free, pa.int64()),
                  pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets] + free, pa.string()),
-                 pa.array(none + parts, pa.int32()), pa.array(none + gaps, pa.binary())], ["doc_id", "n", "digest", "part", "gaps"])
-    return docs.mapInArrow(run, "doc_id long, n long, digest string, part int, gaps binary")
+                 pa.array([_sketch(s) for s in sets] + free, pa.list_(pa.int64())),
+                 pa.array(none + parts, pa.int32()), pa.array(none + gaps, pa.binary())], ["doc_id", "n", "digest", "sketch", "part", "gaps"])
+    return docs.mapInArrow(run, "doc_id long, n long, digest string, sketch array<long>, part int, gaps binary")
 
 
 def _hot(gaps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -229,28 +246,26 @@ def join(docs: DataFrame) -> DataFrame:
     stars = written(stars.where("a != b").select("h", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "class_stars")
     pairs = written(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sizes = sets.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
-    reps = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(sizes, "doc_id"), "candidates")
-    sizes = reps.select(F.col("doc_id").alias("id"), F.col("n").alias("size"))
-    reps = reps.select("doc_id", "text")
-    size_a, size_b = (sizes.select(F.col("id").alias(x), F.col("size").alias("n" + x)) for x in ("a", "b"))
-    alike = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
-    pairs = written(pairs.join(size_a, "a").join(size_b, "b").where(alike).select("a", "b", "n"), "alike")
+    shapes = scan.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.*")
+    shapes = written(shapes.join(ids, "doc_id", "left_semi"), "shapes")
+    reps = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    shape_a, shape_b = (shapes.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in ("a", "b"))
+    pairs = written(pairs.join(shape_a, "a").join(shape_b, "b").where(_reach()).select("a", "b", "n"), "alike")
     best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select("m.a", "b")
     links = _linked(best, reps)
     comp = components(links)
     links = links.unionByName(_linked(_apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), comp), reps))
     comp = components(links)
     # what is still apart within a region
-    members = (stars.select("h", F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left").join(sizes, "id")
-               .select("h", "id", "size", F.coalesce("comp", "id").alias("comp")))
+    members = (stars.select("h", F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left")
+               .select("h", "id", F.coalesce("comp", "id").alias("comp")))
     mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    open_ = written(members.join(mixed, "h", "left_semi"), "open")
-    band = F.floor(F.log("size") / float(np.log(BAND)))
-    x = open_.select("h", band.alias("band"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
+    open_ = written(members.join(mixed, "h", "left_semi").join(shapes.withColumnRenamed("doc_id", "id"), "id"), "open")
+    band = F.floor(F.log("n") / float(np.log(BAND)))
+    x = open_.select("h", band.alias("band"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     y = open_.select("h", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("b"),
-                     F.col("comp").alias("cb"), F.col("size").alias("nb"))
-    rest = written(x.join(y, ["h", "band"]).where(f"a < b and ca != cb and {alike}").select("a", "b").distinct()
+                     F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    rest = written(x.join(y, ["h", "band"]).where(f"a < b and ca != cb and {_reach()}").select("a", "b").distinct()
                    .join(pairs, ["a", "b"], "left_anti"), "rest")
     comp = components(links.unionByName(_linked(rest, reps)))
     label = classes.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
