@@ -136,7 +136,7 @@ def _hot(gaps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _regions(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(h, salt, id) for each document's pivots; only the regions of very frequent pivots are salted."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared, salt_level = docs.sparkSession.sparkContext.broadcast(hot), SALT_LEVEL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.zeros(1 << HOT_BITS, np.uint8)
@@ -149,7 +149,7 @@ def _regions(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 take = len(s) - -(-len(s) * PERCENT // 100) + 1
                 first = np.argsort(level, kind="stable")[:take]
                 hs.append(s[first].view(np.int64))
-                salts.append((level[first] >= SALT_LEVEL) * np.int32(1 + i % SALTS))
+                salts.append((level[first] >= salt_level) * np.int32(1 + i % SALTS))
                 ids.append(np.full(len(hs[-1]), i, np.int64))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(salts).astype(np.int32)),

@@ -36,3 +36,21 @@ def test_components_match_brute_force(spark, frame):
 def test_odd_rows(frame):
     assert sorted(tuple(r) for r in jaccard.join(frame(ODD)).collect()) == _brute(ODD[:-1])
     assert jaccard.join(frame([])).collect() == []
+
+
+def test_salted_regions_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALT_LEVEL", 0)
+    monkeypatch.setattr(jaccard, "GROUP", 2)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    assert sorted(tuple(r) for r in jaccard.join(docs).collect()) == _brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_texts_near_the_threshold(frame):
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        words = list(base)
+        for k in range(i % 9 + 1):  # one to nine changed words: on both sides of the threshold
+            words[(17 * i + 23 * k) % 150] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    assert sorted(tuple(r) for r in jaccard.join(frame(rows)).collect()) == _brute(rows)
