@@ -109,3 +109,42 @@ def test_seeds_odd_rows(spark, frame):
     assert decontam.leaks(frame([(1, "a b c d e f g h i j k l")]), bench.limit(0)).collect() == []
     twice = frame([(1, "A b c, d e f g h i j k l"), (1, "A b c, d e f g h i j k l")])
     assert [(r.doc_id, r.item_id, r.start_word, r.matched) for r in decontam.leaks(twice, bench).collect()] == [(1, 1, 0, 12)]
+
+
+def test_verified_overlaps_match_word_comparison(spark, frame):
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choices(vocab, k=n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 8, 15, 20, 30, 59])]
+    rows = []
+    for d in range(260):
+        words, passage = rng.choices(vocab, k=60), items[d % 13][1].split()
+        at = range(2, len(passage), 3) if d % 2 else rng.sample(range(len(passage)), len(passage) // 5)
+        for k in at:
+            passage[k] = f"other{k}"
+        cut = rng.choice([0, 30, 60])
+        rows.append((d, " ".join(words[:cut] + passage + words[cut:])))
+    want = {}
+    for d, t in rows:
+        dw = t.split()
+        for i, u in items:
+            iw = u.split()
+            best = max(sum(0 <= p + s < len(dw) and iw[p] == dw[p + s] for p in range(len(iw))) for s in range(-len(iw) + 1, len(dw)))
+            if best >= min(10, 0.6 * len(iw)):
+                want[d, i] = best
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontam.verified(frame(rows), bench).collect()}
+    short = lambda x: {k: v for k, v in x.items() if k[1] <= 8}
+    assert short(got) == short(want)
+    assert all(got.get((d, d % 13)) == want[d, d % 13] for d in range(260) if d % 2 and (d, d % 13) in want)
+    assert all(want[k] == v for k, v in got.items()) and len(got) >= 0.99 * len(want)
+    old = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(rows), bench).collect()}
+    assert len(old) < 0.7 * len(want)
+
+
+def test_verified_odd_rows(spark, frame):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, None), (None, "x y"), (3, ""), (4, "three")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.verified(frame(ODD), bench).orderBy("doc_id").collect()] == [(4, 4), (5, 4)]
+    assert decontam.verified(frame([]), bench).collect() == []
+    assert decontam.verified(frame([(1, "a b c d e f g h i j k l")]), bench.limit(0)).collect() == []
+    twice = frame([(1, "A b c, d e f g h i j k l"), (1, "A b c, d e f g h i j k l")])
+    assert [(r.doc_id, r.item_id, r.start_word, r.matched) for r in decontam.verified(twice, bench).collect()] == [(1, 1, 0, 12)]
