@@ -37,7 +37,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_repeated_units")
 def op6_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    return unit_dedup.repeated_runs(table(spark, sf_dir, "documents"))
 
 
 @register("op2_simhash")

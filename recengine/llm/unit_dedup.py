@@ -4,7 +4,12 @@ Every text is cut into units (lines, or the sentences of lines), units are norma
 folded, lower case) and hashed to 128 bits.  Digests are grouped globally with partial aggregation;
 the earliest occurrence by (doc_id, offset) stays and every other one is returned as a span of the original text.
 
-Defined cases: a null or empty text has no units; units under ``min_words`` words are left alone;
+``repeated_units`` looks at units of ``min_words`` words or more, one by one.  ``repeated_runs`` looks at every unit:
+one of ``min_words`` words or ``MIN_CHARS`` code points of words stands alone; a shorter one goes when a run of consecutive
+units around it, just long enough to reach one of the two, has an earlier place.  A run starts or ends at each short unit,
+so that a repeated passage of short units goes whole once it reaches the length.
+
+Defined cases: a null or empty text has no units; units of white space are none; a run's units within its own earliest place stay;
 repeated rows count as one document (same doc_id and offset: the same place); an empty table gives
 no rows; columns other than doc_id and text are ignored; rows without doc_id are left alone.
 """
@@ -22,7 +27,8 @@ from pyspark.sql import functions as F
 from recengine.llm.common import slices, texts
 
 PATTERNS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n[^\n]+)*"),
-            "sentence": re.compile(r"[^\n.!?]+[.!?]*")}
+            "sentence": re.compile(r"[^\n.!?]+[.!?]*"), "any_sentence": re.compile(r"[^\n.!?\u3002\uff01\uff1f]+[.!?\u3002\uff01\uff1f]*")}
+MIN_CHARS = 30
 _UNITS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()),
                     ("hi", pa.int64()), ("lo", pa.int64())])
 
@@ -58,3 +64,72 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 6)
     return (found.join(kept, ["hi", "lo"]).where(place != F.col("kept"))
             .select("doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
                     F.col("kept.start").alias("kept_start"), "n_places"))
+
+
+_RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()),
+                   *((n, pa.list_(pa.int32())) for n in ("starts", "ends", "sizes"))])
+
+
+def _runs_of(text: str, pattern: re.Pattern, min_words: int, min_chars: int) -> Iterator[tuple[list[tuple[int, int, int, str, bool]], str]]:
+    """The long units, and the shortest long runs that start or end at a short unit: (its units (start, end, n_words, normalised text, long), text)."""
+    found = []
+    for m in pattern.finditer(text):
+        words = m.group().lower().split()
+        if words:
+            n = sum(map(len, words))
+            found.append((m.start(), m.end(), len(words), " ".join(words), n, len(words) >= min_words or n >= min_chars))
+    spans = set()
+    for k, u in enumerate(found):
+        if u[5]:
+            yield [u], u[3]
+            continue
+        for step in (1, -1):
+            words = chars = 0
+            at = k
+            while 0 <= at < len(found):
+                words, chars = words + found[at][2], chars + found[at][4]
+                if words >= min_words or chars >= min_chars:
+                    spans.add((min(k, at), max(k, at) + 1))
+                    break
+                at += step
+    for a, b in spans:
+        yield found[a:b], "\n".join(u[3] for u in found[a:b])
+
+
+def runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Long units and long runs with their digests; starts, ends and sizes (in words) of a run's units, null for a unit alone."""
+    pattern = PATTERNS[unit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 << 20):
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part, norm in _runs_of(text, pattern, min_words, min_chars):
+                    d = xxhash.xxh3_128_digest(norm)
+                    more = ([u[0] for u in part], [u[1] for u in part], [0 if u[5] else u[2] for u in part]) if len(part) > 1 else (None,) * 3
+                    rows.append((doc_id, part[0][0], part[-1][1], sum(u[2] for u in part), int.from_bytes(d[:8], "little", signed=True),
+                                 int.from_bytes(d[8:], "little", signed=True), *more))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)], schema=_RUNS)
+
+    return (texts(docs).where("doc_id is not null")
+            .mapInArrow(run, "doc_id long, start int, end int, n_words int, hi long, lo long, starts array<int>, ends array<int>, sizes array<int>"))
+
+
+def repeated_runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The columns of ``repeated_units``: one row per removed unit; ``n_places`` counts those of the unit or of the run around it."""
+    found = runs(docs, unit, min_words, min_chars)
+    place = F.struct("doc_id", "start", "end", "starts")
+    kept = (found.groupBy("hi", "lo").agg(F.min(place).alias("kept"), F.max(F.struct("doc_id", "start")).alias("last"), F.count(F.lit(1)).alias("n_places"))
+            .where("(kept.doc_id, kept.start) != (last.doc_id, last.start)").drop("last"))
+    again = (found.join(kept, ["hi", "lo"]).where("(doc_id, start) != (kept.doc_id, kept.start)"))
+    alone = again.where("starts is null").select("doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
+                                                 F.col("kept.start").alias("kept_start"), "n_places")
+    # short units of runs (a long unit in a run has a row of its own), but none that stands in the run's earliest place
+    short = (again.where("starts is not null")
+             .select("doc_id", "kept", "n_places", F.explode(F.arrays_zip("starts", "ends", "sizes", F.col("kept.starts").alias("kept_starts"))).alias("u"))
+             .where("u.sizes > 0 and not (doc_id = kept.doc_id and u.starts < kept.end)")
+             .groupBy("doc_id", F.col("u.starts").alias("start"), F.col("u.ends").alias("end"), F.col("u.sizes").alias("n_words"))
+             .agg(F.min(F.struct(F.col("kept.doc_id").alias("i"), F.col("u.kept_starts").alias("s"), "n_places")).alias("k"))
+             .select("doc_id", "start", "end", "n_words", F.col("k.i").alias("kept_doc_id"), F.col("k.s").alias("kept_start"), "k.n_places"))
+    return alone.unionByName(short)

@@ -72,3 +72,64 @@ def test_repeated_units_odd_rows(frame):
     got = unit_dedup.repeated_units(frame(rows[:-1] + [(21, "q\nA b  c d e F g.")]), "line").collect()
     assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got] == [(21, 2, 17, 20)]
     assert unit_dedup.repeated_units(frame([])).collect() == []
+
+
+def _gone(rows, got):
+    """doc_id -> its text without the removed spans."""
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.start, r.end))
+    out = {}
+    for i, t in rows:
+        held = np.ones(len(t), bool)
+        for a, b in spans[i]:
+            assert held[a:b].all()
+            held[a:b] = False
+        out[i] = "".join(c for c, h in zip(t, held) if h)
+    return out
+
+
+def test_repeated_runs_take_planted_passages_whole(frame):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    short = " ".join(" ".join(word() for _ in range(2)) + "." for _ in range(25))
+    menu = "\n".join(word() for _ in range(50))
+    mixed = " ".join(" ".join(word() for _ in range(n)) + "." for n in (1, 9, 2, 3, 1, 12, 4, 3, 2, 13))
+    blankless = "。".join("".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 2000, 12)) for _ in range(8)) + "。"
+    passages = [short, menu, mixed, blankless]
+    rows = []
+    for d in range(24):
+        p = passages[d % 4]
+        rows.append((d, "\n".join([" ".join(word() for _ in range(8)) + ".", p, " ".join(word() for _ in range(8)) + ". " + word() + "."])))
+    got = unit_dedup.repeated_runs(frame(rows)).collect()
+    left = _gone(rows, got)
+    for i, t in rows:
+        head, tail = t.split("\n")[0], t.split("\n")[-1]
+        assert left[i] == t if i < 4 else left[i].split() == (head + " " + tail).split()
+    assert all(r.kept_doc_id == r.doc_id % 4 for r in got)
+    old = unit_dedup.repeated_units(frame(rows)).collect()
+    assert len(old) < 0.2 * len(got)
+
+
+def test_repeated_runs_hold_what_repeated_units_finds(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    key = lambda r: (r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id, r.kept_start)
+    got = [key(r) for r in unit_dedup.repeated_runs(docs).collect()]
+    old = {key(r) for r in unit_dedup.repeated_units(docs).collect()}
+    assert old < set(got) and len(got) == len(set(got))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    norm = lambda i, a, n: " ".join(text[i][a:].lower().split()[:n]).rstrip(".!?")
+    gone = {(i, a) for i, a, *_ in got}
+    for i, a, _, n, j, b in got:
+        assert (j, b) < (i, a) and norm(i, a, n) == norm(j, b, n)
+        while (j, b) in gone:
+            j, b = next((y, z) for x, s, _, _, y, z in got if (x, s) == (j, b))
+        assert norm(i, a, n) == norm(j, b, n)
+
+
+def test_repeated_runs_odd_rows(frame):
+    rows = [*ODD[:-1], (20, "no"), (21, "no\nno"), (22, "a\nb\nc\nd\ne\nf\ng\nh"), (23, "x\n a\nB\nc\nd\ne\nf\n\ng\ny"), (24, "t\n" * 9), (25, "yes\nno\nyes")]
+    got = unit_dedup.repeated_runs(frame(rows)).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.kept_doc_id) for r in got] == [(23, 22)] * 7 + [(24, 24)] * 3
+    assert [rows[-3][1][r.start:r.end].strip().lower() for r in got[:7]] == list("abcdefg")
+    assert unit_dedup.repeated_runs(frame([])).collect() == []
