@@ -1,9 +1,10 @@
 """Positional rare-token index of licence texts; DataFrame functions only.
 
 The index maps each licence word to its postings (template, position).  Document frequencies of
-the licence words over the whole table give their IDF.  A file looks up its ``TOP`` words of highest IDF;
+the licence words over the whole table give their IDF.  A file looks up its ``TOP`` words of highest IDF first;
 each posting proposes the template's start (word place minus template position), and starts that several
 words share mark the template.  A marked template gives its label when its mandatory phrase stands in the file.
+A template whose phrase stands in the file but that the rarest words don't mark is looked up with all licence words.
 
 Defined cases: a null or empty text has no words; repeated rows are scored each; an empty table gives
 no rows; columns other than doc_id and text are ignored.
@@ -93,14 +94,12 @@ def scan(docs: DataFrame) -> DataFrame:
         posts: dict[str, list[int]] = {}
         for p, w in enumerate(text.split()):
             posts.setdefault(w, []).append(p)
-        # starts proposed by each looked-up word; a start's votes are its run length once sorted
-        starts = F.flatten(F.transform("looked", _starts(posts)))
-        run = F.aggregate(F.sort_array(starts), F.struct(F.lit(-1 << 30).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-                          lambda a, s: F.struct(s.alias("s"), F.when(s == a["s"], a["n"] + 1).otherwise(1).alias("n"),
-                                                F.greatest(a["best"], F.when(s == a["s"], a["n"] + 1).otherwise(1)).alias("best")))["best"]
         present = F.size(place[phrase]) > 0
-        labels.append(F.when((run >= MIN_VOTES) & present, F.lit(label)))
-        shares.append(F.when((run >= MIN_VOTES) & present, F.least(F.lit(1.0), run / F.lit(float(min(TOP, len(text.split()))))))
+        out = out.withColumn("votes", F.when(present, _votes("looked", posts)).otherwise(0))
+        out = out.withColumn(f"v_{label}", F.when(present & (F.col("votes") < MIN_VOTES), _votes("hits", posts)).otherwise(F.col("votes")))
+        run = F.col(f"v_{label}")
+        labels.append(F.when(run >= MIN_VOTES, F.lit(label)))
+        shares.append(F.when(run >= MIN_VOTES, F.least(F.lit(1.0), run / F.lit(float(min(TOP, len(text.split()))))))
                       .otherwise(0.0))
     base = F.concat(*[place[p] for p in BASE])
     base_labels = F.array_compact(F.array(*[F.when(F.size(place[p]) > 0, F.lit(x)) for p, x in BASE.items()]))
@@ -121,3 +120,11 @@ def _starts(posts: dict[str, list[int]]):
             out = F.when(h["w"] == w, F.array(*[h["i"] - p for p in at])).otherwise(out)
         return out
     return of
+
+
+def _votes(looked: str, posts: dict[str, list[int]]) -> Column:
+    """The most words that share a start: a start's votes are its run length once the proposed starts are sorted."""
+    starts = F.flatten(F.transform(looked, _starts(posts)))
+    return F.aggregate(F.sort_array(starts), F.struct(F.lit(-1 << 30).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("best")),
+                       lambda a, s: F.struct(s.alias("s"), F.when(s == a["s"], a["n"] + 1).otherwise(1).alias("n"),
+                                             F.greatest(a["best"], F.when(s == a["s"], a["n"] + 1).otherwise(1)).alias("best")))["best"]

@@ -73,3 +73,15 @@ def test_licences_match_brute_force(spark, frame):
     labels = {r.doc_id: r.labels for r in got}
     assert labels[51] == "mit" and labels[52] == "apache" and labels[53] == ""
     assert licences.scan(frame([])).collect() == []
+
+
+def test_licences_of_joined_notices_are_all_found(spark, frame):
+    import itertools
+    names = sorted(licences.TEMPLATES)
+    joined = [c for n in (1, 2, 3, 4, 7) for c in itertools.combinations(names, n)]
+    rows = [(k, ". ".join(licences.TEMPLATES[x][0] for x in c)) for k, c in enumerate(joined)]
+    more = [(1000 + k, t) for k, t in enumerate(["the mit license", "licensed under the license", "to the public"] * 30)]
+    labels = {r.doc_id: r.labels.split(",") for r in licences.scan(frame(rows + more)).collect()}
+    for k, c in enumerate(joined):
+        want = set(c) | ({"cc-by"} if "cc-by-nc" in c else set())
+        assert set(labels[k]) == want, (c, labels[k])
