@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recengine.llm import decontam, jaccard, licences, line_dedup, ordinal, packing, sharding, simhash, toxicity, unit_dedup
+from recengine.llm import decontam, jaccard, licences, line_dedup, ordinal, packing, sharding, simhash, spelling, toxicity, unit_dedup
 from recengine.llm.common import table
 from recengine.llm.registry import register
 
@@ -68,3 +68,8 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@register("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(table(spark, sf_dir, "documents"))
