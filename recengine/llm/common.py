@@ -48,6 +48,8 @@ def word_hashes() -> WordHashes:
 _BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
 _BYTES[65:91] = _BYTES[97:123]
 _BASE = 0x9E3779B97F4A7C15
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] = _LOWER[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _SPACE, _CUT = re.compile(rb"[\t-\r ]"), 1 << 18
@@ -61,7 +63,8 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def _codes(raw: bytes) -> np.ndarray:
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words."""
     buf = np.frombuffer(raw, np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~_BLANK[buf]
@@ -70,21 +73,37 @@ def _codes(raw: bytes) -> np.ndarray:
     up, down = _powers(max(_CUT.bit_length(), len(raw).bit_length()))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTES[buf] * up[:len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
-def word_codes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text (cut at ASCII white space, A-Z as a-z): polynomials of their
-    bytes, all words at once.  Long texts go by pieces that end at white space."""
-    out, at = [], 0
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    at = 0
     while at < len(raw):
         blank = _SPACE.search(raw, at + _CUT)
         end = blank.start() if blank else len(raw)
-        out.append(_codes(raw[at:end]))
+        yield raw[at:end]
         at = end
+
+
+def word_codes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text (cut at ASCII white space, A-Z as a-z): polynomials of their
+    bytes, all words at once.  Long texts go by pieces that end at white space."""
+    out = [_words(piece)[0] for piece in _pieces(raw)]
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def word_codes_and_endings(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of ``word_codes`` and a 16-bit hash of each word's last two bytes."""
+    codes, endings = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+    for piece in _pieces(raw):
+        code, starts, ends = _words(piece)
+        low = _LOWER[np.frombuffer(piece, np.uint8)]
+        two = np.where(ends - starts > 1, low[np.maximum(ends, 2) - 2], 0) * np.uint64(256) + low[ends - 1]
+        codes.append(code)
+        endings.append((mix(two + np.uint64(1)) >> np.uint64(48)).astype(np.int32))
+    return np.concatenate(codes), np.concatenate(endings)
+
+
 def mix(h: np.ndarray, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Finaliser of a multiply-xorshift hash on uint64."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(odd)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recengine.llm import decontam, jaccard, licences, line_dedup, ordinal, packing, prefix_trie, prefix_trie_sql, sharding, simhash, spelling, toxicity, unit_dedup
+from recengine.llm import decontam, jaccard, licences, line_dedup, ordinal, packing, prefix_trie, prefix_trie_sql, recurrent, sharding, simhash, spelling, toxicity, unit_dedup
 from recengine.llm.common import table
 from recengine.llm.registry import register
 
@@ -78,3 +78,8 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_prefix_trie", prefix_trie_sql.SQL)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+@register("op11_recurrent_lm")
+def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(table(spark, sf_dir, "documents"))
