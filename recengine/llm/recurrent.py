@@ -40,7 +40,7 @@ UNITS, CLASSES, HIDDEN = 256, 16, 16
 PER = UNITS // CLASSES
 END, OWN, SHARED, RARE = 0, 191, 48, 16        # units: end, own words, endings of head words, endings of the others
 HEAD = 1 << 18
-WINDOW, STREAMS, RATE = 16, 256, 0.1
+WINDOW, STREAMS, TOGETHER, RATE = 16, 256, 1024, 0.1
 SAMPLE, SAMPLE_PASSES = 2000, 4
 END_CODE = np.uint64(0x5851F42D4C957F2D)
 HELD_CODES = 1_500_000
@@ -150,6 +150,21 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
 # ---- the network
 
+def _sigmoid(a: np.ndarray) -> None:
+    np.negative(a, out=a)
+    np.exp(a, out=a)
+    a += 1
+    np.reciprocal(a, out=a)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Over axis 0, in place; at least 1e-30."""
+    logits -= logits.max(0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(0)
+    return np.maximum(logits, 1e-30, out=logits)
+
+
 class Network:
     """Weights in one flat array, with views of it; ``squares`` are Adagrad's sums."""
 
@@ -178,53 +193,61 @@ class Network:
         what backpropagation needs."""
         h = self.hidden
         inputs, out = self.inputs[x], np.empty((*x.shape, h), np.float32)
+        to_gates, to_new = np.ascontiguousarray(self.state[:, :2 * h]), np.ascontiguousarray(self.state[:, 2 * h:])
         resets = x == END
+        some = resets.any(1)
         for t in range(len(x)):
-            old = state * ~resets[t][:, None] if resets[t].any() else state
-            rec = old @ self.state
-            gates = 1 / (1 + np.exp(-(inputs[t, :, :2 * h] + rec[:, :2 * h])))
+            old = state * ~resets[t][:, None] if some[t] else state
+            gates = old @ to_gates
+            gates += inputs[t, :, :2 * h]
+            _sigmoid(gates)
             z, r = gates[:, :h], gates[:, h:]
-            new = 2 / (1 + np.exp(-2 * (inputs[t, :, 2 * h:] + r * rec[:, 2 * h:]))) - 1
-            state = new + z * (old - new)
-            out[t] = state
+            rec = old @ to_new
+            new = r * rec
+            new += inputs[t, :, 2 * h:]
+            new *= 2
+            _sigmoid(new)           # tanh(a) = 2 sigmoid(2 a) - 1
+            new *= 2
+            new -= 1
+            state = out[t]
+            np.subtract(old, new, out=state)
+            state *= z
+            state += new
             if keep is not None:
-                keep.append((old, rec[:, 2 * h:], gates, new))
+                keep.append((old, rec, gates, new))
         return out
 
     def log_probs(self, states: np.ndarray, y: np.ndarray, grads: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of the units ``y`` (rows) by class and within it.  With ``grads``, the gradients of the sum of
         their negatives, by state into ``grads`` and by weight into the d_ arrays."""
-        kind = y // PER
-        logits = states @ self.classes + self.class_bias
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
-        rows = np.arange(len(y))
-        out = (logits[rows, kind] - np.log(total)).astype(np.float64)
+        kind, unit = (y // PER).astype(np.uint8), y % PER
+        rows, across = np.arange(len(y)), np.ascontiguousarray(states.T)
+        p = _softmax(self.classes.T @ across + self.class_bias[:, None])
+        out = np.log(p[kind, rows].astype(np.float64))
         if grads is not None:
-            p /= total[:, None]
-            p[rows, kind] -= 1
-            self.d_classes += states.T @ p
-            self.d_class_bias += p.sum(0)
-            grads[:] = p @ self.classes.T
+            p[kind, rows] -= 1
+            self.d_classes += across @ p.T
+            self.d_class_bias += p.sum(1)
+            back = self.classes @ p
+        # rows of a class side by side: one product per class, all else at once
         order = np.argsort(kind, kind="stable")
         ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-        for c, end in enumerate(ends):
-            own = order[ends[c - 1] if c else 0:end]
-            if not len(own):
-                continue
-            s, unit, at = states[own], y[own] % PER, np.arange(len(own))
-            logits = s @ self.units[c] + self.unit_bias[c]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(1)
-            out[own] += logits[at, unit] - np.log(total)
-            if grads is not None:
-                p /= total[:, None]
-                p[at, unit] -= 1
-                self.d_units[c] += s.T @ p
-                self.d_unit_bias[c] += p.sum(0)
-                grads[own] += p @ self.units[c].T
+        spans = [(c, slice(int(a), int(b))) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        across, p = across[:, order], np.empty((PER, len(y)), np.float32)
+        for c, own in spans:
+            np.matmul(self.units[c].T, across[:, own], out=p[:, own])
+            p[:, own] += self.unit_bias[c][:, None]
+        p, unit = _softmax(p), unit[order]
+        out[order] += np.log(p[unit, rows].astype(np.float64))
+        if grads is not None:
+            p[unit, rows] -= 1
+            inner = np.empty_like(across)
+            for c, own in spans:
+                self.d_units[c] += across[:, own] @ p[:, own].T
+                self.d_unit_bias[c] += p[:, own].sum(1)
+                np.matmul(self.units[c], p[:, own], out=inner[:, own])
+            grads[:] = back.T
+            grads[order] += inner.T
         return out
 
     def learn(self, x: np.ndarray, y: np.ndarray, state: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, float]:
@@ -235,22 +258,31 @@ class Network:
         back = np.empty((x.size, h), np.float32)
         loss = -self.log_probs(states.reshape(-1, h), y.reshape(-1), back).sum()
         back = back.reshape(states.shape)
-        d_in, d_rec, d_next = np.empty((*x.shape, 3 * h), np.float32), np.empty((*x.shape, 3 * h), np.float32), 0.0
+        d_in, d_rec, d_next = np.empty((*x.shape, 3 * h), np.float32), np.empty((*x.shape, 3 * h), np.float32), np.float32(0)
+        back_state, resets = np.ascontiguousarray(self.state.T), x == END
+        some = resets.any(1)
         for t in range(len(x) - 1, -1, -1):
             old, rec, gates, new = keep[t]
             z, r = gates[:, :h], gates[:, h:]
             d = back[t] + d_next
-            d_new = d * (1 - z) * (1 - new * new)
-            d_in[t, :, :h] = d * (old - new) * z * (1 - z)
-            d_in[t, :, h:2 * h] = d_new * rec * r * (1 - r)
-            d_in[t, :, 2 * h:] = d_new
-            d_rec[t, :, :2 * h] = d_in[t, :, :2 * h]
-            d_rec[t, :, 2 * h:] = d_new * r
-            d_next = (d * z + d_rec[t] @ self.state.T) * (x[t] != END)[:, None]
+            slope = gates - gates * gates
+            closed = d * (1 - z)
+            d_new = closed * (1 - new * new)
+            through, kept = d_in[t], d_rec[t]
+            np.multiply(d * (old - new), slope[:, :h], out=through[:, :h])
+            np.multiply(d_new * rec, slope[:, h:], out=through[:, h:2 * h])
+            through[:, 2 * h:] = d_new
+            kept[:, :2 * h] = through[:, :2 * h]
+            np.multiply(d_new, r, out=kept[:, 2 * h:])
+            d_next = kept @ back_state
+            d -= closed             # d * z
+            d_next += d
+            if some[t]:
+                d_next *= ~resets[t][:, None]
         self.d_state += np.concatenate([k[0] for k in keep]).T @ d_rec.reshape(-1, 3 * h)
-        flat = x.reshape(-1)
+        flat = x.reshape(-1).astype(np.uint8)
         order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        starts = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
         self.d_inputs[flat[order[starts]]] += np.add.reduceat(d_in.reshape(-1, 3 * h)[order], starts)
         self.grad /= x.size
         self.squares += self.grad * self.grad
@@ -262,10 +294,10 @@ class Network:
         n = len(units)
         streams = int(min(STREAMS, max(1, n // (8 * WINDOW))))
         steps = -(-n // streams)
-        y = np.full(steps * streams, END, np.int64)     # the last stream is filled up with empty texts
+        y = np.full(steps * streams, END, np.uint8)     # the last stream is filled up with empty texts
         y[:n] = units
         y = y.reshape(streams, steps).T
-        x = np.concatenate([np.full((1, streams), END), y[:-1]])
+        x = np.concatenate([np.full((1, streams), END, np.uint8), y[:-1]])
         # a stream that begins within a text starts as a text does
         state, loss = np.zeros((streams, self.hidden), np.float32), 0.0
         for t in range(0, steps, WINDOW):
@@ -275,25 +307,32 @@ class Network:
 
     def score(self, units: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Natural log probability of each of the texts (``n`` units each, one after the other), window by window with carried state.
-        Texts are taken longest first, so that those still running are the first ones of the state."""
+        Texts are taken longest first, ``TOGETHER`` at a time, so that those still running are the first ones of the state."""
         order = np.argsort(-n, kind="stable")
-        starts, sizes, out = (np.cumsum(n) - n)[order], n[order], np.zeros(len(n))
-        units = np.concatenate([units.astype(np.int64), np.full(1, END)])
-        running, t, state = len(n), 0, np.zeros((len(n), self.hidden), np.float32)
-        while running := int(np.searchsorted(-sizes[:running], -t, "left")):
-            step = int(min(WINDOW, sizes[0] - t))
-            at = np.arange(t, t + step)[:, None]
-            live = at < sizes[:running]
-            place = np.where(live, starts[:running] + at, len(units) - 1)
-            y = units[place]
-            x = np.where(at > 0, units[place - 1], END)
+        first, result = np.cumsum(n) - n, np.empty(len(n))
+        units = np.append(units, np.uint8(END))
+        for a in range(0, len(n), TOGETHER):
+            own = order[a:a + TOGETHER]
+            result[own] = self._score(units, first[own], n[own])
+        return result
+
+    def _score(self, units: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        running, t, state, out = len(n), 0, np.zeros((len(n), self.hidden), np.float32), np.zeros(len(n))
+        while running := int(np.searchsorted(-n[:running], -t, "left")):
+            at = np.arange(t, t + min(WINDOW, int(n[0]) - t))[:, None]
+            live = at < n[:running]
+            place = np.where(live, first[:running] + at, len(units) - 1)
+            x, y = units[place - 1], units[place]
+            if t == 0:
+                x[0] = END
             states = self.run(x, state[:running])
             state = states[-1]
-            out[:running] += np.bincount(np.nonzero(live)[1], self.log_probs(states[live], y[live]), running)
-            t += step
-        result = np.empty(len(n))
-        result[order] = out
-        return result
+            if live.all():
+                out[:running] += self.log_probs(states.reshape(-1, self.hidden), y.reshape(-1)).reshape(y.shape).sum(0)
+            else:
+                out[:running] += np.bincount(np.nonzero(live)[1], self.log_probs(states[live], y[live]), running)
+            t += len(at)
+        return out
 
 
 # ---- training over the corpus
