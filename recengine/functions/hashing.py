@@ -10,6 +10,8 @@ and the DuckDB oracle can replay them:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +37,11 @@ def salted(seed: int | str, *salts: str) -> str:
     ``parts`` of the hash functions are column names, so literal salts go
     into the seed)."""
     return "|".join([str(seed), *salts])
+
+
+def hashed_normals(seed: int | str, width: int, *keys: Column, spread: float = 1.0) -> Column:
+    """Array of ``width`` normal numbers from the hashes of the keys."""
+    def uniform(salt: int, k: Column) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(str(seed)), F.lit(salt), *keys, k), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return F.transform(F.sequence(F.lit(1), F.lit(width)),
+                       lambda k: spread * F.sqrt(-2 * F.log(uniform(1, k))) * F.cos(2 * math.pi * uniform(2, k)))

@@ -242,67 +242,4 @@ def edge_split(samples: DataFrame, split: str = "split", label: str = "label") -
                           F.col(label).alias("label"), F.col(split).alias("split"))
 
 
-def orthonormal_check(long: DataFrame, digits: int = 6) -> DataFrame:
-    """Max |Q^T Q - I| over the columns of a long-form basis (one aggregate)."""
-    a = long.select("node", F.col("dim").alias("i"), F.col("value").alias("x"))
-    b = long.select("node", F.col("dim").alias("j"), F.col("value").alias("y"))
-    g = a.join(b, "node").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-    err = F.abs(F.col("g") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
-    return g.agg(F.round(F.max(err), digits).alias("max_gram_error"))
-
-
-def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, iterations: int = 30,
-                       seed: int = 42) -> DataFrame:
-    """M5: GLEE-style spectral embedding: the ``k`` leading eigenvectors of the
-    normalised Laplacian ``L = I - D^-1/2 A D^-1/2`` by orthogonal (subspace)
-    iteration, each scaled by sqrt(eigenvalue).  Distributed: ``L Q`` is an
-    edge join + ``groupBy(node, dim)``; the k x k Gram matrix is the only
-    thing on the driver (its Cholesky factor is applied as a literal
-    matrix).  Long form ``(node, dim, value)``."""
-    import numpy as np
-
-    from recengine.functions.hashing import hash_int
-    from recengine.session import cut_lineage
-
-    deg = degrees(nodes, edges).select("node", F.col("degree").cast("double").alias("__d"))
-    arcs = both_directions(edges)
-    w = (arcs.join(deg, "node").join(deg.select(F.col("node").alias("nbr"), F.col("__d").alias("__dn")), "nbr")
-         .select("node", "nbr", (F.lit(1.0) / F.sqrt(F.col("__d") * F.col("__dn"))).alias("__w")))
-    w = cut_lineage(w)
-    q = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("dim"))
-    q = q.withColumn("value", (F.pmod(hash_int(seed, "node", "dim"), F.lit(2000001)) - 1000000) / 1e6)
-
-    def apply_l(x: DataFrame) -> DataFrame:
-        nx = (w.join(x.select(F.col("node").alias("nbr"), "dim", "value"), "nbr")
-              .groupBy("node", "dim").agg(F.sum(F.col("__w") * F.col("value")).alias("__nx")))
-        return (x.join(nx, ["node", "dim"], "left")
-                .select("node", "dim", (F.col("value") - F.coalesce("__nx", F.lit(0.0))).alias("value")))
-
-    def orthonormalise(x: DataFrame) -> DataFrame:
-        a = x.select("node", F.col("dim").alias("i"), F.col("value").alias("xi"))
-        b = x.select("node", F.col("dim").alias("j"), F.col("value").alias("xj"))
-        gram = a.join(b, "node").groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("g")).collect()
-        g = np.zeros((k, k))
-        for r in gram:                       # k*k numbers: bounded by k, not by the data
-            g[r["i"], r["j"]] = r["g"]
-        rinv = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.eye(k)).T)
-        m = F.create_map(*[v for i in range(k) for j in range(k) for v in (F.lit(i * k + j), F.lit(float(rinv[i, j])))])
-        # Q R^-1: each (node, i) value feeds the k outputs of its row (explode of k)
-        terms = a.select("node", "i", "xi", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-        return (terms.groupBy("node", "j").agg(F.sum(F.col("xi") * m[F.col("i") * k + F.col("j")]).alias("value"))
-                .select("node", F.col("j").alias("dim"), "value"))
-
-    q = orthonormalise(q)
-    for it in range(iterations):
-        q = orthonormalise(apply_l(q))
-        if it % 5 == 4:
-            q = cut_lineage(q)
-    lq = apply_l(q)
-    lam = (q.join(lq.withColumnRenamed("value", "__l"), ["node", "dim"])
-           .groupBy("dim").agg(F.sum(F.col("value") * F.col("__l")).alias("eigenvalue")))
-    return (q.join(lam, "dim")
-            .select("node", "dim", (F.col("value") * F.sqrt(F.greatest(F.col("eigenvalue"), F.lit(0.0)))).alias("value"),
-                    "eigenvalue"))
-
-
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F")]

@@ -94,10 +94,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
+def written(df: DataFrame, name: str = "cut", partition_by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts the
     lineage, survives lost executors, and keeps column pruning and sizes."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of ``written`` that nothing reads any
+    more, through Spark's own file system."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
