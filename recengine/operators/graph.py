@@ -1,18 +1,17 @@
 """Graph operators on edge and node DataFrames.
 
 Graphs are ``nodes(node)`` and undirected ``edges(src, dst)`` with
-``src < dst``.  Vectors are kept long -- ``(node, dim, value)`` -- so
-message passing is an equi-join on the edge end plus ``groupBy(node, dim)``
-(partial + final aggregation: a node with a huge degree is pre-summed
-map-side).  No GraphFrames, no driver-side adjacency.
+``src < dst``.  Vectors are whole arrays, one row per node; message passing
+is an equi-join on the edge end plus a sum per node (partial + final
+aggregation: a node with a huge degree is pre-summed map-side).  Attention
+and convolution layers are in ``gnn``, the spectral embedding in ``spectral``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recengine.functions.arrays import elu, leaky_relu, relu
 
 
 # ---------------------------------------------------------------- build
@@ -98,19 +97,6 @@ def average_clustering(nodes: DataFrame, edges: DataFrame, digits: int = 6) -> D
 
 
 # ---------------------------------------------------------------- vectors
-def to_long(vectors: DataFrame, node: str, vec: str) -> DataFrame:
-    """``(node, array)`` -> ``(node, dim, value)``."""
-    return vectors.select(F.col(node).alias("node"),
-                          F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "value"))
-
-
-def to_array(long: DataFrame, name: str = "vec") -> DataFrame:
-    """``(node, dim, value)`` -> ``(node, array)`` ordered by dim (a node's
-    vector is bounded by the embedding width)."""
-    return (long.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("__s"))
-            .select("node", F.transform("__s", lambda s: s["value"]).alias(name)))
-
-
 def node_features(nodes: DataFrame, vectors: DataFrame, key: str, vec: str, width: int) -> DataFrame:
     """Feature vector per node, zeros where no vector exists."""
     zeros = F.array_repeat(F.lit(0.0), F.lit(width))
@@ -118,22 +104,6 @@ def node_features(nodes: DataFrame, vectors: DataFrame, key: str, vec: str, widt
     return nodes.select("node").join(v, "node", "left").select("node", F.coalesce("__v", zeros).alias("vec"))
 
 
-def mean_of_neighbours(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(D^-1 A) X`` in long form: average of neighbour vectors.
-
-    Messages travel as whole vectors (one row per arc, not arcs x dims) and
-    are summed per node with ML's ``Summarizer`` (a partial + final
-    aggregate), then expanded back to long form."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    arcs = both_directions(edges)
-    vec = to_array(long, "__v").select(F.col("node").alias("nbr"), array_to_vector("__v").alias("__v"))
-    msgs = (arcs.join(vec, "nbr").groupBy("node")
-            .agg(Summarizer.sum(F.col("__v")).alias("__s"), F.count(F.lit(1)).alias("__deg")))
-    return msgs.select("node", F.posexplode(vector_to_array("__s")).alias("dim", "__x"), "__deg") \
-               .select("node", F.col("dim").cast("int").alias("dim"), (F.col("__x") / F.col("__deg")).alias("value"))
-
-
 def _neighbour_mean_arrays(vec: DataFrame, arcs: DataFrame, name: str) -> DataFrame:
     """``(node, array)`` -> ``(node, mean of neighbour arrays)``: one row per
     arc carrying a whole vector, summed per node by ``Summarizer``."""
@@ -169,54 +139,6 @@ def neu_arrays(vec: DataFrame, edges: DataFrame, l1: float = 0.5, l2: float = 0.
     return r.withColumnRenamed("__v", name)
 
 
-def neu(long: DataFrame, edges: DataFrame, l1: float = 0.5, l2: float = 0.25, iterations: int = 1) -> DataFrame:
-    """M6 on long form ``(node, dim, value)`` in and out."""
-    out = neu_arrays(to_array(long, "vec"), edges, l1, l2, iterations, "vec")
-    return out.select("node", F.posexplode("vec").alias("dim", "value")).select(
-        "node", F.col("dim").cast("int").alias("dim"), "value")
-
-
-def attention_softmax(edges: DataFrame, src_score: DataFrame, dst_score: DataFrame,
-                      slope: float = 0.2) -> DataFrame:
-    """M7: per directed edge ``i -> j``: ``e = LeakyReLU(s_src(i) + s_dst(j))``,
-    ``alpha = exp(e - max e) / (sum over edges into j of exp(e - max e) + 1e-16)``.
-    The max is global (one scalar subquery), as in the reference."""
-    e = (edges.join(src_score.select(F.col("node").alias("src"), F.col("score").alias("__s")), "src")
-         .join(dst_score.select(F.col("node").alias("dst"), F.col("score").alias("__d")), "dst")
-         .withColumn("e", leaky_relu(F.col("__s") + F.col("__d"), slope)))
-    mx = e.select(F.max("e")).scalar()
-    e = e.withColumn("__x", F.exp(F.col("e") - mx))
-    denom = e.groupBy("dst").agg(F.sum("__x").alias("__z"))
-    return (e.join(denom, "dst")
-            .select("src", "dst", (F.col("__x") / (F.col("__z") + F.lit(1e-16))).alias("alpha")))
-
-
-def attention_aggregate(att: DataFrame, long: DataFrame, skip: bool = True) -> DataFrame:
-    """M8 (one head): ``ELU(sum_i alpha_ij h_i + h_j)`` per target ``j``;
-    with several heads, concatenate or average the results per dim."""
-    msgs = (att.join(long.select(F.col("node").alias("src"), "dim", "value"), "src")
-            .groupBy(F.col("dst").alias("node"), "dim")
-            .agg(F.sum(F.col("alpha") * F.col("value")).alias("__m")))
-    if skip:
-        msgs = msgs.join(long.withColumnRenamed("value", "__h"), ["node", "dim"], "left") \
-                   .withColumn("__m", F.col("__m") + F.coalesce("__h", F.lit(0.0)))
-    return msgs.select("node", "dim", elu(F.col("__m")).alias("value"))
-
-
-def gcn_layer(long: DataFrame, edges: DataFrame, nodes: DataFrame, activation: str | None = "relu") -> DataFrame:
-    """M9: ``H' = D~^-1/2 (A + I) D~^-1/2 H`` (weights = identity), then ReLU."""
-    arcs = both_directions(edges).union(nodes.select(F.col("node"), F.col("node").alias("nbr")))
-    deg = arcs.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("__d"))
-    w = (arcs.join(deg, "node")
-         .join(deg.select(F.col("node").alias("nbr"), F.col("__d").alias("__dn")), "nbr")
-         .select("node", "nbr", (F.lit(1.0) / F.sqrt(F.col("__d") * F.col("__dn"))).alias("__w")))
-    out = (w.join(long.select(F.col("node").alias("nbr"), "dim", "value"), "nbr")
-           .groupBy("node", "dim").agg(F.sum(F.col("__w") * F.col("value")).alias("value")))
-    if activation == "relu":
-        out = out.withColumn("value", relu("value"))
-    return out
-
-
 def inherit_labels(arcs: DataFrame, src_label: DataFrame, order: str = "src") -> DataFrame:
     """A cited node takes the label of its first citer (in ``order``);
     citers keep their own.  ``arcs(src, dst)``, ``src_label(node, label)``."""
@@ -227,19 +149,7 @@ def inherit_labels(arcs: DataFrame, src_label: DataFrame, order: str = "src") ->
         cited.join(citers.select("node"), "node", "left_anti").select("node", "label", F.lit("cited").alias("role")))
 
 
-def attention_heads(per_head: DataFrame, heads: int, concat: bool = True) -> DataFrame:
-    """M8: combine ``(head, node, dim, value)``: concatenate (dim offset by
-    head * width) or average over heads."""
-    if concat:
-        width = per_head.select(F.max("dim") + 1).scalar()
-        return per_head.select("node", (F.col("head") * width + F.col("dim")).alias("dim"), "value")
-    return per_head.groupBy("node", "dim").agg((F.sum("value") / heads).alias("value"))
-
-
 def edge_split(samples: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """Edges with their label and split, for train/test range selection."""
     return samples.select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"),
                           F.col(label).alias("label"), F.col(split).alias("split"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F")]

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recengine.functions.arrays import zero_vector  # noqa: F401  (kept for users of the module)
+from recengine.operators import gnn as GN
 from recengine.operators import graph as G
 from recengine.operators import spectral as SP
 from recengine.operators import stats
 from recengine.plans import fixtures
 from recengine.plans import sqlparts as q
 from recengine.plans.catalog import register
-from recengine.session import cut_lineage
+from recengine.session import cut_lineage, written
 from recengine.sources.tables import load
 
 WIDTH = 64
@@ -76,7 +76,7 @@ def m3(spark, sf):
     return G.degrees(*bipartite(spark, sf), cap=100)
 
 
-@register("M3_degree_histogram", f"""WITH {COPURCHASE_SQL},
+@register("M3_degree_histogram", f"""WITH {BIPARTITE_SQL},
   mm AS (SELECT CAST(min(degree) AS DOUBLE) AS lo, CAST(max(degree) AS DOUBLE) AS hi FROM deg),
   b AS (SELECT CAST(CASE WHEN (hi - lo) / 50 = 0 THEN 0 ELSE least(floor((degree - lo) / ((hi - lo) / 50)), 49) END AS BIGINT) AS bin
         FROM deg, mm),
@@ -85,7 +85,7 @@ SELECT r.range AS bin, round(lo + r.range * ((hi - lo) / 50), 6) AS lo, round(lo
        coalesce(c.count, 0) AS count
 FROM range(50) r CROSS JOIN mm LEFT JOIN c ON c.bin = r.range""")
 def m3_hist(spark, sf):
-    return stats.histogram(G.degrees(*copurchase(spark, sf)), "degree", 50)
+    return stats.histogram(G.degrees(*bipartite(spark, sf)), "degree", 50)
 
 
 _TRI_SQL = f"""{COPURCHASE_SQL},
@@ -111,15 +111,21 @@ def m4(spark, sf):
 
 
 def _features(spark, sf):
-    nodes, edges = copurchase(spark, sf)
-    emb = load(spark, sf, "embeddings", ["vec_id", "embedding"])
-    feats = G.node_features(nodes, emb, "vec_id", "embedding", WIDTH)
-    return nodes, edges, G.to_long(feats, "node", "vec")
+    """M1's graph with M11's features: text vectors for items, zeros for users."""
+    nodes, edges = bipartite(spark, sf)
+    offset = fixtures.interactions(spark, sf).select(F.max("user_id") + 1).scalar()
+    emb = load(spark, sf, "embeddings", ["vec_id", "embedding"]).select((F.col("vec_id") + offset).alias("node"), "embedding")
+    return nodes, edges, G.node_features(nodes, emb, "node", "embedding", WIDTH)
+
 
+def _rounded(vectors, digits=6):
+    return vectors.select("node", F.posexplode("vec").alias("dim", "value")).select(
+        "node", F.col("dim").cast("int").alias("dim"), (F.round("value", digits) + 0.0).alias("value"))
 
-_LONG_SQL = f"""{COPURCHASE_SQL},
+
+_LONG_SQL = f"""{BIPARTITE_SQL},
   feats AS (SELECT n.node, coalesce(e.embedding, list_transform(range({WIDTH}), lambda i: CAST(0.0 AS FLOAT))) AS vec
-            FROM nodes n LEFT JOIN embeddings e ON e.vec_id = n.node),
+            FROM nodes n LEFT JOIN (SELECT vec_id + o AS node, embedding FROM embeddings, off) e ON e.node = n.node),
   lng AS (SELECT node, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, CAST(unnest(vec) AS DOUBLE) AS value FROM feats),
   pdeg AS (SELECT node, count(*) AS d FROM arcs GROUP BY node)"""
 
@@ -128,10 +134,8 @@ _LONG_SQL = f"""{COPURCHASE_SQL},
 SELECT node, CAST(len(vec) AS INTEGER) AS width, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 3) AS total
 FROM feats""")
 def m11(spark, sf):
-    nodes, edges = copurchase(spark, sf)
-    f = G.node_features(nodes, load(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding", WIDTH)
-    return f.select("node", F.size("vec").alias("width"),
-                    F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+    return _features(spark, sf)[2].select("node", F.size("vec").alias("width"),
+                                          F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
 @register("M6_neu_enhancement", f"""WITH {_LONG_SQL},
@@ -144,63 +148,100 @@ def m11(spark, sf):
 SELECT r.node, r.dim, round(r.value + 0.5 * coalesce(ar.value, 0.0) + 0.25 * coalesce(aar.value, 0.0), 6) + 0.0 AS value
 FROM r LEFT JOIN ar USING (node, dim) LEFT JOIN aar USING (node, dim)""")
 def m6(spark, sf):
-    nodes, edges = copurchase(spark, sf)
-    feats = G.node_features(nodes, load(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding", WIDTH)
-    out = G.neu_arrays(feats, edges, 0.5, 0.25, 1, "vec")
-    return out.select("node", F.posexplode("vec").alias("dim", "value")).select(
-        "node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+    nodes, edges, feats = _features(spark, sf)
+    return _rounded(G.neu_arrays(feats, edges, 0.5, 0.25, 1, "vec"))
+
+
+# ---- M7-M9: given weights, by one formula on both sides
+def _given(rows: int, cols: int, salt: int):
+    import numpy as np
+    return ((np.arange(rows)[:, None] * 31 + np.arange(cols) * 17 + salt * 7) % 13 - 6) / 32.0
+
+
+def _given_sql(row: str, col: str, salt: int) -> str:
+    return f"((({row}) * 31 + ({col}) * 17 + {salt * 7}) % 13 - 6) / 32.0"
+
 
+HEADS, OUT = 3, 8
 
-def _scores(long):
-    src = long.groupBy("node").agg((F.sum("value") / WIDTH).alias("score"))
-    dst = long.filter(F.col("dim") == 0).select("node", F.col("value").alias("score"))
-    return src, dst
 
+def _layers():
+    """A concatenating layer with projected skip, and an averaging one (its skip adds the input to every head)."""
+    first = GN.Attention(_given(WIDTH, HEADS * OUT, 1), 8 * _given(HEADS, OUT, 2), 8 * _given(HEADS, OUT, 3), _given(WIDTH, HEADS * OUT, 4), _given(1, HEADS * OUT, 5)[0])
+    wide = HEADS * OUT
+    last = GN.Attention(_given(wide, HEADS * wide, 6), 8 * _given(HEADS, wide, 7), 8 * _given(HEADS, wide, 8), "identity", _given(1, wide, 9)[0], concat=False, activation=None)
+    return first, last
 
-_ATT_SQL = f"""{_LONG_SQL},
-  ssrc AS (SELECT node, sum(value) / {WIDTH} AS s FROM lng GROUP BY node),
-  sdst AS (SELECT node, value AS s FROM lng WHERE dim = 0),
-  e AS (SELECT a.nbr AS src, a.node AS dst,
-               CASE WHEN x.s + y.s > 0 THEN x.s + y.s ELSE (x.s + y.s) * 0.2 END AS e
-        FROM arcs a JOIN ssrc x ON x.node = a.nbr JOIN sdst y ON y.node = a.node),
-  ex AS (SELECT src, dst, exp(e - (SELECT max(e) FROM e)) AS x FROM e),
-  att AS (SELECT src, dst, x / (sum(x) OVER (PARTITION BY dst) + 1e-16) AS alpha FROM ex)"""
 
+def _attention_sql(name: str, x: str, out: int, salt: int) -> str:
+    """CTEs ``{name}_h`` (node, c, value), ``{name}_att`` (src, dst, head, alpha), ``{name}_mix`` (node, c, value) from features ``x``."""
+    return f"""
+  {name}_h AS (SELECT l.node, c.range AS c, sum(l.value * {_given_sql('l.dim', 'c.range', salt)}) AS value
+        FROM {x} l, range({HEADS * out}) c GROUP BY l.node, c.range),
+  {name}_s AS (SELECT node, c // {out} AS head, sum(value * 8 * {_given_sql(f'c // {out}', f'c % {out}', salt + 1)}) AS s_src,
+                      sum(value * 8 * {_given_sql(f'c // {out}', f'c % {out}', salt + 2)}) AS s_dst FROM {name}_h GROUP BY ALL),
+  {name}_e AS (SELECT a.nbr AS src, a.node AS dst, x.head, CASE WHEN x.s_src + y.s_dst > 0 THEN x.s_src + y.s_dst ELSE (x.s_src + y.s_dst) * 0.2 END AS e
+        FROM arcs a JOIN {name}_s x ON x.node = a.nbr JOIN {name}_s y ON y.node = a.node AND y.head = x.head),
+  {name}_x AS (SELECT src, dst, head, exp(e - max(e) OVER (PARTITION BY dst, head)) AS x FROM {name}_e),
+  {name}_att AS (SELECT src, dst, head, x / sum(x) OVER (PARTITION BY dst, head) AS alpha FROM {name}_x),
+  {name}_mix AS (SELECT a.dst AS node, h.c, sum(a.alpha * h.value) AS value FROM {name}_att a JOIN {name}_h h ON h.node = a.src AND h.c // {out} = a.head GROUP BY ALL)"""
 
-def _attention(spark, sf):
-    nodes, edges, long = _features(spark, sf)
-    arcs = G.both_directions(edges).select(F.col("nbr").alias("src"), F.col("node").alias("dst"))
-    src, dst = _scores(long)
-    return long, G.attention_softmax(arcs, src, dst, 0.2)
 
+_FIRST_SQL = f"""{_LONG_SQL}, {_attention_sql('p', 'lng', OUT, 1)},
+  p_skip AS (SELECT l.node, c.range AS c, sum(l.value * {_given_sql('l.dim', 'c.range', 4)}) AS value FROM lng l, range({HEADS * OUT}) c GROUP BY l.node, c.range),
+  p_sum AS (SELECT s.node, CAST(s.c AS INTEGER) AS dim, s.value + coalesce(m.value, 0.0) + {_given_sql('0', 's.c', 5)} AS v FROM p_skip s LEFT JOIN p_mix m ON m.node = s.node AND m.c = s.c),
+  p_out AS (SELECT node, dim, CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END AS value FROM p_sum)"""
 
-@register("M7_attention_softmax", f"WITH {_ATT_SQL} SELECT src, dst, round(alpha, 6) AS alpha FROM att")
+
+def _arcs(edges):
+    return G.both_directions(edges).select(F.col("nbr").alias("src"), F.col("node").alias("dst"))
+
+
+@register("M7_attention_softmax", f"WITH {_FIRST_SQL} SELECT src, dst, CAST(head AS INTEGER) AS head, round(alpha, 6) AS alpha FROM p_att")
 def m7(spark, sf):
-    return _attention(spark, sf)[1].select("src", "dst", F.round("alpha", 6).alias("alpha"))
+    nodes, edges, feats = _features(spark, sf)
+    att = GN.attention_coefficients(_arcs(edges), feats, _layers()[0])
+    return att.select("src", "dst", F.posexplode("alpha").alias("head", "alpha")).withColumn("alpha", F.round("alpha", 6))
 
 
-@register("M8_attention_aggregate", f"""WITH {_ATT_SQL},
-  m AS (SELECT a.dst AS node, l.dim, sum(a.alpha * l.value) AS m FROM att a JOIN lng l ON l.node = a.src GROUP BY a.dst, l.dim),
-  s AS (SELECT m.node, m.dim, m.m + coalesce(l.value, 0.0) AS v FROM m LEFT JOIN lng l USING (node, dim))
-SELECT node, dim, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 6) + 0.0 AS value FROM s""")
+@register("M8_attention_aggregate", f"WITH {_FIRST_SQL} SELECT node, dim, round(value, 6) + 0.0 AS value FROM p_out")
 def m8(spark, sf):
-    long, att = _attention(spark, sf)
-    out = G.attention_aggregate(att, long, skip=True)
-    return out.select("node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+    nodes, edges, feats = _features(spark, sf)
+    return _rounded(GN.attention_layer(_arcs(edges), feats, _layers()[0]))
+
+
+@register("M8_attention_two_layers", f"""WITH {_FIRST_SQL}, {_attention_sql('q', 'p_out', HEADS * OUT, 6)},
+  heads AS (SELECT o.node, o.dim, sum(coalesce(m.value, 0.0) + o.value) / {HEADS} AS v
+            FROM p_out o CROSS JOIN range({HEADS}) h LEFT JOIN q_mix m ON m.node = o.node AND m.c = h.range * {HEADS * OUT} + o.dim GROUP BY o.node, o.dim)
+SELECT node, dim, round(v + {_given_sql('0', 'dim', 9)}, 4) + 0.0 AS value FROM heads""")
+def m8_two(spark, sf):
+    """A concatenating and an averaging layer, as in the published network."""
+    nodes, edges, feats = _features(spark, sf)
+    arcs = written(_arcs(edges), "arcs")
+    first, last = _layers()
+    out = GN.attention_layer(arcs, written(GN.attention_layer(arcs, feats, first), "features"), last)
+    return _rounded(out, 4)
+
+
+GCN_WIDE, GCN_OUT = 16, 4
 
 
 @register("M9_gcn_two_layers", f"""WITH {_LONG_SQL},
   sarcs AS (SELECT node, nbr FROM arcs UNION ALL SELECT node, node FROM nodes),
   sdeg AS (SELECT node, CAST(count(*) AS DOUBLE) AS d FROM sarcs GROUP BY node),
   w AS (SELECT a.node, a.nbr, 1.0 / sqrt(x.d * y.d) AS w FROM sarcs a JOIN sdeg x ON x.node = a.node JOIN sdeg y ON y.node = a.nbr),
-  h1 AS (SELECT w.node, l.dim, greatest(sum(w.w * l.value), 0.0) AS value FROM w JOIN lng l ON l.node = w.nbr GROUP BY w.node, l.dim),
-  h2 AS (SELECT w.node, h.dim, sum(w.w * h.value) AS value FROM w JOIN h1 h ON h.node = w.nbr GROUP BY w.node, h.dim)
-SELECT node, dim, round(value, 6) + 0.0 AS value FROM h2""")
+  x1 AS (SELECT l.node, c.range AS c, sum(l.value * {_given_sql('l.dim', 'c.range', 1)}) AS value FROM lng l, range({GCN_WIDE}) c GROUP BY l.node, c.range),
+  h1 AS (SELECT w.node, x.c, greatest(sum(w.w * x.value) + {_given_sql('0', 'x.c', 2)}, 0.0) AS value FROM w JOIN x1 x ON x.node = w.nbr GROUP BY w.node, x.c),
+  x2 AS (SELECT l.node, c.range AS c, sum(l.value * {_given_sql('l.c', 'c.range', 3)}) AS value FROM h1 l, range({GCN_OUT}) c GROUP BY l.node, c.range),
+  h2 AS (SELECT w.node, x.c, sum(w.w * x.value) + {_given_sql('0', 'x.c', 4)} AS value FROM w JOIN x2 x ON x.node = w.nbr GROUP BY w.node, x.c),
+  z AS (SELECT node, max(value) + ln(sum(exp(value - m))) AS z FROM (SELECT *, max(value) OVER (PARTITION BY node) AS m FROM h2) GROUP BY node)
+SELECT node, CAST(c AS INTEGER) AS dim, round(value - z, 6) + 0.0 AS value FROM h2 JOIN z USING (node)""")
 def m9(spark, sf):
-    nodes, edges, long = _features(spark, sf)
-    h1 = G.gcn_layer(long, edges, nodes, "relu")
-    h2 = G.gcn_layer(h1, edges, nodes, None)
-    return h2.select("node", F.col("dim").cast("int").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+    """Two layers with weights and biases: ReLU, then log-softmax."""
+    nodes, edges, feats = _features(spark, sf)
+    arcs = written(G.both_directions(edges), "arcs")
+    h = GN.convolution_layer(arcs, feats, _given(WIDTH, GCN_WIDE, 1), _given(1, GCN_WIDE, 2)[0], "relu")
+    return _rounded(GN.convolution_layer(arcs, h, _given(GCN_WIDE, GCN_OUT, 3), _given(1, GCN_OUT, 4)[0], "log_softmax"))
 
 
 @register("M10_inherited_labels", """
