@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recengine.operators.joins import last_writer_map
 from recengine.operators.ordering import ranked
 
 
@@ -38,11 +39,17 @@ def behaviour_interactions(activity: DataFrame, resource_course: DataFrame, thre
 
 
 def exercise_interactions(problem_log: DataFrame, exercise_problem: DataFrame, user: str = "user_id",
-                          problem: str = "problem", exercise: str = "exercise", ts: str = "ts") -> DataFrame:
-    """Problem log -> exercise rows through the exercise-problem map
-    (distinct per user and exercise, earliest time)."""
-    rows = problem_log.join(exercise_problem, problem)
-    return rows.groupBy(user, exercise).agg(F.min(ts).alias(ts))
+                          problem: str = "problem", exercise: str = "exercise", ts: str = "ts",
+                          pos: str = "input_pos") -> DataFrame:
+    """Problem log -> distinct (user, exercise) through the
+    exercise-problem relation.  A problem that stands in several exercises
+    belongs to the last one in input order; problems of no exercise drop.
+    ``ts`` is the time of the user's first kept row in input order, one per
+    user.  ``pos`` orders both inputs (``sources.positions``)."""
+    owner = last_writer_map(exercise_problem, problem, exercise, [pos])
+    rows = problem_log.join(owner, problem)
+    first = rows.groupBy(user).agg(F.min_by(ts, pos).alias(ts))
+    return rows.select(user, exercise).distinct().join(first, user)
 
 
 def enrolment_interactions(enrolments: DataFrame, min_items: int = 3, test_frac: float = 0.2,

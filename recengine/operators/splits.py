@@ -7,17 +7,20 @@ seeded md5 of the row key, so a split is the same under any partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recengine.functions.hashing import hash_hex
 from recengine.operators.ordering import dense_index, ranked
 
 
 def recency_rank(df: DataFrame, user: str = "user_id", item: str = "item_id", ts: str = "ts",
-                 rank_col: str = "recency_rank") -> DataFrame:
-    """G1: 1 = most recent per user; ties by item id ascending."""
-    return ranked(df, [user], [F.col(ts).desc(), F.col(item).asc()], rank_col=rank_col)
+                 rank_col: str = "recency_rank", pos: str | None = None) -> DataFrame:
+    """G1: 1 = most recent per user; ties by input order ``pos`` (see
+    ``sources.positions``), or by item id ascending where none is given.
+    Rows without a time come last."""
+    return ranked(df, [user], [F.col(ts).desc_nulls_last(), F.col(pos or item).asc()], rank_col=rank_col)
 
 
 def out_of_order_rows(df: DataFrame, user: str = "user_id", ts: str = "ts",
@@ -31,28 +34,49 @@ def out_of_order_rows(df: DataFrame, user: str = "user_id", ts: str = "ts",
     return r.join(prev, [user, "__r"]).filter(F.col("prev_ts") > F.col(ts)).drop("__r")
 
 
-def _latest_per_user(df: DataFrame, user: str, item: str, ts: str) -> DataFrame:
-    # max over struct(ts, -item) = latest time, smallest item on ties.  A plain
-    # aggregate: partial aggregation keeps a hot user's work spread out.
-    top = df.groupBy(user).agg(F.max(F.struct(F.col(ts), (-F.col(item)).alias("_ni"))).alias("_k"))
-    return top.select(user, (-F.col("_k._ni")).alias(item))
+def _newest_first(df: DataFrame, ts: str) -> list[Column]:
+    """Columns that put newer rows first and rows without a time last, in
+    ascending order (``min`` over a struct has no descending part)."""
+    kind, c = df.schema[ts].dataType, F.col(ts)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif not isinstance(kind, T.NumericType):
+        raise TypeError(f"{ts} must be a time or a number, is {kind.simpleString()}")
+    return [c.isNull().alias("_none"), (-c).alias("_new")]
+
+
+def _mark_latest(df: DataFrame, user: str, ts: str, tie: str, mark: str) -> DataFrame:
+    """``mark`` = True on each user's latest row (ties: smallest ``tie``).  A
+    plain aggregate picks it: partial aggregation keeps a hot user's work
+    spread out, and the join back is on all of (user, ts, tie)."""
+    key = F.struct(*_newest_first(df, ts), F.col(tie).alias("_tie"), F.col(ts).alias("_ts"))
+    top = df.groupBy(user).agg(F.min(key).alias("_k")).select(
+        F.col(user).alias("_u"), F.col("_k._ts").alias("_ts"), F.col("_k._tie").alias("_tie"), F.lit(True).alias(mark))
+    same = F.col(user).eqNullSafe(F.col("_u")) & F.col(ts).eqNullSafe(F.col("_ts")) & F.col(tie).eqNullSafe(F.col("_tie"))
+    return df.join(top, same, "left").drop("_u", "_ts", "_tie").withColumn(mark, F.col(mark).isNotNull())
 
 
 def leave_one_out(df: DataFrame, user: str = "user_id", item: str = "item_id", ts: str = "ts",
-                  train: str = "rest") -> DataFrame:
+                  train: str = "rest", pos: str | None = None) -> DataFrame:
     """Latest row per user -> test; train = all other rows
     (``train='rest'``) or only the second latest (``train='second'``).
-    The join back is on (user, item), so no key is hot."""
-    test_keys = _latest_per_user(df, user, item, ts).withColumn("_t", F.lit(True))
-    marked = df.join(test_keys, [user, item], "left").withColumn(
-        "split", F.when(F.col("_t").isNotNull(), "test").otherwise("train")).drop("_t")
-    if train == "rest":
-        return marked                                   # one pass, no union
-    if train != "second":
+
+    Rows are told apart by ``pos``, their input position
+    (``sources.positions``), which also breaks ties; then exactly one row per
+    user is test, whatever repeats.  Without ``pos`` ties go to the smaller
+    item id, and rows equal in (user, item, ts) are one interaction: they go
+    the same way.  Ids of any type; rows without a time are the oldest."""
+    if train not in ("rest", "second"):
         raise ValueError(f"train must be 'rest' or 'second', got {train!r}")
-    rest = marked.filter(F.col("split") == "train")
-    second = _latest_per_user(rest, user, item, ts)
-    return marked.filter(F.col("split") == "test").unionByName(rest.join(second, [user, item], "left_semi"))
+    tie = pos or item
+    marked = _mark_latest(df, user, ts, tie, "_t")
+    split = F.when(F.col("_t"), "test").otherwise("train")
+    if train == "rest":
+        return marked.withColumn("split", split).drop("_t")                    # one pass, no union
+    rest = _mark_latest(marked.filter(~F.col("_t")), user, ts, tie, "_s").filter(F.col("_s")).drop("_s")
+    return marked.filter(F.col("_t")).unionByName(rest).withColumn("split", split).drop("_t")
 
 
 def users_with_min_rows(df: DataFrame, user: str = "user_id", min_rows: int = 2) -> DataFrame:

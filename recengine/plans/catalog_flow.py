@@ -125,6 +125,32 @@ def g1_recency_rank(spark, sf):
     return splits.recency_rank(_inter(spark, sf)).select("user_id", "item_id", "recency_rank")
 
 
+_LOG_SQL = f"""log AS (SELECT user_id, item_id, CAST(ts AS DATE) AS ts, order_id, line_no FROM ({q.PURCHASES})),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, order_id, line_no, item_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM log)"""
+
+
+@register("G1_recency_rank_input_order", f"WITH {_LOG_SQL} SELECT user_id, order_id, line_no, rn AS recency_rank FROM rk")
+def g1_input_order(spark, sf):
+    """Ties by the row's place in the files (CSV)."""
+    log = fixtures.purchase_log(spark, sf, "csv")
+    return splits.recency_rank(log, pos="input_pos").select("user_id", "order_id", "line_no", "recency_rank")
+
+
+@register("J7_last_row_of_log", f"""WITH {_LOG_SQL}
+SELECT user_id, order_id, line_no, CASE WHEN rn = 1 THEN 'test' ELSE 'train' END AS split FROM rk WHERE n > 1""")
+def j7_log(spark, sf):
+    """The log repeats (user, item): one row is test, by its place in the files (Parquet)."""
+    log = splits.users_with_min_rows(fixtures.purchase_log(spark, sf), min_rows=2)
+    return splits.leave_one_out(log, pos="input_pos").select("user_id", "order_id", "line_no", "split")
+
+
+@register("J8_last_two_rows_string_ids", f"""WITH {_LOG_SQL}
+SELECT 'u_' || user_id AS user_id, 'i_' || item_id AS item_id, order_id, line_no, CASE WHEN rn = 1 THEN 'test' ELSE 'train' END AS split FROM rk WHERE rn <= 2""")
+def j8_log(spark, sf):
+    log = fixtures.purchase_log(spark, sf).withColumns({c: F.concat(F.lit(f"{c[0]}_"), F.col(c).cast("string")) for c in ("user_id", "item_id")})
+    return splits.leave_one_out(log, train="second", pos="input_pos").select("user_id", "item_id", "order_id", "line_no", "split")
+
+
 @register("J8_leave_one_out", f"""
 WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')}
 SELECT i.user_id, i.item_id, CASE WHEN l.item_id IS NULL THEN 'train' ELSE 'test' END AS split

@@ -184,26 +184,28 @@ def j1(spark, sf):
     return inter.select("user_id", "item_id", F.round(I.completion_rating(F.col("rating"), 0.8), 6).alias("completion"))
 
 
-_EXERCISE_SQL = f"""
-  ev AS (SELECT user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS problem, ts FROM events),
-  ex AS (SELECT ev.user_id, p.p_partkey AS exercise, min(ev.ts) AS ts FROM ev JOIN part p ON p.p_partkey = ev.problem
-         GROUP BY ev.user_id, p.p_partkey)"""
+_EXERCISE_SQL = """
+  owner AS (SELECT p_partkey % 97 AS problem, arg_max(p_partkey, (p_name, p_partkey)) AS exercise FROM part GROUP BY p_partkey % 97),
+  ev AS (SELECT user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS problem, ts, value, event_id FROM events),
+  kept AS (SELECT ev.user_id, o.exercise, ev.ts, ev.value, ev.event_id FROM ev JOIN owner o USING (problem)),
+  first AS (SELECT user_id, arg_min(ts, (value, event_id)) AS ts FROM kept GROUP BY user_id),
+  ex AS (SELECT DISTINCT k.user_id, k.exercise, f.ts FROM kept k JOIN first f USING (user_id))"""
 
 
 def _exercise_rows(spark, sf):
-    ev = _t(spark, sf, "events", ["user_id", "props", "ts"]).select("user_id", T.json_int("props", "k").alias("problem"), "ts")
-    # exercise-problem relation: each part is an exercise holding the problem of the same id
-    emap = _t(spark, sf, "part", ["p_partkey"]).select(F.col("p_partkey").alias("problem"),
-                                                       F.col("p_partkey").alias("exercise"))
-    return I.exercise_interactions(ev, emap)
+    return I.exercise_interactions(fixtures.problem_log(spark, sf), fixtures.exercise_relation(spark, sf))
 
 
 @register("J3_exercise_interactions", f"""WITH {_EXERCISE_SQL}
-SELECT user_id, count(DISTINCT exercise) AS n_exercise, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_epoch FROM ex GROUP BY user_id""")
+SELECT user_id, exercise, CAST(floor(epoch(ts)) AS BIGINT) AS first_epoch FROM ex""")
 def j3(spark, sf):
-    ex = _exercise_rows(spark, sf)
-    return ex.groupBy("user_id").agg(F.countDistinct("exercise").alias("n_exercise"),
-                                     F.unix_timestamp(F.min("ts")).alias("first_epoch"))
+    """The time of the user's first row in the files, not the earliest."""
+    return _exercise_rows(spark, sf).select("user_id", "exercise", F.unix_timestamp("ts").alias("first_epoch"))
+
+
+@register("E8_last_writer_by_input", "SELECT p_partkey % 97 AS problem, arg_max(p_partkey, (p_name, p_partkey)) AS exercise FROM part GROUP BY p_partkey % 97")
+def e8_input(spark, sf):
+    return joins.last_writer_map(fixtures.exercise_relation(spark, sf), "problem", "exercise", ["input_pos"])
 
 
 @register("J2_behaviour_interactions", f"""

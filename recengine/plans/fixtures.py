@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recengine.functions.text import json_int
+from recengine.session import scratch_path
+from recengine.sources.files import read_delimited, read_whitespace, write_delimited, write_whitespace
+from recengine.sources.positions import with_input_pos
 from recengine.sources.tables import load
 
 
@@ -32,6 +36,38 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg((F.max("quantity") / 10.0).alias("rating"), F.max("ts").alias("ts")))
 
 
+def purchase_log(spark: SparkSession, sf_dir: str, kind: str = "parquet") -> DataFrame:
+    """The activity log as files in the order (order_id, line_no, item_id), scanned
+    with ``input_pos``; ``kind``: 'parquet' or 'csv'.  The days are coarse, so
+    a user's latest rows are tied."""
+    log = purchases(spark, sf_dir).select("user_id", "item_id", F.to_date("ts").alias("ts"), "order_id", "line_no").orderBy("order_id", "line_no", "item_id")
+    path = scratch_path(spark, "log")
+    if kind == "csv":
+        write_delimited(log, path, ",", header=True)
+        return with_input_pos(read_delimited(spark, path, log.schema, ",", header=True), "text")
+    log.write.parquet(path)
+    return with_input_pos(spark.read.schema(log.schema).parquet(path), "parquet")
+
+
+def problem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a problem log ``(user_id, problem, ts)`` in the order
+    (value, event_id), which is not that of time, scanned with ``input_pos``."""
+    ev = load(spark, sf_dir, "events", ["event_id", "user_id", "props", "ts", "value"])
+    log = ev.orderBy("value", "event_id").select("user_id", json_int("props", "k").alias("problem"), "ts")
+    path = scratch_path(spark, "problems")
+    log.write.parquet(path)
+    return with_input_pos(spark.read.schema(log.schema).parquet(path), "parquet")
+
+
+def exercise_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(exercise, problem)`` lines: part and part modulo 97, in the order
+    of part names, so that a problem has many exercises; with ``input_pos``."""
+    part = load(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    path = scratch_path(spark, "exercises")
+    write_whitespace(part.orderBy("p_name", "p_partkey").select("p_partkey", F.col("p_partkey") % 97), path)
+    return read_whitespace(spark, path, ["exercise", "problem"], ["bigint", "bigint"], pos="input_pos")
+
+
 INTERACTIONS_SQL = """
   SELECT o_custkey AS user_id, l_partkey AS item_id,
          max(l_quantity) / 10.0 AS rating, max(o_orderdate) AS ts

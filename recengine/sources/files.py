@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recengine.sources.positions import with_input_pos
+
 
 # A1 -- JSON lines
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -74,11 +76,16 @@ def write_whitespace(df: DataFrame, path: str, mode: str = "overwrite") -> None:
       .write.mode(mode).text(path)
 
 
-def read_whitespace(spark: SparkSession, path: str, names: list[str], types: list[str] | None = None) -> DataFrame:
+def read_whitespace(spark: SparkSession, path: str, names: list[str], types: list[str] | None = None,
+                    pos: str | None = None) -> DataFrame:
+    """``pos`` names a column for each line's input position."""
     parts = F.split(F.trim(F.col("value")), r"\s+")
     types = types or ["string"] * len(names)
-    return spark.read.text(path).filter(F.trim("value") != "").select(
-        *[parts[i].cast(t).alias(n) for i, (n, t) in enumerate(zip(names, types))])
+    lines = spark.read.text(path)
+    if pos:
+        lines = with_input_pos(lines, "text", pos)
+    return lines.filter(F.trim("value") != "").select(
+        *[parts[i].cast(t).alias(n) for i, (n, t) in enumerate(zip(names, types))], *([pos] if pos else []))
 
 
 # A8/A10 -- Parquet

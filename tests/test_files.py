@@ -2,6 +2,7 @@ import os
 import tempfile
 
 from recengine.sources import files as IO
+from recengine.sources.positions import with_input_pos
 
 
 def test_materialise_samples_reuses_then_overwrites(spark):
@@ -20,3 +21,32 @@ def test_json_array_roundtrip(spark):
     IO.write_json_array(df, path)
     back = IO.read_json_array(spark, path, "id long, refs array<long>")
     assert sorted((r.id, tuple(r.refs)) for r in back.collect()) == [(i, (i, i + 1)) for i in range(50)]
+
+
+def test_input_positions_follow_files_and_lines(spark):
+    base = tempfile.mkdtemp(prefix="recengine-pos-")
+    want = list(range(3000))
+    df = spark.range(0, 3000, 1, 4).selectExpr("id", "repeat('x', 20) as pad")
+    df.write.parquet(f"{base}/p")
+    df.write.csv(f"{base}/c")
+    df.write.json(f"{base}/j")
+    IO.write_whitespace(df, f"{base}/w")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")      # many splits a file
+    try:
+        scans = [with_input_pos(spark.read.schema("id long, pad string").parquet(f"{base}/p")),
+                 with_input_pos(IO.read_delimited(spark, f"{base}/c", "id long, pad string", ","), "text"),
+                 with_input_pos(IO.read_jsonl(spark, f"{base}/j", "id long, pad string"), "text"),
+                 IO.read_whitespace(spark, f"{base}/w", ["id", "pad"], ["bigint", "string"], pos="input_pos")]
+        for scan in scans:
+            assert [r.id for r in scan.orderBy("input_pos").select("id").collect()] == want
+            assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_first_row_times_and_last_writer(spark):
+    from recengine.operators.interactions import exercise_interactions
+    log = spark.createDataFrame([("u", 1, 50, 0), ("u", 2, 10, 1), ("u", 9, 1, 2), ("v", 9, 5, 0), ("u", 1, 3, 4)], "user_id string, problem long, ts long, input_pos long")
+    relation = spark.createDataFrame([(7, 1, 0), (8, 1, 1), (8, 2, 2)], "exercise long, problem long, input_pos long")
+    got = {(r.user_id, r.exercise, r.ts) for r in exercise_interactions(log, relation).collect()}
+    assert got == {("u", 8, 50)}

@@ -36,6 +36,36 @@ def test_equal_timestamps_break_by_item(spark):
     assert [r.item_id for r in second] == [1]
 
 
+def test_repeated_items_give_one_test_row(spark):
+    rows = [(1, 7, T0), (1, 8, T0 + dt.timedelta(days=1)), (1, 7, T0 + dt.timedelta(days=2)), (2, 5, None), (2, 6, T0), (3, 5, None), (3, 4, None)]
+    df = spark.createDataFrame([(u, i, 1.0, t) for u, i, t in rows], COLS)
+    got = sorted((r.user_id, r.item_id, r.ts) for r in S.leave_one_out(df).filter("split = 'test'").collect() if r.ts)
+    assert got == [(1, 7, T0 + dt.timedelta(days=2)), (2, 6, T0)]
+    assert [r.item_id for r in S.leave_one_out(df).filter("split = 'test' and user_id = 3").collect()] == [4]
+    second = S.leave_one_out(df, train="second").filter("split = 'train'").collect()
+    assert sorted((r.user_id, r.item_id) for r in second) == [(1, 8), (2, 5), (3, 5)]
+
+
+def test_position_breaks_ties_and_tells_equal_rows_apart(spark):
+    rows = [("a", "x", 5, 2), ("a", "x", 5, 1), ("a", "x", 5, 0), ("a", "b", 4, 3), ("b", "q", 1, 4), (None, "q", 1, 5), (None, "q", 1, 6)]
+    df = spark.createDataFrame(rows, "user_id string, item_id string, ts long, pos long")
+    got = {r.pos: r.split for r in S.leave_one_out(df, pos="pos").collect()}
+    assert got == {2: "train", 1: "train", 0: "test", 3: "train", 4: "test", 5: "test", 6: "train"}
+    got = {r.pos: r.split for r in S.leave_one_out(df, train="second", pos="pos").collect()}
+    assert got == {0: "test", 1: "train", 4: "test", 5: "test", 6: "train"}
+    ranks = {r.pos: r.recency_rank for r in S.recency_rank(df, pos="pos").collect()}
+    assert ranks == {0: 1, 1: 2, 2: 3, 3: 4, 4: 1, 5: 1, 6: 2}
+
+
+def test_times_of_any_kind(spark):
+    for kind, cast in (("date", "date_add(date'2024-01-01', cast(k as int))"), ("timestamp", "timestamp'2024-01-01' + make_dt_interval(k)"), ("double", "k / 2.0")):
+        df = spark.sql(f"select 1 as user_id, k as item_id, {cast} as ts from (select explode(sequence(0, 5)) as k)")
+        assert [r.item_id for r in S.leave_one_out(df).filter("split = 'test'").collect()] == [5], kind
+    import pytest
+    with pytest.raises(TypeError):
+        S.leave_one_out(spark.createDataFrame([(1, 2, "x")], "user_id long, item_id long, ts string"))
+
+
 def test_random_split_is_partition_independent(spark):
     df = _users(spark, [7, 9, 11])
     a = sorted(tuple(r) for r in S.random_within_user(df.repartition(1), 0.3, 7).select("item_id", "split").collect())
