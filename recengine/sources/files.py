@@ -7,13 +7,11 @@ Always an explicit schema (no inference).  Writers are plain
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recengine.sources.json_arrays import read_json_array, write_json_array  # noqa: F401  (A2)
 from recengine.sources.positions import with_input_pos
 
 
@@ -26,35 +24,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path)
 
 
-# A2 -- JSON arrays
-def _json_array_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    first = True
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        vals = pdf["value"].tolist()
-        lines = []
-        for v in vals:
-            lines.append(("[" if first else ",") + v)
-            first = False
-        yield pd.DataFrame({"value": lines})
-    yield pd.DataFrame({"value": ["[]" if first else "]"]})
-
-
-def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON array per partition file (each task writes its own array, so
-    no single task holds the table)."""
-    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    lines.mapInPandas(_json_array_lines, "value string").write.mode(mode).text(path)
-
-
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """``multiLine`` JSON: a file is not splittable, so keep files moderate
-    (or convert once to JSON lines / Parquet, as the reference reads a
-    single huge array by position)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 # A3/A5/A6/A7 -- delimited text
 def write_delimited(df: DataFrame, path: str, sep: str, header: bool = False, encoding: str = "UTF-8",
                     mode: str = "overwrite") -> None:

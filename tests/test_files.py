@@ -1,6 +1,9 @@
+import json
 import os
 import tempfile
 
+import pytest
+
 from recengine.sources import files as IO
 from recengine.sources.positions import with_input_pos
 
@@ -20,6 +23,7 @@ def test_json_array_roundtrip(spark):
     df = spark.range(0, 50).selectExpr("id", "array(id, id + 1) as refs").repartition(3)
     IO.write_json_array(df, path)
     back = IO.read_json_array(spark, path, "id long, refs array<long>")
+    assert IO.read_json_array(spark, path, "id long", pos="p").select("p").distinct().count() == 50
     assert sorted((r.id, tuple(r.refs)) for r in back.collect()) == [(i, (i, i + 1)) for i in range(50)]
 
 
@@ -50,3 +54,45 @@ def test_first_row_times_and_last_writer(spark):
     relation = spark.createDataFrame([(7, 1, 0), (8, 1, 1), (8, 2, 2)], "exercise long, problem long, input_pos long")
     got = {(r.user_id, r.exercise, r.ts) for r in exercise_interactions(log, relation).collect()}
     assert got == {("u", 8, 50)}
+
+
+ODD_ELEMENTS = [{"id": k, "s": t, "n": {"a": [k, [k]], "b": None}} for k, t in enumerate(
+    ["", "plain", 'quote " inside', "back\\slash", "ends with \\", '\\" both', "],[", "}, {", ",,,,", "[{\"x\": 1}, 2]", "é ñ 漢字 😀", "tab\t new\n", "x" * 3000,
+     "," * 500, "\\" * 301, '"' * 77])]
+
+
+def _read(spark, text, split, schema="id long, s string, n struct<a: array<string>, b: string>"):
+    path = os.path.join(tempfile.mkdtemp(prefix="recengine-array-"), "a.json")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = IO.read_json_array(spark, path, schema, pos="p")
+        tasks = spark.read.option("lineSep", ",").text(path).rdd.getNumPartitions()
+        return [r.asDict() for r in df.orderBy("p").collect()], tasks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("split", [64, 700, 1 << 20])
+@pytest.mark.parametrize("style", [{"separators": (",", ":")}, {"indent": 3}, {"ensure_ascii": False}])
+def test_one_file_array_in_many_splits(spark, split, style):
+    rows = ODD_ELEMENTS * 3
+    got, tasks = _read(spark, json.dumps(rows, **style), split)
+    assert [(r["id"], r["s"]) for r in got] == [(r["id"], r["s"]) for r in rows]
+    assert [r["n"]["a"][0] for r in got] == [str(r["id"]) for r in rows]
+    assert split > 5000 or tasks > 1
+
+
+@pytest.mark.parametrize("text, want", [("[]", 0), ("  [ ]\n", 0), ("\ufeff[\n{\"id\": 1}\n]\n\n", 1), ("[{\"id\": 1} , {\"id\": 2}]", 2), ('[{"id":[1,2]},{"id":3}]', 2)])
+def test_small_arrays(spark, text, want):
+    for split in (3, 1 << 20):
+        got, _ = _read(spark, text, split, "id long")
+        assert len(got) == want
+
+
+def test_not_an_array(spark):
+    with pytest.raises(Exception, match="does not hold a JSON array"):
+        _read(spark, '{"id": 1}', 1 << 20, "id long")
