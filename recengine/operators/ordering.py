@@ -1,37 +1,30 @@
 """Skew-safe exact row numbers and dense indexes.
 
-Small groups (checked) are ranked with a plain window.  Otherwise:
-
 ``row_number()`` over a window without ``partitionBy`` runs in one task, and a
 window partitioned by a hot key (one user holding a third of all rows) does
 too.  Here the rows are range-partitioned on ``(group..., order...)`` so a hot
 group is spread over many tasks; each task numbers its slice locally and the
 per-(group, partition) counts -- a table of at most
-``#groups + #partitions`` rows -- give every slice its offset.
+``#groups + #partitions`` rows -- give every slice its offset.  There is one
+path for any size.
 
 The local numbering depends on the physical partition of each row, so the
-tagged rows are materialised once (reliable checkpoint in the shared
-folder): both the count branch and the row branch then read the same
-partitions, whatever AQE does afterwards.
+numbered rows are written once (to the shared folder): both the count branch
+and the row branch then read the same numbers, whatever AQE does afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recengine.session import cut_lineage
+from recengine.session import written
 
 _LOW_BITS = (1 << 33) - 1
 
-# Largest group a single task may rank with a plain window (rows).  Above it
-# (a hot user, or a global order over a big table) the range-partitioned
-# path spreads the group over many tasks.  Session conf overrides it.
-LOCAL_RANK_LIMIT_CONF = "recengine.rank.maxLocalRows"
-LOCAL_RANK_LIMIT = 1_000_000
-
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -39,51 +32,19 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
            rank_col: str = "rank", size_col: str | None = None,
-           num_partitions: int | None = None, local_limit: int | None = None) -> DataFrame:
+           num_partitions: int | None = None) -> DataFrame:
     """Append ``rank_col`` = 1-based ``row_number()`` within ``by`` ordered by
     ``order`` (which must be a total order inside each group), and optionally
-    ``size_col`` = group size.  Exact and deterministic.
-
-    Size-checked like a broadcast: one aggregate measures the biggest group;
-    when it is at most ``local_limit`` rows a plain window ranks each group
-    in one task (bounded work per task), otherwise every group is ranked by
-    the range-partitioned path below, which has no single-task step.
-    """
-    spark = df.sparkSession
-    if local_limit is None:
-        local_limit = int(spark.conf.get(LOCAL_RANK_LIMIT_CONF, str(LOCAL_RANK_LIMIT)))
-    if local_limit > 0:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else df.select(F.count(F.lit(1)).alias("__n"))
-        biggest = sizes.agg(F.max("__n")).first()[0] or 0
-        if biggest <= local_limit:
-            return _window_ranked(df, by, order, rank_col, size_col)
-    return _range_ranked(df, by, order, rank_col, size_col, num_partitions)
-
-
-def _window_ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], rank_col: str,
-                   size_col: str | None) -> DataFrame:
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    out = df.withColumn(rank_col, F.row_number().over(w.orderBy(*_as_cols(order))).cast("bigint"))
-    if size_col:
-        out = out.withColumn(size_col, F.count(F.lit(1)).over(w))
-    return out
-
-
-def _range_ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], rank_col: str,
-                  size_col: str | None, num_partitions: int | None) -> DataFrame:
+    ``size_col`` = group size.  Exact and deterministic; null is a group."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_cols = [F.col(c) for c in by]
-    keys = by_cols + _as_cols(order)
+    keys = [F.col(c) for c in by] + _as_cols(order)
     # the range partitioner samples its input in a job of its own: hold the
     # input so it is computed once, not once for sampling and once to shuffle
-    from pyspark import StorageLevel
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    tagged = (src.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("__mid", F.monotonically_increasing_id()))
     try:
-        tagged = cut_lineage(tagged)
+        tagged = written(src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("__mid", F.monotonically_increasing_id()), "ranked")
     finally:
         src.unpersist()
     tagged = (tagged.withColumn("__pid", F.shiftright(F.col("__mid"), 33))
@@ -110,8 +71,7 @@ def _range_ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], idx_col: str = "idx",
-                num_partitions: int | None = None, local_limit: int | None = None) -> DataFrame:
-    """0-based dense index by ``order`` (a total order); distributed above
-    the size check of ``ranked``."""
-    out = ranked(df, [], order, rank_col="__rk", num_partitions=num_partitions, local_limit=local_limit)
+                num_partitions: int | None = None) -> DataFrame:
+    """0-based dense index by ``order`` (a total order), by ``ranked``."""
+    out = ranked(df, [], order, rank_col="__rk", num_partitions=num_partitions)
     return out.withColumn(idx_col, F.col("__rk") - 1).drop("__rk")

@@ -7,12 +7,15 @@ seeded md5 of the row key, so a split is the same under any partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recengine.functions.hashing import hash_hex
+from recengine.functions.hashing import hash_hex, hash_int
 from recengine.operators.ordering import dense_index, ranked
+from recengine.operators.selection import order_statistics
 
 
 def recency_rank(df: DataFrame, user: str = "user_id", item: str = "item_id", ts: str = "ts",
@@ -108,10 +111,41 @@ def random_within_user(df: DataFrame, frac: float = 0.3, seed: int = 42, user: s
     return random_within_group(df, frac, seed, [user], [user, item])
 
 
+def _lowest(df: DataFrame, seed: int | str, key: Sequence[str], cuts: dict[str, Column], group: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``_place``: the name of the first of ``cuts`` (row counts per
+    group, ascending, expressions of ``n``) that a row is within, in seeded
+    hash order of ``key``; null beyond the last.  The hash at each cut is
+    found by ``selection`` (one row per group); a row is compared with it, and
+    only rows equal to it are put in order among themselves."""
+    h = hash_int(seed, *key)
+    g = list(group)
+    found = order_statistics(df.select(*g, h.alias("_h")), "_h", cuts, g)
+    cut = found.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(g)],
+                       *[F.col(f"{c}{end}").alias(f"_{c}{end}") for c in cuts for end in ("", "_at")],
+                       *[(rank > 0).alias(f"_{c}_some") for c, rank in cuts.items()])
+    same = F.lit(True)
+    for k, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    # without a group the cuts are one row
+    out = df.withColumn("_h", h).join(cut if g else F.broadcast(cut), same)
+    at_cut = F.lit(False)
+    for c in cuts:
+        at_cut = at_cut | (F.col("_h") == F.col(f"_{c}"))
+    tied = Window.partitionBy(*g, "_h").orderBy(hash_hex(seed, *key), *[F.col(k) for k in key])
+    place = F.lit(None).cast("string")
+    for c in reversed(cuts):
+        inside = (F.col("_h") < F.col(f"_{c}")) | ((F.col("_h") == F.col(f"_{c}")) & (F.col("_tie") <= F.col(f"_{c}_at")))
+        place = F.when(F.col(f"_{c}_some") & inside, c).otherwise(place)
+    near = out.where(at_cut).withColumn("_tie", F.row_number().over(tied))
+    both = out.where(~at_cut).withColumn("_tie", F.lit(0)).unionByName(near)
+    return both.withColumn("_place", place).select(*df.columns, "_place")
+
+
 def stratified_split(df: DataFrame, strata: str, frac: float = 0.1, seed: int = 42,
                      key: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:
     """Per stratum, ``ceil(frac * n_stratum)`` rows in md5 order -> test."""
-    return random_within_group(df, frac, seed, [strata], list(key))
+    placed = _lowest(df, seed, key, {"test": F.ceil(F.lit(frac) * F.col("n"))}, [strata])
+    return placed.withColumn("split", F.coalesce("_place", F.lit("train"))).drop("_place")
 
 
 def exact_random_split(df: DataFrame, fractions: tuple[float, ...] = (0.8, 0.1),
@@ -121,16 +155,12 @@ def exact_random_split(df: DataFrame, fractions: tuple[float, ...] = (0.8, 0.1),
     fraction, the remainder to the last name, in md5 order of ``key``."""
     if len(names) != len(fractions) + 1:
         raise ValueError("need one more name than fractions")
-    r = ranked(df, [], [hash_hex(seed, *key), *[F.col(k) for k in key]],
-               rank_col="_r", size_col="_n")
-    bound = F.lit(0).cast("bigint")
-    expr = None
+    cuts, bound = {}, F.lit(0).cast("bigint")
     for f, name in zip(fractions, names):
-        bound = bound + F.floor(F.lit(f) * F.col("_n")).cast("bigint")
-        cond = F.col("_r") <= bound
-        expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    expr = expr.otherwise(names[-1])
-    return r.withColumn("split", expr).drop("_r", "_n")
+        bound = bound + F.floor(F.lit(f) * F.col("n")).cast("bigint")
+        cuts[name] = bound
+    placed = _lowest(df, seed, key, cuts)
+    return placed.withColumn("split", F.coalesce("_place", F.lit(names[-1]))).drop("_place")
 
 
 def approximate_random_split(df: DataFrame, weights: tuple[float, ...] = (0.8, 0.1, 0.1),
@@ -151,7 +181,6 @@ def approximate_stratified_split(df: DataFrame, frac: float = 0.1, seed: int = 4
     seeded hash of its key -- each stratum gets about ``frac`` of its rows,
     with no per-stratum counting, nothing collected, and the same rows under
     any partitioning (``sampleBy`` would need the strata on the driver)."""
-    from recengine.functions.hashing import hash_int
     draw = F.pmod(hash_int(f"{seed}|bernoulli", *key), F.lit(1_000_000)) < int(frac * 1_000_000)
     return df.withColumn("split", F.when(draw, "test").otherwise("train"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recengine.operators.ordering import dense_index
+from recengine.operators.selection import order_statistics
 
 
 def group_count(df: DataFrame, key: str, col: str, name: str = "n") -> DataFrame:
@@ -27,40 +28,47 @@ def keep_groups_by_count(df: DataFrame, key: str, col: str, lo: int, hi: int) ->
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """``(value, count)`` ordered by count desc, then value."""
-    return (df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    """``(value, count)`` ordered by count desc, then value; null is no
+    value."""
+    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), F.col(col).asc()))
 
 
 def summary(df: DataFrame, col: str, group: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """mean, sample std, min, max, median (interpolated), smallest mode.
 
-    Exact, and without an unbounded buffer in one task: the median is read
-    off the size-checked ``ranked`` order (distributed range path for big
-    groups), the mode from a ``groupBy(value)`` count reduced by
-    ``min_by`` (partial aggregates).  Spark's exact ``median``/``mode``
-    aggregates would keep every distinct value of a group in one buffer."""
-    from recengine.operators.ordering import ranked
+    Exact, and without an unbounded buffer in one task: the median's two
+    middle values by histogram selection (``selection``), the mode from a
+    ``groupBy(value)`` count reduced by ``min_by`` (partial aggregates).
+    Spark's exact ``median``/``mode`` aggregates would keep every distinct
+    value of a group in one buffer.  Rows of a null group are a group."""
     c = F.col(col)
     g = list(group)
     vals = df.select(*g, c.alias("__x")).filter(F.col("__x").isNotNull())
     base = (df.groupBy(*g) if g else df.groupBy()).agg(
         F.round(F.avg(c), digits).alias("mean"), F.round(F.stddev_samp(c), digits).alias("std"),
         F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-    r = ranked(vals, g, [F.col("__x")], rank_col="__r", size_col="__n")
-    lo, hi = F.floor((F.col("__n") + 1) / 2), F.ceil((F.col("__n") + 1) / 2)
-    med = (r.filter((F.col("__r") == lo) | (F.col("__r") == hi))
-           .groupBy(*g).agg(F.round(F.avg(F.col("__x").cast("double")), digits).alias("median")))
+    middle = order_statistics(vals, "__x", {"lo": F.floor((F.col("n") + 1) / 2), "hi": F.ceil((F.col("n") + 1) / 2)}, g)
+    med = middle.select(*g, F.round((F.col("lo").cast("double") + F.col("hi").cast("double")) / 2, digits).alias("median"))
     counts = vals.groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c"))
     mode = (counts.groupBy(*g) if g else counts.groupBy()).agg(
         F.min_by(F.col("__x"), F.struct((-F.col("__c")).alias("c"), F.col("__x").alias("x")))
         .cast("double").alias("mode"))
     if g:
-        return base.join(med, g, "left").join(mode, g, "left")
+        return _join_groups(_join_groups(base, med, g, "median"), mode, g, "mode")
     return base.select("*", med.select("median").scalar().alias("median"),
                        mode.select("mode").scalar().alias("mode"))
 
 
+def _join_groups(left: DataFrame, right: DataFrame, group: list[str], col: str) -> DataFrame:
+    """Left join on the group columns, null equal to null."""
+    renamed = right.select(*[F.col(c).alias(f"__j{k}") for k, c in enumerate(group)], col)
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__j{k}"))
+    return left.join(renamed, same, "left").drop(*[f"__j{k}" for k in range(len(group))])
+
+
 def fanout_stats(df: DataFrame, a: str, b: str, relation: str = "") -> DataFrame:
     """for a two-column relation, the F5 summary of "b per a" and of
     "a per b" (count of rows per key, as the pandas ``groupby().count()``).

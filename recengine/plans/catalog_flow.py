@@ -301,9 +301,7 @@ def f8_popularity_rank(spark, sf):
     return popularity_rank(fixtures.purchases(spark, sf), "item_id", ["ts", "order_id", "line_no"])
 
 
-# ---------------------------------------------------------------- the distributed ranking path
-# Same results through the range-partitioned path of ``ranked`` (forced with
-# local_limit=0), which is what runs once a group exceeds the size check.
+# ---------------------------------------------------------------- the ranking itself
 @register("G1_recency_rank_range_path", f"""
 WITH inter AS ({q.INTERACTIONS})
 SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS recency_rank
@@ -311,8 +309,7 @@ FROM inter""")
 def g1_range(spark, sf):
     from recengine.operators.ordering import ranked
     inter = _inter(spark, sf)
-    return ranked(inter, ["user_id"], [F.col("ts").desc(), F.col("item_id").asc()], "recency_rank",
-                  local_limit=0).select("user_id", "item_id", "recency_rank")
+    return ranked(inter, ["user_id"], [F.col("ts").desc(), F.col("item_id").asc()], "recency_rank").select("user_id", "item_id", "recency_rank")
 
 
 @register("I2_index_by_value_range_path", f"""
@@ -320,7 +317,7 @@ WITH inter AS ({q.INTERACTIONS})
 SELECT user_id, item_id, row_number() OVER (ORDER BY user_id, item_id) - 1 AS idx FROM inter""")
 def i2_range(spark, sf):
     from recengine.operators.ordering import dense_index
-    return dense_index(_inter(spark, sf).select("user_id", "item_id"), ["user_id", "item_id"], "idx", local_limit=0)
+    return dense_index(_inter(spark, sf).select("user_id", "item_id"), ["user_id", "item_id"], "idx")
 
 
 @register("J6_tail_split_range_path", f"""
@@ -331,8 +328,7 @@ WITH inter AS ({q.INTERACTIONS}),
 SELECT user_id, item_id, rn AS rank, n AS size FROM r""")
 def j6_range(spark, sf):
     from recengine.operators.ordering import ranked
-    r = ranked(_inter(spark, sf), ["user_id"], [F.col("ts").desc(), F.col("item_id").desc()], "rank", "size",
-               local_limit=0)
+    r = ranked(_inter(spark, sf), ["user_id"], [F.col("ts").desc(), F.col("item_id").desc()], "rank", "size")
     return r.select("user_id", "item_id", "rank", "size")
 
 

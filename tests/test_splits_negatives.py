@@ -66,6 +66,19 @@ def test_times_of_any_kind(spark):
         S.leave_one_out(spark.createDataFrame([(1, 2, "x")], "user_id long, item_id long, ts string"))
 
 
+def test_exact_splits_with_repeated_rows_and_small_tables(spark):
+    # copies of one row have one hash: the cut goes through them, by count
+    df = spark.createDataFrame([(1, 1)] * 30 + [(2, k) for k in range(7)], "user_id long, item_id long")
+    got = {r.split: r["count"] for r in S.exact_random_split(df, (0.8, 0.1)).groupBy("split").count().collect()}
+    assert got == {"train": 29, "valid": 3, "test": 5}
+    for n, want in ((0, {}), (1, {"test": 1}), (2, {"train": 1, "test": 1})):
+        got = {r.split: r["count"] for r in S.exact_random_split(spark.range(n).selectExpr("id as user_id", "id as item_id"), (0.8, 0.1)).groupBy("split").count().collect()}
+        assert got == want
+    strata = df.selectExpr("user_id", "item_id", "case when user_id = 1 then 'a' end as s")
+    got = {(r.s, r.split): r["count"] for r in S.stratified_split(strata, "s", 0.1).groupBy("s", "split").count().collect()}
+    assert got == {("a", "test"): 3, ("a", "train"): 27, (None, "test"): 1, (None, "train"): 6}
+
+
 def test_random_split_is_partition_independent(spark):
     df = _users(spark, [7, 9, 11])
     a = sorted(tuple(r) for r in S.random_within_user(df.repartition(1), 0.3, 7).select("item_id", "split").collect())
