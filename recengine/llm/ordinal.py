@@ -1,8 +1,9 @@
 """Ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - f), with one hashed-text score f for all grades and ordered
-thresholds.  The fit takes the ``SAMPLE`` labelled rows of the smallest hash (a documented bound) in one
-task; every document is scored over its whole text.
+thresholds.  The fit takes the labelled rows whose hash lies in a share that gives ``SAMPLE`` of them (a documented
+bound; all, if there are fewer) in one task; the share is found from the labels alone, and the ids are sent to the
+texts.  Every document is scored over its whole text.
 
 Defined cases: a null or empty text has f = 0; rows without a grade are scored, not learned from; without
 any labels, f = 0 and one grade 0; repeated rows are scored each; extra columns are ignored.
@@ -10,6 +11,7 @@ any labels, f = 0 and one grade 0; repeated rows are scored each; extra columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,7 +71,10 @@ def classify(docs: DataFrame, labels: DataFrame, grade: str = "quality", at_leas
     """doc_id, expected_grade, tail_probability (grade >= ``at_least``), keep."""
     spark = docs.sparkSession
     rated = labels.select("doc_id", F.col(grade).cast("int").alias("y")).where("y >= 0")
-    sample = texts(docs).join(rated, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    share = math.ceil(min(1.0, SAMPLE / max(rated.count(), 1)) * (1 << 30))
+    chosen = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    # broadcast: about SAMPLE ids and grades, whatever the input
+    sample = texts(docs).join(F.broadcast(chosen), "doc_id")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         w, theta = fit(pdf["text"].tolist(), pdf["y"].to_numpy())
