@@ -5,7 +5,7 @@ Every item of the pool gets a dense index ``0..pool-1`` in seeded md5 order.
 ``[0, P)``: ``slot -> (a*slot + b) mod P`` with ``a in [1, P)`` and ``b`` drawn
 from md5(seed, salt, user); slots landing at ``>= pool`` are skipped.  The
 user's sample is the first ``n`` unseen items along the permutation, which is
-a draw **without replacement**.  Walking ``n + seen + (P - pool)`` slots
+a draw **without replacement** (seen items are bitmaps, ``itemsets``).  Walking ``n + seen + (P - pool)`` slots
 (never more than ``P``, the whole permutation) is guaranteed to meet ``n``
 unseen items when they exist, so no candidate cap is needed and the result
 is exact.  The walk is done in two legs: the expected length first
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recengine.functions.hashing import hash_hex, hash_int
+from recengine.operators.itemsets import item_sets, set_sizes, without
 from recengine.operators.ordering import dense_index
-from recengine.session import cut_lineage, reuse
+from recengine.session import cut_lineage, reuse, written
 
 CHUNK = 4096
 
@@ -40,6 +41,14 @@ def next_prime(n: int) -> int:
         p += 1
 
 
+def _permuted(big_p: int):
+    """``(a * slot + b) mod P``; in decimals where a product could pass 63 bits."""
+    if big_p < 3_000_000_000:
+        return F.pmod(F.col("_a") * F.col("slot") + F.col("_b"), F.lit(big_p))
+    wide = F.col("_a").cast("decimal(19,0)") * F.col("slot").cast("decimal(19,0)")
+    return F.pmod((wide % F.lit(big_p).cast("decimal(19,0)")).cast("bigint") + F.col("_b"), F.lit(big_p))
+
+
 def item_pool_index(items: DataFrame, seed: int, item: str = "item_id") -> DataFrame:
     """``(item, item_idx)``: pool items densely indexed in md5(seed, item) order.
     Materialised once: the sampler counts it and joins it twice."""
@@ -47,16 +56,25 @@ def item_pool_index(items: DataFrame, seed: int, item: str = "item_id") -> DataF
     return cut_lineage(dense_index(pool, ["_h", item], "item_idx").select(item, "item_idx"))
 
 
+def seen_sets(pairs: DataFrame, pool_index: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
+    """The users' seen items as bitmaps over the pool's indexes: a row or two
+    per user, written once, that every leg of every draw tests its slots
+    against."""
+    return written(item_sets(pairs.join(pool_index, item), user, "item_idx"), "seen")
+
+
 def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
                      pool: DataFrame | None = None, user: str = "user_id",
                      item: str = "item_id", pool_index: DataFrame | None = None,
-                     first_leg_scale: float = 1.25, first_leg_margin: int = 16) -> DataFrame:
+                     first_leg_scale: float = 1.25, first_leg_margin: int = 16,
+                     sets: DataFrame | None = None) -> DataFrame:
     """For every user in ``seen``, ``n`` items of the pool it never saw.
 
     ``seen``: (user, item) rows (duplicates allowed).  ``pool``: items to draw
     from (default: the items of ``seen``).  Returns ``(user, item, neg_rank)``
     with ``neg_rank`` 1..n; a user with fewer than ``n`` unseen items gets all
-    of them (see ``underfilled``).
+    of them (see ``underfilled``).  ``sets``: the users' seen items as bitmaps
+    over ``pool_index`` (``seen_sets``), to build them once for several draws.
     """
     pairs = seen.select(user, item).distinct()
     idx = pool_index if pool_index is not None else item_pool_index(
@@ -65,10 +83,9 @@ def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
     if pool_n == 0:
         raise ValueError("empty item pool")
     big_p = next_prime(pool_n)
-    seen_idx = pairs.join(idx, item).select(user, "item_idx")
-    per_user = seen_idx.groupBy(user).agg(F.count(F.lit(1)).alias("_seen"))
+    sets = sets if sets is not None else seen_sets(pairs, idx, user, item)
     # users present in `seen` but whose items are all outside the pool
-    per_user = (pairs.select(user).distinct().join(per_user, user, "left")
+    per_user = (pairs.select(user).distinct().join(set_sizes(sets, user, "_seen"), user, "left")
                 .fillna(0, subset=["_seen"]))
     walk = F.least(F.lit(n) + F.col("_seen") + F.lit(big_p - pool_n), F.lit(big_p)).cast("bigint")
     # phase 1 walks the expected length (n / share of unseen slots, +25% and a
@@ -92,10 +109,10 @@ def sample_negatives(seen: DataFrame, n: int, seed: int = 42, salt: str = "neg",
                  .withColumn("slot", F.explode(F.sequence(
                      F.greatest(F.col("_chunk") * CHUNK, F.col(start)),
                      F.least((F.col("_chunk") + 1) * CHUNK, F.col(stop)) - 1)))
-                 .withColumn("item_idx", F.pmod(F.col("_a") * F.col("slot") + F.col("_b"), F.lit(big_p)))
+                 .withColumn("item_idx", _permuted(big_p))
                  .filter(F.col("item_idx") < pool_n)
                  .select(user, "slot", "item_idx"))
-        unseen = slots.join(seen_idx, [user, "item_idx"], "left_anti")
+        unseen = without(slots, sets, user, "item_idx")
         return unseen.withColumn("neg_rank", F.row_number().over(w)).filter(F.col("neg_rank") <= n)
 
     # the first leg (about users * n rows) feeds both the per-user counts and
@@ -123,14 +140,15 @@ def train_test_negatives(seen: DataFrame, n_train: int = 4, n_test: int = 50, se
     # both draws (and several branches of each) read the pairs: cut them once
     pairs = cut_lineage(seen.select(user, item).distinct())
     idx = item_pool_index(pairs, seed, item)
+    sets = seen_sets(pairs, idx, user, item)
     if disjoint:
-        d = sample_negatives(pairs, n_train + n_test, seed, "draw", user=user, item=item, pool_index=idx)
+        d = sample_negatives(pairs, n_train + n_test, seed, "draw", user=user, item=item, pool_index=idx, sets=sets)
         return d.select(user, item,
                         F.when(F.col("neg_rank") <= n_train, "train").otherwise("test").alias("split"),
                         F.when(F.col("neg_rank") <= n_train, F.col("neg_rank"))
                         .otherwise(F.col("neg_rank") - n_train).alias("neg_rank"))
-    tr = sample_negatives(pairs, n_train, seed, "train", user=user, item=item, pool_index=idx)
-    te = sample_negatives(pairs, n_test, seed, "test", user=user, item=item, pool_index=idx)
+    tr = sample_negatives(pairs, n_train, seed, "train", user=user, item=item, pool_index=idx, sets=sets)
+    te = sample_negatives(pairs, n_test, seed, "test", user=user, item=item, pool_index=idx, sets=sets)
     return (tr.withColumn("split", F.lit("train"))
             .unionByName(te.withColumn("split", F.lit("test")))
             .select(user, item, "split", "neg_rank"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recengine.operators import ids, negatives, splits
+from recengine.operators import ids, itemsets, negatives, splits
 from recengine.operators.evaluate import ranking_metrics
 from recengine.plans import fixtures
 from recengine.plans import sqlparts as q
 from recengine.plans.catalog import register
 from recengine.plans.flagship import dense_interactions, evaluate_popularity, popularity_scores
+from recengine.session import written
 from recengine.sources.tables import load
 
 SEED = 42
@@ -301,6 +302,43 @@ def f8_popularity_rank(spark, sf):
     return popularity_rank(fixtures.purchases(spark, sf), "item_id", ["ts", "order_id", "line_no"])
 
 
+# ---------------------------------------------------------------- item sets
+@register("C5_user_item_sets", f"""
+WITH {q.DENSE}
+SELECT user_id, count(DISTINCT item_id) AS n_items, CAST(sum(item_id) AS BIGINT) AS sum_items, CAST(sum(item_id * item_id) AS BIGINT) AS sum_squares
+FROM dense GROUP BY user_id""")
+def c5_sets(spark, sf):
+    """Each user's set, built as bitmaps and read back from the bits."""
+    sets = itemsets.item_sets(dense_interactions(spark, sf), item="item_id")
+    members = itemsets.items_of(sets, item="item_id").groupBy("user_id").agg(
+        F.sum("item_id").alias("sum_items"), F.sum(F.col("item_id") * F.col("item_id")).alias("sum_squares"))
+    return itemsets.set_sizes(sets).join(members, "user_id")
+
+
+@register("C6_pool_minus_seen", f"""
+WITH {q.DENSE}, pool AS (SELECT DISTINCT item_id FROM dense),
+  u AS (SELECT user_id, count(DISTINCT item_id) AS n, CAST(sum(item_id) AS BIGINT) AS s FROM dense GROUP BY user_id)
+SELECT user_id, (SELECT count(*) FROM pool) - n AS n_items, CAST((SELECT sum(item_id) FROM pool) - s AS BIGINT) AS sum_items FROM u""")
+def c6_pool(spark, sf):
+    dense = written(dense_interactions(spark, sf).select("user_id", "item_id"), "dense")
+    sets = itemsets.item_sets(dense, item="item_id")
+    pool = itemsets.item_sets(dense.select(F.lit(0).alias("owner"), "item_id"), "owner", "item_id")
+    rest = itemsets.pool_minus(pool, sets, dense)
+    sums = itemsets.items_of(rest, item="item_id").groupBy("user_id").agg(F.sum("item_id").alias("sum_items"))
+    return itemsets.set_sizes(rest).join(sums, "user_id")
+
+
+@register("E4_unseen_of_neighbour", f"""
+WITH {q.DENSE}
+SELECT n.user_id - 1 AS user_id, n.item_id FROM dense n
+WHERE n.user_id > 0 AND NOT EXISTS (SELECT 1 FROM dense d WHERE d.user_id = n.user_id - 1 AND d.item_id = n.item_id)""")
+def e4_unseen(spark, sf):
+    """What the next user has and the user has not: membership by bit test."""
+    dense = written(dense_interactions(spark, sf).select("user_id", "item_id"), "dense")
+    wanted = dense.where("user_id > 0").select((F.col("user_id") - 1).alias("user_id"), "item_id")
+    return itemsets.without(wanted, itemsets.item_sets(dense, item="item_id"), item="item_id").select("user_id", "item_id")
+
+
 # ---------------------------------------------------------------- the ranking itself
 @register("G1_recency_rank_range_path", f"""
 WITH inter AS ({q.INTERACTIONS})
