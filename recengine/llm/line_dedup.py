@@ -128,7 +128,11 @@ def _probe(min_docs: int):
 
 def drop_lists(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id and the hashes of the keys whose lines that document loses."""
-    places = _hashes(docs.where("doc_id is not null"), min_chars)
+    docs = docs.where("doc_id is not null")
+    places = _hashes(docs, min_chars)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # rows of one doc_id are one document: each of its keys counts once
+        places = places.distinct()
     counted = written(places.groupBy("h").agg(F.count(F.lit(1)).alias("n"),
                                               F.max("doc_id").alias("last")), "line_counts")
     total = counted.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("places")).first()

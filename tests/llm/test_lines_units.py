@@ -133,3 +133,11 @@ def test_repeated_runs_odd_rows(frame):
     assert [(r.doc_id, r.kept_doc_id) for r in got] == [(23, 22)] * 7 + [(24, 24)] * 3
     assert [rows[-3][1][r.start:r.end].strip().lower() for r in got[:7]] == list("abcdefg")
     assert unit_dedup.repeated_runs(frame([])).collect() == []
+
+
+def test_rows_of_one_document_count_once(frame):
+    line = "a line that is long enough to count"
+    rows = [(1, line), (1, line), (2, line)]
+    assert all(r.n_dropped == 0 for r in line_dedup.dedup_lines(frame(rows)).collect())
+    got = sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(frame([*rows, (3, line)])).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 0)]

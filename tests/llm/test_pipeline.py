@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from conftest import SF001
 from llm.test_jaccard import _brute
 from recengine.llm import decontam, ordinal
@@ -73,3 +74,13 @@ def test_empty_and_odd_documents(spark):
             rows = written(stage(spark, rows, SF001), name)
             assert rows.columns == docs.columns
         assert corpus_pipeline.pack(spark, rows, SF001).count() == rows.count()
+
+
+def test_lines_stage_with_clashing_columns(spark, frame):
+    line = "a line that is long enough to count"
+    docs = frame([(k, f"{line}\nown {k}") for k in range(3)])
+    for c in ("n_lines", "n_dropped", "kept", "kept_sha256", "drop", "h", "__c"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = corpus_pipeline.lines(spark, docs, SF001)
+    assert got.columns == docs.columns and got.where("kept = 'x' and n_lines = 'x'").count() == 3
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {0: ("own 0", 5), 1: ("own 1", 5), 2: (f"{line}\nown 2", len(line) + 6)}
