@@ -20,10 +20,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    return out.select(*docs.columns)
+    # the other columns travel as one, whatever their names
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[docs[c] for c in others]) if others else F.lit(0)
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", rest.alias("__rest")))
+    own = {c: F.col("__rest")[c].alias(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text")}
+    if "n_chars" in others:
+        own["n_chars"] = F.char_length("kept").cast("bigint").alias("n_chars")
+    return out.select(*[own[c] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
