@@ -57,10 +57,6 @@ def sort_structs(col: str | Column) -> Column:
     return F.array_sort(_c(col))
 
 
-def zero_vector(width: int) -> Column:
-    return F.array_repeat(F.lit(0.0).cast("float"), F.lit(width))
-
-
 # D10 -- scalar math (kept JVM-side)
 def sigmoid(col: str | Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(col)))

@@ -32,13 +32,6 @@ def hash_int(seed: int | str, *parts: str | Column) -> Column:
     return F.conv(F.substring(hash_hex(seed, *parts), 1, 15), 16, 10).cast("bigint")
 
 
-def salted(seed: int | str, *salts: str) -> str:
-    """Seed string for an independent draw: ``seed|salt|...`` (string
-    ``parts`` of the hash functions are column names, so literal salts go
-    into the seed)."""
-    return "|".join([str(seed), *salts])
-
-
 def hashed_normals(seed: int | str, width: int, *keys: Column, spread: float = 1.0) -> Column:
     """Array of ``width`` normal numbers from the hashes of the keys."""
     def uniform(salt: int, k: Column) -> Column:

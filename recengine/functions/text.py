@@ -17,6 +17,7 @@ YEAR_LABEL = "Year: "
 CITATIONS_LABEL = "#Citations: "
 NAME_LABEL = "Name: "
 GENRES_LABEL = "Genres: "
+BLANK = r"[ \t\n\x0B\f\r]"
 BRACKETED = r"[(\[].*?[)\]]"     # D5: a bracketed part of a title
 
 # Supported HTML subset -- comments, doctype, script/style blocks and tags
@@ -69,8 +70,8 @@ def strip_html(col: str | Column) -> Column:
 
 
 def clean_title(col: str | Column) -> Column:
-    """Drop bracketed parts, trim."""
-    return F.trim(F.regexp_replace(_c(col), BRACKETED, ""))
+    """Drop bracketed parts, then white space of any kind at both ends."""
+    return F.regexp_replace(F.regexp_replace(_c(col), BRACKETED, ""), rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def first_active(flags: Sequence[str]) -> Column:

@@ -153,3 +153,8 @@ def edge_split(samples: DataFrame, split: str = "split", label: str = "label") -
     """Edges with their label and split, for train/test range selection."""
     return samples.select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"),
                           F.col(label).alias("label"), F.col(split).alias("split"))
+
+
+def edge_range(edges: DataFrame, split: str) -> DataFrame:
+    """The labelled edges of one split, ``(src, dst, label)``."""
+    return edges.where(F.col("split") == split).select("src", "dst", "label")

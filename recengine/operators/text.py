@@ -81,3 +81,13 @@ def text_features(df: DataFrame, key: str, text: str, num_features: int = 256) -
     model = Pipeline(stages=[HashingTF(inputCol="__words", outputCol="__tf", numFeatures=num_features),
                              IDF(inputCol="__tf", outputCol="features")]).fit(base)
     return model.transform(base).select(key, "features")
+
+
+def text_vectors(keys: DataFrame, texts: DataFrame, key: str, text: str, num_features: int = 256) -> DataFrame:
+    """K8: ``(key, features)`` for every row of ``keys``; a key without a text
+    (or with a null one) gets the vector of the empty text.  Weights are
+    fitted on ``texts``; vectors are made once per text, then joined."""
+    from pyspark.ml.functions import array_to_vector
+    made = text_features(texts.select(key, F.coalesce(text, F.lit("")).alias(text)), key, text, num_features)
+    empty = array_to_vector(F.array_repeat(F.lit(0.0), F.lit(num_features)))      # no word, no weight
+    return keys.select(key).join(made, key, "left").select(key, F.coalesce("features", empty).alias("features"))

@@ -264,16 +264,24 @@ def m10(spark, sf):
 @register("M12_edge_split_labels", f"""
 WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
   train AS (SELECT * FROM inter i WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.user_id = i.user_id AND l.item_id = i.item_id)),
-  {q.negatives('inter', 4, 42, 'train', 'ntr')},
-  {q.lists('train', 'ntr', 'tr_lists')}
-SELECT 'train' AS split, label, count(*) AS n_edges FROM tr_lists GROUP BY label""")
+  {q.negatives('inter', 4, 42, 'train', 'ntr')}, {q.negatives('inter', 50, 42, 'test', 'nte')},
+  {q.lists('train', 'ntr', 'tr_lists')}, {q.lists('latest', 'nte', 'te_lists')},
+  e AS (SELECT 'train' AS split, * FROM tr_lists UNION ALL SELECT 'test', * FROM te_lists)
+SELECT split, label, count(*) AS n_edges, CAST(sum(user_id) AS BIGINT) AS sum_src, CAST(sum(item_id) AS BIGINT) AS sum_dst FROM e GROUP BY split, label""")
 def m12(spark, sf):
+    """The labelled edges of both ranges, each selected by its split."""
     from recengine.operators import negatives, splits
     inter = fixtures.interactions(spark, sf)
-    train = splits.leave_one_out(inter).filter(F.col("split") == "train")
-    lists = negatives.labelled_lists(train, negatives.sample_negatives(inter, 4, 42, "train"))
-    e = G.edge_split(lists.withColumn("split", F.lit("train")))
-    return e.filter(F.col("split") == "train").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_edges"))
+    split = splits.leave_one_out(inter)
+    negs = negatives.train_test_negatives(inter, 4, 50, 42)
+    lists = None
+    for name in ("train", "test"):
+        own = negatives.labelled_lists(split.where(F.col("split") == name), negs.where(F.col("split") == name)).withColumn("split", F.lit(name))
+        lists = own if lists is None else lists.unionByName(own)
+    edges = written(G.edge_split(lists), "edges")
+    ranges = [G.edge_range(edges, name).groupBy(F.lit(name).alias("split"), "label").agg(
+        F.count(F.lit(1)).alias("n_edges"), F.sum("src").alias("sum_src"), F.sum("dst").alias("sum_dst")) for name in ("train", "test")]
+    return ranges[0].unionByName(ranges[1])
 
 
 @register("M5_spectral_embedding_check", f"""WITH {BIPARTITE_SQL}

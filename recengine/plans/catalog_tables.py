@@ -366,15 +366,16 @@ WITH p AS (SELECT DISTINCT user_id, item_id FROM ({q.PURCHASES}))
 SELECT p.user_id AS src, p.item_id AS dst, c.c_acctbal AS value_src, pt.p_retailprice AS value_dst
 FROM p LEFT JOIN customer c ON c.c_custkey = p.user_id LEFT JOIN part pt ON pt.p_partkey = p.item_id""")
 def e10(spark, sf):
+    """One node table: customers, and parts from the offset on."""
     edges = fixtures.purchases(spark, sf).select(F.col("user_id").alias("src"), F.col("item_id").alias("dst")).distinct()
     cust = _t(spark, sf, "customer", ["c_custkey", "c_acctbal"]).select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("value"))
-    part = _t(spark, sf, "part", ["p_partkey", "p_retailprice"]).select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("value"))
-    s = cust.select(F.col("node").alias("src"), F.col("value").alias("value_src"))
-    d = part.select(F.col("node").alias("dst"), F.col("value").alias("value_dst"))
-    return edges.join(s, "src", "left").join(d, "dst", "left").select("src", "dst", "value_src", "value_dst")
+    part = _t(spark, sf, "part", ["p_partkey", "p_retailprice"])
+    offset = cust.select(F.max("node") + 1).scalar()
+    nodes = cust.unionByName(part.select((F.col("p_partkey") + offset).alias("node"), F.col("p_retailprice").alias("value")))
+    lifted = joins.lift_to_edges(edges.withColumn("dst", F.col("dst") + offset), nodes, "node", ["value"])
+    return lifted.select("src", (F.col("dst") - offset).alias("dst"), "value_src", "value_dst")
 
 
-# ---------------------------------------------------------------- F
 @register("F1_group_count", f"""
 WITH inter AS ({q.INTERACTIONS}) SELECT user_id, count(item_id) AS n FROM inter GROUP BY user_id""")
 def f1(spark, sf):

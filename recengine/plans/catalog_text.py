@@ -13,6 +13,7 @@ from recengine.operators import text as TX
 from recengine.plans import fixtures
 from recengine.plans import sqlparts as q
 from recengine.plans.catalog import register
+from recengine.session import written
 from recengine.sources.tables import load
 
 
@@ -73,7 +74,7 @@ def d4(spark, sf):
 
 
 @register("D5_clean_title", f"""
-SELECT doc_id, trim(regexp_replace(text, '{T.BRACKETED}', '', 'g')) AS title FROM documents""")
+SELECT doc_id, regexp_replace(regexp_replace(text, '{T.BRACKETED}', '', 'g'), '^{T.BLANK}+|{T.BLANK}+$', '', 'g') AS title FROM documents""")
 def d5(spark, sf):
     return _t(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", T.clean_title("text").alias("title"))
 
@@ -175,6 +176,23 @@ def k8(spark, sf):
                    F.min(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))).alias("finite"))
 
 
+@register("K8_default_vectors", """
+SELECT count(*) AS n_ids, count(*) FILTER (WHERE coalesce(d.text, '') = '') AS n_default, CAST(256 AS INTEGER) AS width, true AS default_is_empty_texts
+FROM part p LEFT JOIN documents d ON d.doc_id = p.p_partkey""")
+def k8_default(spark, sf):
+    """Vectors for the parts whose id is a document's; the others get the vector of an empty text."""
+    from pyspark.ml.functions import vector_to_array
+    keys = _t(spark, sf, "part", ["p_partkey"]).withColumnRenamed("p_partkey", "doc_id")
+    texts = _t(spark, sf, "documents", ["doc_id", "text"])
+    table = written(TX.text_vectors(keys, texts, "doc_id", "text", 256), "vectors").withColumn("v", vector_to_array("features"))
+    # the empty text's vector: no word, so no weight
+    zero = F.forall("v", lambda x: x == 0)
+    empty = table.join(texts.where(F.coalesce("text", F.lit("")) != "").select("doc_id"), "doc_id", "left_anti")
+    return table.agg(F.count(F.lit(1)).alias("n_ids"), F.max(F.size("v")).alias("width")).select(
+        "n_ids", empty.select(F.count(F.lit(1))).scalar().alias("n_default"), "width",
+        (empty.where(~zero).select(F.count(F.lit(1))).scalar() == 0).alias("default_is_empty_texts"))
+
+
 # ---------------------------------------------------------------- J1-J5
 @register("J1_completion_rating", f"""
 WITH inter AS ({q.INTERACTIONS})
