@@ -4,7 +4,8 @@ Graphs are ``nodes(node)`` and undirected ``edges(src, dst)`` with
 ``src < dst``.  Vectors are whole arrays, one row per node; message passing
 is an equi-join on the edge end plus a sum per node (partial + final
 aggregation: a node with a huge degree is pre-summed map-side).  Attention
-and convolution layers are in ``gnn``, the spectral embedding in ``spectral``.
+and convolution layers are in ``gnn``, the spectral embedding in ``spectral``,
+triangles and clustering in ``triangles``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 # ---------------------------------------------------------------- build
 def undirected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """M1: canonical ``(least, greatest)`` edges, self-loops and parallel
@@ -42,7 +42,8 @@ def both_directions(edges: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame, cap: int | None = None) -> DataFrame:
     """M3: degree of every node (0 for isolated nodes), optionally capped."""
-    d = both_directions(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    d = (edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node")
+         .agg(F.count(F.lit(1)).alias("degree")))
     out = nodes.select("node").join(d, "node", "left").fillna(0, subset=["degree"])
     if cap is not None:
         out = out.withColumn("degree", F.least(F.col("degree"), F.lit(cap)))
@@ -56,46 +57,6 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select(F.count(F.lit(1))).scalar().alias("n_edges"))
 
 
-# ---------------------------------------------------------------- triangles
-def oriented(nodes: DataFrame, edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
-    """Orient every edge from the lower to the higher (degree, id): each
-    node then has out-degree <= sqrt(2m), which bounds the 2-path join."""
-    d = deg if deg is not None else degrees(nodes, edges)
-    e = (edges.join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src")
-         .join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst"))
-    lo_first = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    return e.select(F.when(lo_first, F.col("src")).otherwise(F.col("dst")).alias("u"),
-                    F.when(lo_first, F.col("dst")).otherwise(F.col("src")).alias("v"))
-
-
-def triangles(nodes: DataFrame, edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
-    """Every triangle once, as ``(a, b, c)``: oriented 2-paths
-    ``a->b->c`` closed by an arc ``a->c`` (equi-joins only)."""
-    o = oriented(nodes, edges, deg)
-    paths = (o.select(F.col("u").alias("a"), F.col("v").alias("b"))
-             .join(o.select(F.col("u").alias("b"), F.col("v").alias("c")), "b"))
-    return paths.join(o.select(F.col("u").alias("a"), F.col("v").alias("c")), ["a", "c"], "left_semi")
-
-
-def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """M4: local clustering ``2 T(v) / (d (d - 1))``, 0 when ``d < 2``."""
-    deg = degrees(nodes, edges)
-    t = triangles(nodes, edges, deg)
-    per = (t.select(F.explode(F.array("a", "b", "c")).alias("node"))
-           .groupBy("node").agg(F.count(F.lit(1)).alias("triangles")))
-    d = deg.join(per, "node", "left").fillna(0, subset=["triangles"])
-    c = F.when(F.col("degree") < 2, F.lit(0.0)).otherwise(
-        2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1)))
-    return d.withColumn("clustering", c)
-
-
-def average_clustering(nodes: DataFrame, edges: DataFrame, digits: int = 6) -> DataFrame:
-    """M4: mean local clustering over all nodes (zeros counted)."""
-    c = clustering(nodes, edges)
-    return c.agg(F.round(F.avg("clustering"), digits).alias("average_clustering"),
-                 F.sum("triangles").cast("bigint").alias("triangle_corners"))
-
-
 # ---------------------------------------------------------------- vectors
 def node_features(nodes: DataFrame, vectors: DataFrame, key: str, vec: str, width: int) -> DataFrame:
     """Feature vector per node, zeros where no vector exists."""

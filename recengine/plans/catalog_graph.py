@@ -9,6 +9,7 @@ from recengine.operators import gnn as GN
 from recengine.operators import graph as G
 from recengine.operators import spectral as SP
 from recengine.operators import stats
+from recengine.operators import triangles as TR
 from recengine.plans import fixtures
 from recengine.plans import sqlparts as q
 from recengine.plans.catalog import register
@@ -19,30 +20,29 @@ WIDTH = 64
 M5_TOL = 0.01
 
 
-def copurchase(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Item graph: parts on order lines at most two lines apart in the same
-    order (equi-joins on (order, line + 1) and (order, line + 2) -- never all
-    pairs of an order).  Nodes: every part."""
-    li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])
-    a = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("a"))
-    arcs = None
-    for step in (1, 2):
-        b = li.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - step).alias("ln"),
-                      F.col("l_partkey").alias("b"))
-        j = a.join(b, ["o", "ln"]).select("a", "b")
-        arcs = j if arcs is None else arcs.union(j)
-    nodes = load(spark, sf, "part", ["p_partkey"]).select(F.col("p_partkey").alias("node"))
-    return nodes, G.undirected(arcs, "a", "b")
-
-
-COPURCHASE_SQL = """cp_arcs AS (
-    SELECT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y
-      ON y.l_orderkey = x.l_orderkey AND y.l_linenumber - 1 = x.l_linenumber
-    UNION ALL
-    SELECT x.l_partkey, y.l_partkey FROM lineitem x JOIN lineitem y
-      ON y.l_orderkey = x.l_orderkey AND y.l_linenumber - 2 = x.l_linenumber),
-  edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM cp_arcs WHERE a <> b),
-  nodes AS (SELECT p_partkey AS node FROM part),
+def purchase_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, parts and suppliers as nodes, an edge between any two that
+    meet on an order line.  The rows of the edge list are three per order line, so no order is
+    cut and no pairs of a group are formed; suppliers are hubs."""
+    log = fixtures.purchases(spark, sf, ["l_suppkey"])
+    kinds = [("user_id", 0), ("item_id", 1), ("l_suppkey", 2)]
+    node = {c: (F.col(c) * 3 + k) for c, k in kinds}
+    pair = lambda a, b: F.struct(node[a].alias("a"), node[b].alias("b"))
+    pairs = log.select(F.explode(F.array(pair("user_id", "item_id"), pair("item_id", "l_suppkey"),
+                                         pair("user_id", "l_suppkey"))).alias("p"))
+    nodes = None
+    for table, key, kind in (("customer", "c_custkey", 0), ("part", "p_partkey", 1), ("supplier", "s_suppkey", 2)):
+        own = load(spark, sf, table, [key]).select((F.col(key) * 3 + kind).alias("node"))
+        nodes = own if nodes is None else nodes.union(own)
+    return nodes, G.undirected(pairs.select("p.a", "p.b"), "a", "b")
+
+
+PURCHASE_GRAPH_SQL = """lines AS (SELECT o_custkey * 3 AS u, l_partkey * 3 + 1 AS p, l_suppkey * 3 + 2 AS s
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (
+    SELECT u AS a, p AS b FROM lines UNION ALL SELECT p, s FROM lines UNION ALL SELECT u, s FROM lines)),
+  nodes AS (SELECT c_custkey * 3 AS node FROM customer UNION ALL SELECT p_partkey * 3 + 1 FROM part
+            UNION ALL SELECT s_suppkey * 3 + 2 FROM supplier),
   arcs AS (SELECT src AS node, dst AS nbr FROM edges UNION ALL SELECT dst, src FROM edges),
   deg AS (SELECT n.node, count(a.nbr) AS degree FROM nodes n LEFT JOIN arcs a USING (node) GROUP BY n.node)"""
 
@@ -88,15 +88,14 @@ def m3_hist(spark, sf):
     return stats.histogram(G.degrees(*bipartite(spark, sf)), "degree", 50)
 
 
-_TRI_SQL = f"""{COPURCHASE_SQL},
-  tri AS (SELECT e1.src AS a, e1.dst AS b, e2.dst AS c FROM edges e1 JOIN edges e2 ON e2.src = e1.dst
-          JOIN edges e3 ON e3.src = e1.src AND e3.dst = e2.dst)"""
+_TRI_SQL = f"""{PURCHASE_GRAPH_SQL},
+  tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON y.src = x.dst
+          JOIN edges z ON z.src = x.src AND z.dst = y.dst)"""
 
 
 @register("E11_triangles", f"WITH {_TRI_SQL} SELECT a, b, c FROM tri")
 def e11(spark, sf):
-    t = G.triangles(*copurchase(spark, sf)).select(F.array_sort(F.array("a", "b", "c")).alias("t"))
-    return t.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+    return TR.triangles(*purchase_graph(spark, sf))
 
 
 @register("M4_average_clustering", f"""WITH {_TRI_SQL},
@@ -107,7 +106,7 @@ def e11(spark, sf):
          FROM deg d LEFT JOIN per p USING (node))
 SELECT round(avg(c), 6) AS average_clustering, CAST(sum(triangles) AS BIGINT) AS triangle_corners FROM cl""")
 def m4(spark, sf):
-    return G.average_clustering(*copurchase(spark, sf))
+    return TR.average_clustering(*purchase_graph(spark, sf))
 
 
 def _features(spark, sf):

@@ -6,6 +6,8 @@ Everything here is a lazy plan over the whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +18,18 @@ from recengine.sources.positions import with_input_pos
 from recengine.sources.tables import load
 
 
-def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def purchases(spark: SparkSession, sf_dir: str, more: Sequence[str] = ()) -> DataFrame:
     """Activity log with repeats: one row per line item.
 
-    ``(user_id, item_id, ts, order_id, line_no, quantity)``; the natural
-    input order is ``(ts, order_id, line_no)``.
+    ``(user_id, item_id, ts, order_id, line_no, quantity)`` and the line's
+    columns named in ``more``; the natural input order is ``(ts, order_id, line_no)``.
     """
-    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
+    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", *more])
     o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"),
                     F.col("o_orderdate").alias("ts"), F.col("l_orderkey").alias("order_id"),
-                    F.col("l_linenumber").alias("line_no"), F.col("l_quantity").alias("quantity")))
+                    F.col("l_linenumber").alias("line_no"), F.col("l_quantity").alias("quantity"), *more))
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:

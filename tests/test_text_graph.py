@@ -55,17 +55,6 @@ def _graph(spark, edges, n):
     return nodes, G.undirected(e)
 
 
-def test_clustering_shapes(spark):
-    # triangle 0-1-2, path 3-4-5, star 6-(7,8,9), isolated 10
-    nodes, edges = _graph(spark, [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (6, 7), (6, 8), (6, 9), (1, 0)], 11)
-    c = {r.node: r.clustering for r in G.clustering(nodes, edges).collect()}
-    assert c[0] == c[1] == c[2] == 1.0
-    assert all(c[v] == 0.0 for v in range(3, 11))
-    assert G.triangles(nodes, edges).count() == 1
-    avg = G.average_clustering(nodes, edges).first().average_clustering
-    assert avg == round(3 / 11, 6)
-
-
 def test_neu_on_pair(spark):
     nodes, edges = _graph(spark, [(0, 1)], 2)
     vec = spark.createDataFrame([(0, [1.0]), (1, [3.0])], "node long, vec array<double>")
