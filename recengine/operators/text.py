@@ -1,7 +1,8 @@
 """Text operators that need a shuffle.
 
 Word tokens replace the reference's WordPiece tokenizer (a per-row library):
-the vocabulary is a Spark aggregate over the whole corpus, applied by join;
+the vocabulary is a Spark aggregate over the whole corpus, applied by join
+(frequent tokens, which a sketch finds, by broadcast);
 the fixed width (truncation + padding) is the operator's defined output.
 """
 
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 
 from recengine.functions.arrays import pad_truncate
 from recengine.operators.ordering import dense_index
+from recengine.session import written
 
 PAD_ID = 0
 UNK_ID = 1
+MAX_KEY = 64            # a longer token is looked up by its digest
+FREQUENT = 2_000        # tokens that are broadcast
+TRACKED = 100_000       # tokens that the sketch holds
 
 
 def inverted_index(df: DataFrame, key: str, text: str, drop_terms: Sequence[str] = ()) -> DataFrame:
@@ -38,8 +43,8 @@ def inverted_index(df: DataFrame, key: str, text: str, drop_terms: Sequence[str]
 
 
 def words(col: str) -> F.Column:
-    """Lower-cased whitespace tokens (empty tokens removed)."""
-    return F.filter(F.split(F.lower(F.col(col)), r"\s+"), lambda t: t != "")
+    """Lower-cased whitespace tokens (empty tokens removed; null is empty)."""
+    return F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\s+"), lambda t: t != "")
 
 
 def build_vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
@@ -51,23 +56,55 @@ def build_vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
     return v.select("token", (F.col("__i") + 2).alias("token_id"), "count")
 
 
-def tokenize(df: DataFrame, key: str, text: str, vocab: DataFrame, width: int) -> DataFrame:
+def _short(token: str) -> F.Column:
+    """The token, or for a long one a digest with a blank before it, which no
+    token has: bounds the sketch and what is broadcast."""
+    return F.when(F.char_length(token) <= MAX_KEY, F.col(token)).otherwise(F.concat(F.lit(" "), F.sha2(token, 256)))
+
+
+def frequent_tokens(tokens: DataFrame, vocab: DataFrame, top: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
+    """``(short, token_id)`` of the ``top`` most frequent of ``tokens(short)``
+    by a mergeable sketch, at most ``top`` rows of at most 65 characters;
+    tokens outside the vocabulary are among them, as unknown.  A token that is
+    left out holds at most the greater of 1 / top and 4 / tracked of the rows."""
+    kept = tokens.select(F.explode(F.expr(f"approx_top_k(short, {int(top)}, {int(tracked)})")).alias("t"))
+    return kept.select(F.col("t.item").alias("short")).join(vocab, "short", "left").select("short", _id("token_id"))
+
+
+def _id(name: str) -> F.Column:
+    return F.coalesce(name, F.lit(UNK_ID)).cast("bigint").alias("token_id")
+
+
+def tokenize(df: DataFrame, key: str, text: str, vocab: DataFrame, width: int,
+             top: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
     """``(key, input_ids array<bigint>(width), attention_mask array<int>, n_tokens)``.
 
     Token ids of the first ``width`` tokens (truncation), padded with 0; mask
-    = 1 where the id is not padding; ``n_tokens`` counts the whole text.
+    = 1 where the id is not padding; ``n_tokens`` counts the whole text.  Null
+    text is empty, a null key is a key, and rows equal in key, head and count
+    are one row.
+
+    A text is read once and never shuffled: only its first ``width`` tokens
+    are kept.  The most frequent of them meet their ids where they lie (a
+    broadcast of ``top`` rows); only the others are joined with the
+    vocabulary, where no single token is a large share of the rows.
     """
-    df = df.repartition(key)        # words stay in their document's partition
-    toks = df.select(key, F.posexplode(words(text)).alias("pos", "token"))
-    n_tok = df.select(key, F.size(words(text)).alias("n_tokens"))
-    head = toks.filter(F.col("pos") < width).join(vocab.select("token", "token_id"), "token", "left")
-    head = head.withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")))
-    ids = head.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("__s"))
-    ids = ids.select(key, F.transform("__s", lambda s: s["token_id"]).alias("__ids"))
-    out = n_tok.join(ids, key, "left").withColumn(
-        "__ids", F.coalesce("__ids", F.array().cast("array<bigint>")))
+    split = df.select(key, words(text).alias("__w"))
+    heads = written(split.select(key, F.size("__w").alias("n_tokens"), F.slice("__w", 1, width).alias("__head"))
+                    .withColumn("__row", F.md5(F.concat_ws(" ", "__head"))), "heads")
+    row = [key, "n_tokens", "__row"]
+    tokens = heads.select(*row, F.posexplode("__head").alias("pos", "token")).select(*row, "pos", _short("token").alias("short"))
+    known = vocab.select(_short("token").alias("short"), "token_id")
+    frequent = F.broadcast(written(frequent_tokens(tokens, known, top, tracked), "frequent"))
+    here = tokens.join(frequent, "short").select(*row, "pos", "token_id")
+    others = tokens.join(frequent, "short", "left_anti").join(known, "short", "left").select(*row, "pos", _id("token_id"))
+    none = heads.where(F.size("__head") == 0).select(*row, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("bigint").alias("token_id"))
+    found = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
+    ids = (here.unionByName(others).unionByName(none).groupBy(*row)
+           .agg(F.array_sort(F.collect_set(found)).alias("__s"))
+           .withColumn("__ids", F.transform("__s", lambda s: s["token_id"])))
     padded = pad_truncate(F.col("__ids"), width, PAD_ID).cast("array<bigint>")
-    return out.select(key, padded.alias("input_ids"),
+    return ids.select(key, padded.alias("input_ids"),
                       F.transform(padded, lambda x: F.when(x != PAD_ID, 1).otherwise(0)).alias("attention_mask"),
                       "n_tokens")
 

@@ -1,8 +1,11 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from recengine.functions import text as T
 from recengine.operators import graph as G
-from recengine.operators.text import build_vocabulary, inverted_index, tokenize
+from recengine.operators.text import UNK_ID, build_vocabulary, frequent_tokens, inverted_index, tokenize
 
 
 def test_inverted_index_gap_and_repeated_term(spark):
@@ -49,6 +52,43 @@ def test_tokenize_pad_and_truncate(spark):
     assert tok[2].n_tokens == 6 and len(tok[2].input_ids) == 4
 
 
+@pytest.mark.parametrize(("top", "tracked"), [(2_000, 100_000), (2, 64), (1, 16)])
+def test_tokenize_against_plain_python(spark, top, tracked):
+    rnd = random.Random(3)
+    long_word = "x" * 500
+    pool = ["the"] * 60 + ["not-known"] * 30 + [f"w{k}" for k in range(40)] + [long_word] * 5
+    texts = [" ".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 30))) for _ in range(60)]
+    texts += ["", None, "  \t ", "The THE the " * 400]
+    df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "id long, text string, token_id int")
+    vocab = build_vocabulary(df, "text").where("token <> 'not-known'")
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    got = {r.id: r for r in tokenize(df, "id", "text", vocab, 6, top, tracked).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        toks = (t or "").lower().split()
+        want = [ids.get(w, UNK_ID) for w in toks[:6]]
+        assert got[i].input_ids == want + [0] * (6 - len(want))
+        assert got[i].n_tokens == len(toks)
+
+
+def test_tokenize_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a"), (2, None)], "id long, text string")
+    vocab = build_vocabulary(df, "text")
+    got = sorted((r.id is None, r.id or 0, r.n_tokens, r.input_ids) for r in tokenize(df, "id", "text", vocab, 2).collect())
+    # a: 3, b: 2, c: 1; equal rows are one, a key's different texts stay apart
+    assert got == [(False, 1, 1, [4, 0]), (False, 1, 2, [2, 3]), (False, 2, 0, [0, 0]), (True, 0, 1, [2, 0])]
+    empty = df.where("id > 5")
+    assert tokenize(empty, "id", "text", vocab, 2).count() == 0
+
+
+def test_frequent_tokens_leave_the_shuffle(spark):
+    df = spark.createDataFrame([(i, "hot " * 20 + f"rare{i}") for i in range(200)], "id long, text string")
+    vocab = build_vocabulary(df, "text")
+    tokens = df.select(F.explode(F.split("text", " ")).alias("short"))
+    kept = frequent_tokens(tokens, vocab.select(F.col("token").alias("short"), "token_id"), 3, 64).collect()
+    assert len(kept) <= 3 and ("hot", 2) in [tuple(r) for r in kept]
+
+
 def _graph(spark, edges, n):
     nodes = spark.range(n).select(F.col("id").alias("node"))
     e = spark.createDataFrame(edges, "src long, dst long")
