@@ -66,8 +66,7 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 6)
                     F.col("kept.start").alias("kept_start"), "n_places"))
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()),
-                   *((n, pa.list_(pa.int32())) for n in ("starts", "ends", "sizes"))])
+_RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("parts", pa.list_(pa.int32()))])
 
 
 def _runs_of(text: str, pattern: re.Pattern, min_words: int, min_chars: int) -> Iterator[tuple[list[tuple[int, int, int, str, bool]], str]]:
@@ -97,7 +96,8 @@ def _runs_of(text: str, pattern: re.Pattern, min_words: int, min_chars: int) ->
 
 
 def runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Long units and long runs with their digests; starts, ends and sizes (in words) of a run's units, null for a unit alone."""
+    """Long units and long runs with their digests; ``parts`` holds start, end and size (in words) of each unit, one after the other.
+    A long unit in a run has size 0 there, since it has a row of its own."""
     pattern = PATTERNS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,30 +106,33 @@ def runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_ch
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for part, norm in _runs_of(text, pattern, min_words, min_chars):
                     d = xxhash.xxh3_128_digest(norm)
-                    more = ([u[0] for u in part], [u[1] for u in part], [0 if u[5] else u[2] for u in part]) if len(part) > 1 else (None,) * 3
-                    rows.append((doc_id, part[0][0], part[-1][1], sum(u[2] for u in part), int.from_bytes(d[:8], "little", signed=True),
-                                 int.from_bytes(d[8:], "little", signed=True), *more))
+                    lone = len(part) == 1
+                    rows.append((doc_id, part[0][0], part[-1][1], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
+                                 [x for u in part for x in (u[0], u[1], u[2] if lone or not u[5] else 0)]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)], schema=_RUNS)
 
     return (texts(docs).where("doc_id is not null")
-            .mapInArrow(run, "doc_id long, start int, end int, n_words int, hi long, lo long, starts array<int>, ends array<int>, sizes array<int>"))
+            .mapInArrow(run, "doc_id long, start int, end int, hi long, lo long, parts array<int>"))
 
 
 def repeated_runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns of ``repeated_units``: one row per removed unit; ``n_places`` counts those of the unit or of the run around it."""
     found = runs(docs, unit, min_words, min_chars)
-    place = F.struct("doc_id", "start", "end", "starts")
-    kept = (found.groupBy("hi", "lo").agg(F.min(place).alias("kept"), F.max(F.struct("doc_id", "start")).alias("last"), F.count(F.lit(1)).alias("n_places"))
+    starts = F.expr("transform(sequence(0, size(parts) - 1, 3), k -> parts[k])")
+    # where a unit alone begins says its row already
+    inner = F.when(F.size("parts") > 3, starts)
+    kept = (found.groupBy("hi", "lo")
+            .agg(F.min(F.struct("doc_id", "start", "end", inner.alias("starts"))).alias("kept"), F.max(F.struct("doc_id", "start")).alias("last"),
+                 F.count(F.lit(1)).alias("n_places"))
             .where("(kept.doc_id, kept.start) != (last.doc_id, last.start)").drop("last"))
-    again = (found.join(kept, ["hi", "lo"]).where("(doc_id, start) != (kept.doc_id, kept.start)"))
-    alone = again.where("starts is null").select("doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
-                                                 F.col("kept.start").alias("kept_start"), "n_places")
-    # short units of runs (a long unit in a run has a row of its own), but none that stands in the run's earliest place
-    short = (again.where("starts is not null")
-             .select("doc_id", "kept", "n_places", F.explode(F.arrays_zip("starts", "ends", "sizes", F.col("kept.starts").alias("kept_starts"))).alias("u"))
-             .where("u.sizes > 0 and not (doc_id = kept.doc_id and u.starts < kept.end)")
-             .groupBy("doc_id", F.col("u.starts").alias("start"), F.col("u.ends").alias("end"), F.col("u.sizes").alias("n_words"))
-             .agg(F.min(F.struct(F.col("kept.doc_id").alias("i"), F.col("u.kept_starts").alias("s"), "n_places")).alias("k"))
-             .select("doc_id", "start", "end", "n_words", F.col("k.i").alias("kept_doc_id"), F.col("k.s").alias("kept_start"), "k.n_places"))
-    return alone.unionByName(short)
+    again = found.join(kept, ["hi", "lo"]).where("(doc_id, start) != (kept.doc_id, kept.start)")
+    each = F.expr("""transform(sequence(0, size(parts) - 1, 3), k -> struct(parts[k] as start, parts[k + 1] as end, parts[k + 2] as n_words,
+                               coalesce(kept.starts[k div 3], kept.start) as kept_start))""")
+    # no unit goes that stands in the run's earliest place; one unit may stand in several runs
+    return (again.select("doc_id", "kept.doc_id", "kept.end", "n_places", F.explode(each).alias("u"))
+            .toDF("doc_id", "kept_doc_id", "kept_end", "n_places", "u")
+            .where("u.n_words > 0 and not (doc_id = kept_doc_id and u.start < kept_end)")
+            .groupBy("doc_id", F.col("u.start").alias("start"))
+            .agg(F.min(F.struct("kept_doc_id", F.col("u.kept_start").alias("s"), "n_places", F.col("u.end").alias("e"), F.col("u.n_words").alias("w"))).alias("k"))
+            .select("doc_id", "start", F.col("k.e").alias("end"), F.col("k.w").alias("n_words"), "k.kept_doc_id", F.col("k.s").alias("kept_start"), "k.n_places"))
