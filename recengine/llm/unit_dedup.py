@@ -1,7 +1,7 @@
 """Line or paragraph hashing.
 
 Every text is cut into units (lines, or the sentences of lines), units are normalised (white space
-folded, lower case) and hashed to 128 bits.  Digests are grouped globally with partial aggregation;
+folded, lower case) and hashed to 128 bits (96 in ``repeated_runs``: at 10^12 units, one pair in some 100,000 corpora collides).  Digests are grouped globally with partial aggregation;
 the earliest occurrence by (doc_id, offset) stays and every other one is returned as a span of the original text.
 
 ``repeated_units`` looks at units of ``min_words`` words or more, one by one.  ``repeated_runs`` looks at every unit:
@@ -66,7 +66,7 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 6)
                     F.col("kept.start").alias("kept_start"), "n_places"))
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("parts", pa.list_(pa.int32()))])
+_RUNS = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int32()), ("parts", pa.list_(pa.int32()))])
 
 
 def _runs_of(text: str, pattern: re.Pattern, min_words: int, min_chars: int) -> Iterator[tuple[list[tuple[int, int, int, str, bool]], str]]:
@@ -96,8 +96,8 @@ def _runs_of(text: str, pattern: re.Pattern, min_words: int, min_chars: int) ->
 
 
 def runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Long units and long runs with their digests; ``parts`` holds start, end and size (in words) of each unit, one after the other.
-    A long unit in a run has size 0 there, since it has a row of its own."""
+    """Long units and long runs with their digests of 96 bits; ``parts`` holds start, length and size (in words) of each unit, one after
+    the other.  A long unit in a run has size 0 there, since it has a row of its own."""
     pattern = PATTERNS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,32 +107,31 @@ def runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_ch
                 for part, norm in _runs_of(text, pattern, min_words, min_chars):
                     d = xxhash.xxh3_128_digest(norm)
                     lone = len(part) == 1
-                    rows.append((doc_id, part[0][0], part[-1][1], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
-                                 [x for u in part for x in (u[0], u[1], u[2] if lone or not u[5] else 0)]))
+                    rows.append((doc_id, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:12], "little", signed=True),
+                                 [x for u in part for x in (u[0], u[1] - u[0], u[2] if lone or not u[5] else 0)]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)], schema=_RUNS)
 
     return (texts(docs).where("doc_id is not null")
-            .mapInArrow(run, "doc_id long, start int, end int, hi long, lo long, parts array<int>"))
+            .mapInArrow(run, "doc_id long, hi long, lo int, parts array<int>"))
 
 
 def repeated_runs(docs: DataFrame, unit: str = "any_sentence", min_words: int = 6, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns of ``repeated_units``: one row per removed unit; ``n_places`` counts those of the unit or of the run around it."""
     found = runs(docs, unit, min_words, min_chars)
-    starts = F.expr("transform(sequence(0, size(parts) - 1, 3), k -> parts[k])")
+    start, end = F.col("parts")[0], F.expr("parts[size(parts) - 3] + parts[size(parts) - 2]")
     # where a unit alone begins says its row already
-    inner = F.when(F.size("parts") > 3, starts)
+    inner = F.when(F.size("parts") > 3, F.expr("transform(sequence(0, size(parts) - 1, 3), k -> parts[k])"))
     kept = (found.groupBy("hi", "lo")
-            .agg(F.min(F.struct("doc_id", "start", "end", inner.alias("starts"))).alias("kept"), F.max(F.struct("doc_id", "start")).alias("last"),
-                 F.count(F.lit(1)).alias("n_places"))
-            .where("(kept.doc_id, kept.start) != (last.doc_id, last.start)").drop("last"))
-    again = found.join(kept, ["hi", "lo"]).where("(doc_id, start) != (kept.doc_id, kept.start)")
-    each = F.expr("""transform(sequence(0, size(parts) - 1, 3), k -> struct(parts[k] as start, parts[k + 1] as end, parts[k + 2] as n_words,
+            .agg(F.min(F.struct("doc_id", start.alias("start"), end.alias("end"), inner.alias("starts"))).alias("kept"), F.count(F.lit(1)).alias("n_places"))
+            .where("n_places > 1"))
+    again = found.join(kept, ["hi", "lo"]).where("(doc_id, parts[0]) != (kept.doc_id, kept.start)")
+    each = F.expr("""transform(sequence(0, size(parts) - 1, 3), k -> struct(parts[k] as start, parts[k + 1] as length, parts[k + 2] as n_words,
                                coalesce(kept.starts[k div 3], kept.start) as kept_start))""")
     # no unit goes that stands in the run's earliest place; one unit may stand in several runs
-    return (again.select("doc_id", "kept.doc_id", "kept.end", "n_places", F.explode(each).alias("u"))
-            .toDF("doc_id", "kept_doc_id", "kept_end", "n_places", "u")
+    return (again.select("doc_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.end").alias("kept_end"), "n_places", F.explode(each).alias("u"))
             .where("u.n_words > 0 and not (doc_id = kept_doc_id and u.start < kept_end)")
             .groupBy("doc_id", F.col("u.start").alias("start"))
-            .agg(F.min(F.struct("kept_doc_id", F.col("u.kept_start").alias("s"), "n_places", F.col("u.end").alias("e"), F.col("u.n_words").alias("w"))).alias("k"))
-            .select("doc_id", "start", F.col("k.e").alias("end"), F.col("k.w").alias("n_words"), "k.kept_doc_id", F.col("k.s").alias("kept_start"), "k.n_places"))
+            .agg(F.min(F.struct("kept_doc_id", F.col("u.kept_start").alias("s"), "n_places", F.col("u.length").alias("l"), F.col("u.n_words").alias("w"))).alias("k"))
+            .select("doc_id", "start", (F.col("start") + F.col("k.l")).alias("end"), F.col("k.w").alias("n_words"),
+                    "k.kept_doc_id", F.col("k.s").alias("kept_start"), "k.n_places"))
