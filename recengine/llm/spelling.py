@@ -6,7 +6,8 @@ replacement and insertion over the symbols) and looks it up there.  Words one ed
 most one edit apart, so no near pair is missed; the pairs that meet are verified on the original strings inside
 the join, so only near pairs leave it.  Reduced forms are told apart by 64-bit polynomials, whose collisions
 cost a comparison and never change the result.  A bit array of the reduced vocabulary (``FILTER_BITS`` bits,
-whatever the input) drops the neighbours that nothing can meet before they are shuffled.
+whatever the input) drops the neighbours that nothing can meet before they are shuffled; it goes by shuffle to every
+``CHUNK_WORDS`` words and never to the driver.
 
 Defined cases: a null or empty text has no words; a null doc_id counts as the empty string; a document row that
 stands twice counts twice; ties of the largest count go to the first word in code-point order; an empty table
@@ -34,6 +35,8 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 MIN_LENGTH, MIN_COUNT, RATIO, NOISE = 6, 5, 5, 199
 SYMBOLS = 8
 FILTER_BITS = 27
+# 64-bit words of the bit array in one row, and vocabulary words that share a copy of it
+BLOCK_BITS, CHUNK_WORDS = 12, 50_000
 # distinct words a task holds before it hands their counts on
 HELD_WORDS = 400_000
 
@@ -131,40 +134,63 @@ def _with_keys(words: DataFrame, symbols: int) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, key long")
 
 
-def _filter(keyed: DataFrame, bits: int) -> np.ndarray:
-    """Bit array of the keys: 2^bits bits, OR-ed by Spark in words of 64 bits, at most 2^(bits - 6) rows."""
+def _filter(keyed: DataFrame, bits: int) -> DataFrame:
+    """held: the bit array of the keys, 2^bits bits, OR-ed by Spark in words of 64 bits; a row has the words (at, bits) of one
+    block, at most 2^BLOCK_BITS, and there are at most 2^(bits - 6 - BLOCK_BITS) rows."""
     place = f"shiftrightunsigned(key, {64 - bits})"
-    rows = (keyed.selectExpr(f"shiftright({place}, 6) as at", f"shiftleft(1L, cast({place} % 64 as int)) as bit")
-            .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
-    array = np.zeros(1 << (bits - 6), np.uint64)
-    array[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return array
-
-
-def _neighbourhoods(keyed: DataFrame, symbols: int, bits: int) -> DataFrame:
-    """a, a_n, key: every neighbour of every word's reduced form that the bit array holds."""
-    held = keyed.sparkSession.sparkContext.broadcast(_filter(keyed, bits))
+    words = (keyed.selectExpr(f"shiftright({place}, 6) as at", f"shiftleft(1L, cast({place} % 64 as int)) as bit")
+             .groupBy("at").agg(F.bit_or("bit").alias("bits")))
+    return (words.groupBy(F.shiftright("at", BLOCK_BITS).alias("block")).agg(F.collect_list(F.struct("at", "bits")).alias("held"))
+            .select("held"))
+
+
+def _neighbourhoods(keyed: DataFrame, symbols: int, bits: int, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """a, a_n, key: every neighbour of every word's reduced form that the bit array holds.
+
+    The words are dealt into chunks and every chunk is sent a copy of the bit array, before its words."""
+    chunks = math.ceil(keyed.count() / chunk_words) or 1
+    held = written(_filter(keyed, bits), "held")
+    kind = dict(held.dtypes)["held"]
+    copies = held.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(None).cast("string").alias("word"),
+                         F.lit(None).cast("long").alias("n"), "held")
+    own = keyed.select(F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int").alias("chunk"), "word", "n", F.lit(None).cast(kind).alias("held"))
+    # twice as many partitions as chunks: fewer of them share one
+    dealt = copies.unionByName(own).repartition(2 * chunks, "chunk").sortWithinPartitions("chunk", F.col("held").isNull())
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = held.value
-        for batch in slices(batches, 1 << 20):
-            words, ns = batch.column(0), batch.column(1)
+        array, last = None, None
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(chunk)]):
+                part = batch.slice(a, b - a)
+                if chunk[a] != last:
+                    last, array = chunk[a], np.zeros(1 << (bits - 6), np.uint64)
+                words = part.column(3).drop_null().flatten()
+                if len(words):
+                    at, bit = words.flatten()
+                    array[at.to_numpy()] = bit.to_numpy().view(np.uint64)
+                part = part.filter(part.column(1).is_valid())
+                yield from _met(part.column(1), part.column(2), array, symbols, shift)
+
+    return dealt.mapInArrow(run, "a string, a_n long, key long")
+
+
+def _met(words: pa.Array, ns: pa.Array, array: np.ndarray, symbols: int, shift: np.uint64) -> Iterator[pa.RecordBatch]:
+    rows, keys, size = [], [], 0
+    for k, word in enumerate(words.to_pylist()):
+        for part in neighbour_keys(word, symbols):
+            at = part >> shift
+            part = np.unique(part[(array[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)])
+            rows.append(np.full(len(part), k))
+            keys.append(part)
+            size += len(part)
+        if size > 1 << 18:
+            yield _pairs(words, ns, rows, keys)
             rows, keys, size = [], [], 0
-            for k, word in enumerate(words.to_pylist()):
-                for part in neighbour_keys(word, symbols):
-                    at = part >> shift
-                    part = np.unique(part[(array[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)])
-                    rows.append(np.full(len(part), k))
-                    keys.append(part)
-                    size += len(part)
-                if size > 1 << 18:
-                    yield _pairs(words, ns, rows, keys)
-                    rows, keys, size = [], [], 0
-            if size:
-                yield _pairs(words, ns, rows, keys)
-
-    return keyed.select("word", "n").mapInArrow(run, "a string, a_n long, key long")
+    if size:
+        yield _pairs(words, ns, rows, keys)
 
 
 def _pairs(words: pa.Array, ns: pa.Array, rows: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:

@@ -99,3 +99,11 @@ def test_empty_and_clashing(spark, frame):
     for c in ("word", "n", "key", "form", "root", "a", "b"):
         docs = docs.withColumn(c, F.lit(1))
     assert rows_of(spelling.spelling(docs)) == brute(words_of([(1, "planet " * 30 + "planets " * 5)]))
+
+
+def test_bit_array_reaches_every_chunk(spark):
+    """Chunks of two words each: the same neighbours as from one chunk, and nothing but the words' count on the driver."""
+    words = spark.createDataFrame([(f"abc{a}ef{b}", 5) for a in "ghij" for b in "klmno"], "word string, n long")
+    keyed = spelling._with_keys(words, 4)
+    one, many = (sorted(map(tuple, spelling._neighbourhoods(keyed, 4, 10, chunk_words=k).collect())) for k in (1000, 2))
+    assert len(one) > 100 and one == many
