@@ -49,3 +49,15 @@ def test_pool_minus(spark):
 def test_empty(spark):
     assert S.item_sets(frame(spark, [])).count() == 0
     assert S.without(frame(spark, [(1, 2)]), S.item_sets(frame(spark, []))).count() == 1
+
+
+def test_no_work_per_word_or_bit_is_interpreted_twice(spark):
+    """The users' maps are built under the join, the pool's words join last, and bits are told by a filter."""
+    users = frame(spark, [(1, 0), (2, 0)])
+    rest = S.pool_minus(S.item_sets(spark.createDataFrame([(1, 3)], "owner long, item_idx long"), "owner"), S.item_sets(frame(spark, PAIRS)), users)
+    plan = S.items_of(rest)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("map_from_entries" in x for x in plan)
+    assert not any("map_from_entries" in x and "transform(" in x for x in plan)
+    assert all("lambda" not in x for x in plan if "getbit" in x)
+    joins = [x for x in plan if " Join " in x or x.strip().startswith("Join")]
+    assert "__pb" in joins[0] and "__b" in joins[1]
