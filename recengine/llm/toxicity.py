@@ -36,12 +36,20 @@ def held_out() -> Column:
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
+def rated_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """y, words: of each labelled document that is not held out, the distinct first six letters of its words of four letters or
+    more, joined by blanks.  They are what a beginning can be made of, and all of a text that is sent to its label; a broadcast
+    would grow with the labels."""
+    rated = labels.where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1)")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.char_length(w) >= 4)
+    short = F.array_join(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 6))), " ")
+    return texts(docs).select("doc_id", short.alias("words")).join(rated.hint("merge"), "doc_id").select("y", "words")
+
+
 def terminals(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     """Learned word beginnings and their weights (at most ``TERMINALS``)."""
-    rated = labels.where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1)")
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
-    begins = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in (4, 5, 6)]))))
-    seen = (texts(docs).join(rated, "doc_id").select("y", F.explode(begins).alias("b")).where(F.char_length("b") >= 4)
+    begins = F.array_distinct(F.flatten(F.transform(F.split("words", " "), lambda w: F.array(*[F.substring(w, 1, n) for n in (4, 5, 6)]))))
+    seen = (rated_words(docs, labels).select("y", F.explode(begins).alias("b")).where(F.char_length("b") >= 4)
             .groupBy("b").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
             .where((F.col("t") >= MIN_TOXIC) & (F.col("t") >= PURITY * F.col("n")))
             .orderBy(F.desc("t"), "b").limit(TERMINALS))

@@ -148,3 +148,17 @@ def test_verified_odd_rows(spark, frame):
     assert decontam.verified(frame([(1, "a b c d e f g h i j k l")]), bench.limit(0)).collect() == []
     twice = frame([(1, "A b c, d e f g h i j k l"), (1, "A b c, d e f g h i j k l")])
     assert [(r.doc_id, r.item_id, r.start_word, r.matched) for r in decontam.verified(twice, bench).collect()] == [(1, 1, 0, 12)]
+
+
+def test_toxicity_sends_short_distinct_words(spark, frame):
+    """What goes to the labels: beginnings of the training rows' words, by a join whose kind doesn't change with the size."""
+    from recengine.llm.toxicity import held_out, rated_words
+    text = "Worthlessness, worthlessly! the the abcd abcd ABCDE é_étéé " + "again " * 1000
+    docs = frame([(k, text) for k in range(8)] + [(None, text), (100, None)])
+    marks = spark.createDataFrame([(k, 1) for k in range(8)] + [(None, 1), (100, 0)], "doc_id long, toxic int")
+    out = rated_words(docs, marks)
+    train = spark.createDataFrame([(k,) for k in [*range(8), 100]], "doc_id long").where(~held_out()).count()
+    rows = {(r.y, r.words) for r in out.collect()}
+    assert out.count() == train and (1, "worthl abcd abcde é_étéé again") in rows
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
