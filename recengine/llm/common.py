@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,28 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@functools.cache
+_HELD: dict[str, Any] = {}
+
+
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """The cache ``name`` of this Python worker.  Workers outlive the stages, so a worker holds one cache at a time: asking for
+    another one drops it."""
+    if name not in _HELD:
+        release_cache()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release_cache() -> None:
+    """Drop what the stages before have left in this Python worker."""
+    if _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def word_hashes() -> WordHashes:
     """The cache of this Python worker."""
-    return WordHashes()
+    return worker_cache("words", WordHashes)
 
 
 # one random number per byte (A-Z as a-z), the base of the word polynomials, and the bytes cut at a time

@@ -13,7 +13,6 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recengine.llm.common import slices, texts
+from recengine.llm.common import release_cache, slices, texts, worker_cache
 from recengine.session import written
 
 CHUNK_CACHE, CHUNK_CHARS = 600_000, 64
@@ -56,10 +55,9 @@ class _Chunks(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@functools.cache
 def _chunks(path: str) -> _Chunks:
     from tokenizers import Tokenizer
-    return _Chunks(Tokenizer.from_file(path))
+    return worker_cache(f"chunks {path}", lambda: _Chunks(Tokenizer.from_file(path)))
 
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()),
@@ -99,6 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: i
     firsts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_cache()     # pass 1 is over
         for batch in slices(batches, 16 << 20):
             rows: list[tuple] = []
             for doc_id, at, n, ids in zip(*(c.to_pylist() for c in batch.columns)):

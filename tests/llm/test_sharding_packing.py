@@ -89,3 +89,15 @@ def test_packing_odd_rows(frame):
     _check_pack(packing.pack(frame(odd), queries.tokenizer_path(), 16).collect(), expected, 16)
     assert packing.pack(frame([]), queries.tokenizer_path()).collect() == []
     assert packing.pack(frame([(1, "a"), (1, "a")]), queries.tokenizer_path()).count() == 2
+
+
+def test_a_worker_holds_one_cache():
+    """Python workers outlive the stages: what one has left is dropped when the next begins."""
+    from recengine.llm import common
+    common.release_cache()
+    words = common.word_hashes()
+    assert common.word_hashes() is words
+    assert common.worker_cache("other", dict) == {} and list(common._HELD) == ["other"]
+    assert common.word_hashes() is not words
+    common.release_cache()
+    assert not common._HELD
