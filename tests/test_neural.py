@@ -73,6 +73,41 @@ def test_one_step_is_the_full_gradient(spark):
     assert np.allclose(model.tower, flat) and model.losses == [pytest.approx(loss)]
 
 
+def test_equal_samples_are_one_row(spark, monkeypatch):
+    """A user's negatives repeat in each of its lists: they travel once, and the step is that of all the rows."""
+    samples, shape = planted(spark), N.Shape(3, (4, 3))
+    rows = [tuple(r) for r in samples.collect() for _ in range(1 + 4 * (r.label == 0))]
+    again = spark.createDataFrame(rows, samples.schema).repartition(5)
+    start = {(r.kind, r.id): r.vec for r in N.start_embeddings(samples, shape, 42).collect()}
+    want, flat, loss = one_step(rows, shape, start, N.Tower.start(shape, 42), 0.05)
+    real, met = N._with_embeddings, []
+
+    def watched(batch, *args, **kw):
+        met.append(batch.count())
+        return real(batch, *args, **kw)
+
+    monkeypatch.setattr(N, "_with_embeddings", watched)
+    model = N.fit(again, shape, epochs=1, batches=1, rate=0.05)
+    assert met == [samples.distinct().count()] and met[0] < len(rows)
+    got = {(r.kind, r.id): r.vec for r in model.embeddings.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert np.allclose(model.tower, flat) and model.losses == [pytest.approx(loss)]
+
+
+def test_sides_by_id_are_those_of_the_samples(spark):
+    """Fitting and scoring with sides kept by id is fitting and scoring with a side in every sample."""
+    samples = planted(spark).where("user_id < 12")
+    text = spark.createDataFrame([(i, [float(i % 2), 0.5]) for i in range(25)], "item_id long, text array<double>")
+    graph = spark.createDataFrame([(n, [n / 50.0]) for n in range(5, 60)], "node long, vec array<double>")
+    args, shape = (("text", "graph"), text, graph, 40, (2, 1)), N.Shape(2, (4, 2), 4)
+    inside = N.with_side(samples, *args)
+    one = N.fit(inside, shape, epochs=1, batches=2)
+    two = N.fit(samples, shape, epochs=1, batches=2, sides=N.id_sides(*args))
+    assert np.allclose(one.tower, two.tower) and one.losses == [pytest.approx(x) for x in two.losses]
+    scores = [{(r.user_id, r.item_id): r.score for r in rows.collect()} for rows in (one.score(inside), two.score(samples))]
+    assert scores[0].keys() == scores[1].keys() and all(scores[0][k] == pytest.approx(scores[1][k]) for k in scores[0])
+
+
 def test_learns_and_scores_unknown_ids(spark):
     samples = planted(spark)
     model = N.fit(samples, N.Shape(4, (8, 4)), epochs=6, batches=3, rate=0.08)
