@@ -94,6 +94,34 @@ def test_equal_samples_are_one_row(spark, monkeypatch):
     assert np.allclose(model.tower, flat) and model.losses == [pytest.approx(loss)]
 
 
+def test_steps_over_many_batches(spark):
+    """An id whose rows are cut by the ends of Arrow batches is updated once, with its whole gradient; the others keep their state."""
+    samples, shape = planted(spark), N.Shape(3, (4, 3))
+    want = N.fit(samples, shape, epochs=2, batches=3, rate=0.05)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        got = N.fit(samples, shape, epochs=2, batches=3, rate=0.05)
+        vecs = [{(r.kind, r.id): r.vec for r in m.embeddings.collect()} for m in (want, got)]
+    finally:
+        spark.conf.set(name, before)
+    assert vecs[0].keys() == vecs[1].keys() and all(np.allclose(vecs[0][k], vecs[1][k], atol=1e-5) for k in vecs[0])
+    assert got.losses == [pytest.approx(x, rel=1e-5) for x in want.losses]
+
+
+def test_step_shuffles_the_states_once(spark):
+    """States and parts of gradients meet in one exchange, in single precision."""
+    samples, shape = N.weighted(planted(spark)).withColumn("side", F.array().cast("array<double>")), N.Shape(3, (4, 3))
+    nulls = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in N._ROWS.split(", ")[6:]]
+    table = N.start_embeddings(samples, shape).select(*N._STATE, *nulls).localCheckpoint()
+    after = N._updated(table, N._gradients(samples.localCheckpoint(), table, shape, N.Tower.start(shape, 1)), shape.embedding, 0.05)
+    assert dict(after.dtypes)["vec"] == dict(after.dtypes)["grad"] == "array<float>"
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "HashAggregate" not in plan
+    assert after.where("kind <> 'w'").groupBy("kind", "id").count().where("count > 1").count() == 0
+
+
 def test_sides_by_id_are_those_of_the_samples(spark):
     """Fitting and scoring with sides kept by id is fitting and scoring with a side in every sample."""
     samples = planted(spark).where("user_id < 12")
