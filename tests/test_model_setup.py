@@ -33,3 +33,9 @@ def test_lists(spark, tmp_path):
     assert "train_lists" not in vars(st) and lists.where("pos_in_list = 0").count() == st.test.count()
     assert lists.where("label = 0").join(st.inter, ["user_id", "item_id"]).count() == 0
     assert st.train_lists.where("label = 1").count() == st.train.count()
+
+
+def test_both_scores_of_a_pair_stand_on_one_row(spark, tmp_path):
+    out = CM.k4(spark, tables(spark, tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4      # two of the model, two of the product
+    assert tuple(out.first()) == (CM._setup(spark, str(tmp_path)).train.count(), True)
