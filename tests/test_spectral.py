@@ -57,3 +57,25 @@ def test_string_nodes_and_empty(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert np.allclose(S.leading_eigenpairs(nodes, edges, 2).values, [2, 1])
     assert S.spectral_embedding(*graph(spark, 0, []), 3).count() == 0
+
+
+@pytest.mark.parametrize("cells", [(1, 1), (3, 2)])
+def test_cell_sums(spark, monkeypatch, cells):
+    # string nodes, an id with two vectors, an id without one, a null end, more arcs of a node than a step's rows
+    monkeypatch.setattr(S, "OUT_NUMBERS", 6)
+    rng = np.random.default_rng(3)
+    arcs = [("hub", f"n{k}") for k in range(20)] + [(f"n{k}", f"n{int(rng.integers(20))}") for k in range(15)] + [("n1", "gone"), ("n2", None), ("lost", "gone")]
+    held = [(f"n{k}", rng.normal(size=2).tolist()) for k in range(20)]
+    held += [("n3", [1.0, 2.0])]
+    a, v = spark.createDataFrame(arcs, "node string, nbr string"), spark.createDataFrame(held, "node string, vec array<double>")
+    got = {r.node: r["sum"] for r in S.cell_sums(a, v, 2, cells).collect()}
+    plain = {r.node: r["sum"] for r in S.neighbour_sum(a, v).collect()}
+    assert got.keys() == plain.keys() and "lost" not in got and all(np.allclose(got[k], plain[k]) for k in got)
+    parts = S.cell_sums(a, v, 2, cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in parts          # an arc carries no vector
+
+
+def test_grid_is_bounded():
+    assert S.grid(100, 10) == (4, 4)
+    sources, targets = S.grid(2_100_000, 161)
+    assert 2_100_000 * 161 / sources <= S.CELL_NUMBERS and sources * targets >= S.CELLS
