@@ -216,6 +216,21 @@ def test_every_pair_is_learned_once_an_epoch(spark, monkeypatch):
             assert got == want
 
 
+def test_a_stratum_writes_its_factors_once(spark, monkeypatch):
+    """A block follows from the id: no stratum joins its factors to the table before or writes them again."""
+    real, names, blocks = R.written, [], []
+
+    def watched(df, name="cut", **kw):
+        names.append(name)
+        if name == "cells":
+            blocks.append("Join" in df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name, **kw)
+
+    monkeypatch.setattr(R, "written", watched)
+    R.fit_ranking(groups(spark), rank=3, epochs=2, blocks=2, hot_share=0.012)
+    assert names.count("cells") == 4 and names.count("factors") == 2 and not any(blocks)
+
+
 def test_negatives_avoid_known_items():
     items = np.zeros((50, 2))
     users = np.ones((1, 2))
