@@ -79,3 +79,9 @@ def test_grid_is_bounded():
     assert S.grid(100, 10) == (4, 4)
     sources, targets = S.grid(2_100_000, 161)
     assert 2_100_000 * 161 / sources <= S.CELL_NUMBERS and sources * targets >= S.CELLS
+
+
+def test_null_node_has_no_vector(spark):
+    nodes, edges = graph(spark, 5, [(0, 1), (1, 2), (2, 3), (0, 3)])
+    found = S.leading_eigenpairs(nodes.union(spark.createDataFrame([(None,)], "node long")), edges, 2)
+    assert sorted(r.node for r in found.vectors.select("node").collect()) == [0, 1, 2, 3, 4]
