@@ -91,7 +91,7 @@ def epoch_seconds(col: str | Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column
 def index_pairs(index: str | Column) -> Column:
     """C7 step 1: the (position, term) pairs of ``map<term, array<position>>``,
     sorted by position."""
-    return F.array_sort(F.flatten(F.transform(
+    return F.sort_array(F.flatten(F.transform(
         F.map_entries(_c(index)),
         lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("term"))))))
 

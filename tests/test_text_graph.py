@@ -24,6 +24,17 @@ def test_inverted_index_roundtrip(spark):
     assert got == {1: "a b  a c", 2: "x"}
 
 
+def test_inverted_index_shuffles_texts_once_and_no_words(spark):
+    df = spark.createDataFrame([(1, "a b  a the c"), (2, None), (3, ""), (None, "x y"), (4, "p q p"), (4, "q r"), (5, "the the")], "id long, text string")
+    idx = inverted_index(df, "id", "text", drop_terms=("the",))
+    plan = idx._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted(((r.id, {k: list(v) for k, v in r["index"].items()}, r.length) for r in idx.collect()), key=str)
+    both = {"p": [0, 2], "q": [0, 1], "r": [1]}             # rows of one key share the index
+    assert got == sorted([(1, {"a": [0, 3], "b": [1], "": [2], "c": [5]}, 6), (2, {}, None), (3, {"": [0]}, 1), (None, {}, 2),
+                          (4, both, 3), (4, both, 2), (5, {}, 2)], key=str)
+
+
 def test_strip_html_subset(spark):
     html = ('<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{x:1}</style>'
             '<script>var s="</p>";</script></head><body><!-- c --><p>A\n<b>b</b>&lt;3\t</p></body></html>')
