@@ -14,7 +14,7 @@ from recengine.operators import splits as S
 from recengine.plans import fixtures
 from recengine.plans import sqlparts as q
 from recengine.plans.catalog import register
-from recengine.session import scratch_path
+from recengine.session import scratch_path, written
 from recengine.sources import files as IO
 from recengine.sources.tables import SCHEMAS, load
 
@@ -111,7 +111,7 @@ WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
   s AS (SELECT 'train' AS split, * FROM tr_lists UNION ALL SELECT 'test', * FROM te_lists)
 SELECT split, label, count(*) AS n FROM s GROUP BY split, label""")
 def a9(spark, sf):
-    inter = fixtures.interactions(spark, sf)
+    inter = written(fixtures.interactions(spark, sf), "interactions")
     split = S.leave_one_out(inter)
     negs = N.train_test_negatives(inter, 4, 50, 42)
     out = None
@@ -119,7 +119,7 @@ def a9(spark, sf):
         lists = N.labelled_lists(split.filter(F.col("split") == name), negs.filter(F.col("split") == name))
         lists = lists.withColumn("split", F.lit(name))
         out = lists if out is None else out.unionByName(lists)
-    back = IO.materialise_samples(out, scratch_path(spark, "a9") + "/samples", overwrite=False)
+    back = IO.materialise_samples(out, scratch_path(spark, "a9") + "/samples", overwrite=False, splits=("train", "test"))
     return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

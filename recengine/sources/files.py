@@ -7,6 +7,9 @@ Always an explicit schema (no inference).  Writers are plain
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,10 +76,12 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 
 # A9 -- labelled samples, materialised once
-def materialise_samples(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+def materialise_samples(df: DataFrame, path: str, overwrite: bool = False, splits: Sequence[str] = ()) -> DataFrame:
     """Write labelled samples partitioned by ``split`` unless they exist
     (explicit ``overwrite`` flag instead of the reference's cache check on
-    a file name), then read them back."""
+    a file name), then read them back.  Rows of the named ``splits`` (letters,
+    digits, _) go to their folders as they come; a write of several splits at
+    once first sorts all rows of a task.  Rows of other splits are written, too."""
     from pyspark.errors import AnalysisException
     spark = df.sparkSession
     if not overwrite:
@@ -84,5 +89,10 @@ def materialise_samples(df: DataFrame, path: str, overwrite: bool = False) -> Da
             return spark.read.schema(df.schema).parquet(path)
         except AnalysisException:      # not written yet
             pass
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    if not all(re.fullmatch(r"[A-Za-z_]\w*", name, re.ASCII) for name in splits):
+        raise ValueError(f"splits must be plain names, are {list(splits)!r}")
+    others = df.where(F.col("split").isNull() | ~F.col("split").isin(list(splits))) if splits else df
+    others.write.mode("overwrite").partitionBy("split").parquet(path)
+    for name in splits:
+        df.where(F.col("split") == name).drop("split").write.mode("overwrite").parquet(f"{path}/split={name}")
     return spark.read.parquet(path)

@@ -96,3 +96,13 @@ def test_small_arrays(spark, text, want):
 def test_not_an_array(spark):
     with pytest.raises(Exception, match="does not hold a JSON array"):
         _read(spark, '{"id": 1}', 1 << 20, "id long")
+
+
+def test_named_splits_are_written_without_a_sort(spark, tmp_path):
+    df = spark.createDataFrame([(1, "train"), (2, "test"), (3, "train"), (4, "valid"), (5, None)], "id long, split string")
+    for _ in range(2):
+        back = IO.materialise_samples(df, str(tmp_path / "s"), overwrite=True, splits=("train", "test"))
+        assert sorted((tuple(r) for r in back.select("id", "split").collect()), key=str) == sorted((tuple(r) for r in df.collect()), key=str)
+    assert IO.materialise_samples(df.limit(0), str(tmp_path / "s"), splits=("train", "test")).count() == 5
+    with pytest.raises(ValueError):
+        IO.materialise_samples(df, str(tmp_path / "t"), splits=("a/b",))
