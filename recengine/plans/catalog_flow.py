@@ -281,7 +281,7 @@ WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
   {q.lists('latest', 'nte', 'te_lists')}
 SELECT 'train' AS split, * FROM tr_lists UNION ALL SELECT 'test', * FROM te_lists""")
 def j15_labelled(spark, sf):
-    inter = _inter(spark, sf)
+    inter = written(_inter(spark, sf), "interactions")
     split = splits.leave_one_out(inter)
     negs = negatives.train_test_negatives(inter, 4, 50, SEED)
     out = None
@@ -396,7 +396,7 @@ WITH inter AS ({q.INTERACTIONS}), {q.latest_per_user('inter')},
   {q.negatives('inter', 50, SEED, 'test')}
 SELECT l.user_id, l.item_id AS list_item, n.item_id, n.neg_rank FROM latest l JOIN neg n USING (user_id)""")
 def e1(spark, sf):
-    inter = _inter(spark, sf)
+    inter = written(_inter(spark, sf), "interactions")
     test = splits.leave_one_out(inter).filter(F.col("split") == "test").select("user_id", F.col("item_id").alias("list_item"))
     negs = negatives.sample_negatives(inter, 50, SEED, "test")
     return test.join(negs, "user_id").select("user_id", "list_item", "item_id", "neg_rank")

@@ -158,6 +158,18 @@ def test_second_leg_gives_the_same_rows(spark):
     assert full == tiny
 
 
+def test_listed_users_draw_in_their_row(spark):
+    rows = [(u, (u * 11 + i * 3) % 60) for u in range(25) for i in range(2 * u + 1)] + [(30, None), (None, 5), (None, 7)]
+    seen = spark.createDataFrame(rows, "user_id long, item_id long")
+    draw = N.sample_negatives(seen, 6, 5, "t")
+    plan = draw._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate") == 1      # no slot is a row, none is shuffled
+    rows = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    assert rows(draw) == rows(N.sample_negatives(seen, 6, 5, "t", listed=4)) == rows(N.sample_negatives(seen, 6, 5, "t", listed=-1))
+    # a slot's place follows from its user: md5 is no part of the walk over the slots
+    assert all("md5" not in line for line in plan.splitlines() if "transform(" in line)
+
+
 def test_approximate_modes(spark):
     rows = [(u, i, float(i % 5)) for u in range(200) for i in range(20)]
     df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
