@@ -21,7 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recengine.functions.arrow import list_array, list_matrix
-from recengine.operators.spectral import neighbour_sum
+from recengine.operators.spectral import cell_sums, grid
+from recengine.session import written
+
+# arcs of one cell of a convolution, about
+CELL_ARCS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -189,9 +193,12 @@ def convolution_layer(arcs: DataFrame, features: DataFrame, w: np.ndarray | None
     if w is not None:
         x = x.mapInArrow(times, f"node {kind}, vec array<double>")
     degree = arcs.groupBy("node").agg((F.count(F.lit(1)) + 1).alias("d"))
-    scaled = (x.join(degree, "node", "left").withColumn("scale", 1 / F.sqrt(F.coalesce("d", F.lit(1))))
-              .select("node", "scale", F.transform("vec", lambda v: v * F.col("scale")).alias("vec")))
-    near = neighbour_sum(arcs, scaled.select("node", "vec"), "near")
+    scaled = written(x.join(degree, "node", "left").withColumn("scale", 1 / F.sqrt(F.coalesce("d", F.lit(1))))
+                     .select("node", "scale", F.transform("vec", lambda v: v * F.col("scale")).alias("vec"), (F.coalesce("d", F.lit(1)) - 1).alias("d")), "scaled")
+    n, width, n_arcs = scaled.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.sum("d")).first()
+    # arcs are added up in cells of sources and targets: no vector is sent for an arc
+    sources, targets = grid(n, width or 1)
+    near = cell_sums(arcs, scaled.select("node", "vec"), width or 1, (sources, max(targets, -(-(n_arcs or 0) // (sources * CELL_ARCS)))), "near")
     whole = F.coalesce(F.zip_with("vec", "near", lambda a, b: a + b), F.col("vec"))
     out = scaled.join(near, "node", "left").select("node", F.transform(whole, lambda v: v * F.col("scale")).alias("vec"))
     return out if bias is None and activation is None else out.mapInArrow(finish, f"node {kind}, vec array<double>")

@@ -111,8 +111,9 @@ def m4(spark, sf):
 
 def _features(spark, sf):
     """M1's graph with M11's features: text vectors for items, zeros for users."""
-    nodes, edges = bipartite(spark, sf)
-    offset = fixtures.interactions(spark, sf).select(F.max("user_id") + 1).scalar()
+    inter = written(fixtures.interactions(spark, sf), "interactions")
+    nodes, edges = G.bipartite_graph(inter.withColumn("label", (F.col("rating") > 0).cast("int")))
+    offset = inter.select(F.max("user_id") + 1).scalar()
     emb = load(spark, sf, "embeddings", ["vec_id", "embedding"]).select((F.col("vec_id") + offset).alias("node"), "embedding")
     return nodes, edges, G.node_features(nodes, emb, "node", "embedding", WIDTH)
 

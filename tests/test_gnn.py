@@ -96,6 +96,20 @@ def test_convolution(spark):
     assert all(np.allclose(got[k], ((a * s[:, None] * s) @ X)[k]) for k in got)
 
 
+def test_convolution_sends_no_vector_for_an_arc(spark, monkeypatch):
+    arcs = sorted({(a, b) for a, b in ARCS if a != b} | {(b, a) for a, b in ARCS if a != b})
+    df, feats = spark.createDataFrame(arcs, "node long, nbr long"), frames(spark, 1)[1]
+    w = RNG.normal(size=(5, 3))
+    one = N.convolution_layer(df, feats, w)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "aggregate_metrics" not in plan.lower() and "summarizer" not in plan.lower()
+    rows = lambda d: {r.node: r.vec for r in d.collect()}
+    want = rows(one)
+    monkeypatch.setattr(N, "CELL_ARCS", 2)                  # many cells
+    many = rows(N.convolution_layer(df, feats, w))
+    assert len(many) == 40 and all(np.allclose(many[k], want[k]) for k in want)
+
+
 def test_no_arcs(spark):
     feats = frames(spark, 1)[1]
     none = spark.createDataFrame([], "src long, dst long")
