@@ -247,3 +247,13 @@ def test_pairwise_auc(spark):
     rows = [(1, 1.0, 3.0), (1, 0.0, 2.0), (1, 0.0, 3.0), (2, 1.0, 0.0), (2, 0.0, 1.0), (3, 1.0, 5.0)]
     df = spark.createDataFrame(rows, "user_id long, label double, score double")
     assert R.pairwise_auc(df, ["user_id"]).first()[0] == pytest.approx((0.75 + 0.0) / 2)
+
+
+def test_sides_are_never_broadcast(spark):
+    """Spark would broadcast the ids' vectors by the size of their files, which is many times less than what the driver would hold."""
+    items = spark.range(30).select(F.col("id").alias("item_id"), F.array_repeat(F.lit(0.5), 4).alias("text"))
+    sides = N.id_sides(("text",), items, widths=(4, 0))
+    met = N._side_of(planted(spark), sides, "i", "item_id")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.n for r in met.select(F.size("__i_first").alias("n")).collect()} == {4}
