@@ -257,3 +257,39 @@ def test_sides_are_never_broadcast(spark):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert {r.n for r in met.select(F.size("__i_first").alias("n")).collect()} == {4}
+
+
+def nulls_in_lists(kind):
+    """Counts the null lists of an Arrow batch or table."""
+    return lambda t: sum(t.column(c).null_count for c in t.schema.names if str(t.schema.field(c).type).startswith(kind))
+
+
+def test_cells_get_no_null_lists(spark, monkeypatch):
+    """Spark's Arrow writer goes over a run of null lists again with every row; and every cell is a partition of its own."""
+    nulls = nulls_in_lists("list")
+
+    def cell(width, *_):
+        def run(key, table):
+            import pyarrow as pa
+            from pyspark import TaskContext
+            own = np.array([float(nulls(table)), float(TaskContext.get().partitionId() != key[0].as_py())])
+            return pa.table({"kind": pa.array([R.USER] * 2, pa.int32()), "id": pa.array([0, 1]), "vec": R.list_array(np.zeros((2, width))), "hot": [False] * 2,
+                             "n": [0.0] * 2, "loss": own})
+        return run
+
+    monkeypatch.setattr(R, "_cell", cell)
+    assert R.fit_ranking(planted(spark), rank=3, epochs=1, blocks=5).losses == [0.0]
+
+
+def test_step_gets_no_null_lists(spark, monkeypatch):
+    samples, shape = N.weighted(planted(spark)).withColumn("side", F.array().cast("array<double>")), N.Shape(3, (4, 3))
+    empty = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in N._ROWS.split(", ")[6:]]
+    table = N.start_embeddings(samples, shape).select(*N._STATE, *empty).localCheckpoint()
+    grads = N._gradients(samples.localCheckpoint(), table, shape, N.Tower.start(shape, 1)).localCheckpoint()
+    nulls, met = nulls_in_lists("list"), []
+    kind = type(table)
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, run, schema: met.append(df) or df)
+    N._updated(table, grads, shape.embedding, 0.05)
+    monkeypatch.undo()
+    assert len(met) == 1 and met[0].count() == table.count() + grads.count()
+    assert nulls(met[0].toArrow()) == 0
