@@ -2,6 +2,7 @@
 
 import datetime
 
+from recengine.operators import models as MD
 from recengine.operators import splits as S
 from recengine.plans import catalog_models as CM
 from recengine.plans import fixtures
@@ -39,3 +40,13 @@ def test_both_scores_of_a_pair_stand_on_one_row(spark, tmp_path):
     out = CM.k4(spark, tables(spark, tmp_path))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4      # two of the model, two of the product
     assert tuple(out.first()) == (CM._setup(spark, str(tmp_path)).train.count(), True)
+
+
+def test_als_blocks_grow_with_the_ratings(spark, monkeypatch):
+    """A task of the fit holds a block of ratings, whatever their number; a fit of few has Spark's 10 blocks, as before."""
+    data = spark.createDataFrame([(u, i, float((u * i) % 5)) for u in range(20) for i in range(10)], "user_id long, item_id long, rating double")
+    assert MD.fit_als(data, rank=2, max_iter=1).userFactors.rdd.getNumPartitions() == 10
+    monkeypatch.setattr(MD, "ALS_BLOCK_ROWS", 15, raising=False)
+    model = MD.fit_als(data, rank=2, max_iter=3)
+    assert model.userFactors.rdd.getNumPartitions() == 14 and model.itemFactors.rdd.getNumPartitions() == 14
+    assert model.userFactors.count() == 20 and model.itemFactors.count() == 10
