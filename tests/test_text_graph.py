@@ -112,3 +112,27 @@ def test_neu_on_pair(spark):
     r = {x.node: x.vec for x in G.neu_arrays(vec, edges, 0.5, 0.25).collect()}
     # normalised rows are 1 and 1; A R = 1; A^2 R = 1 -> 1 + 0.5 + 0.25
     assert abs(r[0][0] - 1.75) < 1e-12 and abs(r[1][0] - 1.75) < 1e-12
+
+
+def test_neu_sends_no_vector_for_an_arc(spark):
+    """Neighbours' means are summed in cells; an end without a vector counts neither in the sum nor in the mean."""
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(120)})
+    nodes, edges = _graph(spark, [*pairs, (0, 99)], 30)
+    vecs = {n: [rng.random(), rng.random() - 0.5] for n in range(30)}
+    out = G.neu_arrays(spark.createDataFrame(list(vecs.items()), "node long, vec array<double>"), edges)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "flatmapgroupsinarrow" in plan and "summarizer" not in plan and "aggregate_metrics" not in plan
+    near = {n: sorted({b for a, b in [*pairs, (0, 99)] if a == n != b} | {a for a, b in [*pairs, (0, 99)] if b == n != a}) for n in [*range(30), 99]}
+
+    def mean(of):
+        met = {n: [of[m] for m in near[n] if m in of] for n in near}
+        return {n: [sum(x) / len(v) for x in zip(*v)] for n, v in met.items() if v}
+
+    one = {n: [x / sum(y * y for y in v) ** 0.5 for x in v] for n, v in vecs.items()}
+    a = mean(one)
+    aa = mean(a)
+    got = {r.node: r.vec for r in out.collect()}
+    assert got.keys() == one.keys()
+    for n, v in one.items():
+        assert got[n] == pytest.approx([x + 0.5 * y + 0.25 * z for x, y, z in zip(v, a.get(n, [0, 0]), aa.get(n, [0, 0]))], abs=1e-12)
